@@ -46,15 +46,14 @@ def _axis_targets(src: str, n_src: int, n_dst: int) -> Column:
     lo = F.ceil((F.col(src) * (2 * n_dst) - n_src) / (2.0 * n_src))
     hi = F.ceil(((F.col(src) + 1) * (2 * n_dst) - n_src) / (2.0 * n_src)) - 1
     hi = F.least(hi, F.lit(n_dst - 1))
-    return F.when(lo <= hi, F.sequence(lo, hi))
+    return F.when(lo <= hi, F.sequence(lo.cast("int"), hi.cast("int")))
 
 
 def resize_nearest(cells: DataFrame, row: str, col: str, shape: tuple[int, int], new: tuple[int, int]) -> DataFrame:
     """Nearest resize without a join: each source cell knows the targets it feeds."""
     rest = [c for c in cells.columns if c not in (row, col)]
     tall = cells.select(*rest, col, F.explode(_axis_targets(row, shape[0], new[0])).alias(row))
-    return tall.select(*rest, F.col(row).cast("int").alias(row),
-                       F.explode(_axis_targets(col, shape[1], new[1])).cast("int").alias(col))
+    return tall.select(*rest, row, F.explode(_axis_targets(col, shape[1], new[1])).alias(col))
 
 
 def upsample(cells: DataFrame, row: str, col: str, k: int) -> DataFrame:
