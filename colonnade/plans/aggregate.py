@@ -174,8 +174,8 @@ def q_run_stats(t):
 @query("q_epoch_metrics", sql="""
 WITH x AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'train' ELSE 'validation' END AS split,
   CAST((year(o_orderdate) - 1992) * 12 + month(o_orderdate) AS INTEGER) AS epoch, CAST(ROUND(o_totalprice * 100) AS BIGINT) AS loss FROM orders)
-SELECT epoch, ROUND(SUM(CASE WHEN split = 'train' THEN loss END) / COUNT(CASE WHEN split = 'train' THEN 1 END) / 100.0, 2) AS train,
-  ROUND(CASE WHEN epoch % 5 = 0 THEN SUM(CASE WHEN split = 'validation' THEN loss END) / COUNT(CASE WHEN split = 'validation' THEN 1 END) / 100.0 END, 2) AS validation
+SELECT epoch, ROUND(SUM(CASE WHEN split = 'train' THEN loss END) / COUNT(CASE WHEN split = 'train' THEN 1 END) / 100.0, 6) AS train,
+  ROUND(CASE WHEN epoch % 5 = 0 THEN SUM(CASE WHEN split = 'validation' THEN loss END) / COUNT(CASE WHEN split = 'validation' THEN 1 END) / 100.0 END, 6) AS validation
 FROM x GROUP BY epoch""")
 def q_epoch_metrics(t):
     """Mean loss per split and epoch; validation is measured every fifth epoch only."""
@@ -185,7 +185,7 @@ def q_epoch_metrics(t):
         F.round(F.col("o_totalprice") * 100).cast("bigint").alias("loss"))
     wide = x.groupBy("epoch").pivot("split", ["train", "validation"]).agg(F.avg("loss") / 100.0)
     validation = F.when(F.col("epoch") % 5 == 0, F.col("validation"))
-    return wide.select("epoch", F.round("train", 2).alias("train"), F.round(validation, 2).alias("validation"))
+    return wide.select("epoch", F.round("train", 6).alias("train"), F.round(validation, 6).alias("validation"))
 
 
 @query("q_segment_rollup", views=("fx_segments",), sql="""

@@ -26,7 +26,7 @@ FROM (SELECT l_suppkey AS frame_id, CAST(l_orderkey % 64 AS INT) AS r, CAST(l_pa
     # one ordered series per user, at most 31 positions with gaps
     "fx_series": """
 SELECT user_id AS series_id, CAST(dayofmonth(ts) - 1 AS INT) AS pos,
-       SUM(CAST(ROUND(value * 100) AS BIGINT)) AS v
+       CAST(SUM(CAST(ROUND(value * 100) AS BIGINT)) AS BIGINT) AS v
 FROM {events} GROUP BY 1, 2""",
     # class counts per series position; five classes 0..4
     "fx_class_cost": """
@@ -47,6 +47,11 @@ FROM {events}""",
     "fx_runs": """
 SELECT o_custkey AS run_id, o_orderkey AS frame, CAST(ROUND(o_totalprice * 100) AS BIGINT) AS ms
 FROM {orders}""",
+    # strips of eight cells, rows counted from the bottom; md is the highest value of a strip row
+    "fx_strips": """
+SELECT frame_id, CAST(FLOOR(c / 8.0) AS INT) AS col_id, 63 - r AS v,
+       MAX(d) AS md, CAST(SUM(c) AS BIGINT) AS sc
+FROM {fx_pixels} GROUP BY 1, 2, 3""",
     # segments on strips of width 8: a new one starts at every high cell
     "fx_segments": """
 SELECT frame_id, col_id,
@@ -60,9 +65,7 @@ SELECT frame_id, col_id,
        CAST(CASE WHEN sc % 4 = 0 THEN -1 ELSE sc % 5 END AS INT) AS inst
 FROM (SELECT frame_id, col_id, v AS v_b, md, sc,
              CAST(COALESCE(LEAD(v) OVER (PARTITION BY frame_id, col_id ORDER BY v) - 1, 63) AS INT) AS v_t
-      FROM (SELECT frame_id, CAST(FLOOR(c / 8.0) AS INT) AS col_id, 63 - r AS v,
-                   MAX(d) AS md, CAST(SUM(c) AS BIGINT) AS sc
-            FROM {fx_pixels} GROUP BY 1, 2, 3) g
+      FROM {fx_strips} g
       WHERE md >= 35) b""",
     # file listing: a stem and a kind read off each address
     "fx_files": """
