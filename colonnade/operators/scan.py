@@ -58,11 +58,11 @@ def series_scan(df: DataFrame, keys: list[str], pos: str, specs: list[Spec]) ->
 
 
 def blocked_scan(df: DataFrame, keys: list[str], pos: str, specs: list[Spec], block: int,
-                 levels: int = 2) -> DataFrame:
+                 levels: int = 2, fan: int = 1024) -> DataFrame:
     """Scan without a length bound.  ``pos`` is an integer, unique within ``keys``.
 
-    ``levels`` block levels divide the rows of the last, plain window by
-    ``block ** levels``.
+    The rows are cut into blocks of ``block`` positions, the blocks into groups of
+    ``fan``, so the last, plain window sees one row per ``block * fan`` positions.
     """
     if levels == 0:
         return series_scan(df, keys, pos, specs)
@@ -72,7 +72,7 @@ def blocked_scan(df: DataFrame, keys: list[str], pos: str, specs: list[Spec], bl
                                          for i, (_, col, kind) in enumerate(specs)])
     carry_specs = [(f"_c{i}", f"_t{i}", kind.removesuffix("_before") + "_before")
                    for i, (_, _, kind) in enumerate(specs)]
-    carry = blocked_scan(totals.withColumnRenamed(b, "_p"), keys, "_p", carry_specs, block, levels - 1)
+    carry = blocked_scan(totals.withColumnRenamed(b, "_p"), keys, "_p", carry_specs, fan, levels - 1, fan)
     carry = carry.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
                          F.col("_p").alias("_kb"), *[f"_c{i}" for i in range(len(specs))])
     w = W.partitionBy(*keys, b).orderBy(pos)

@@ -1 +1,121 @@
-"""Queries."""
+"""Queries over density clustering."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from colonnade.operators import cluster as cl
+from colonnade.plans.registry import query
+
+EPS, MIN_SAMPLES, SIZE = 300, 4, 50
+XY = ("x", "y")
+
+
+@query("q_cluster_candidates", views=("fx_segments",), sql="""
+SELECT frame_id, col_id, seg_idx, class_id, mean_x, mean_y, v_t - v_b + 1 AS size, v_t - v_b + 1 >= 3 AS core_candidate
+FROM fx_segments WHERE class_id >= 11""")
+def q_cluster_candidates(t):
+    size = F.col("v_t") - F.col("v_b") + 1
+    return t.fx_segments.where("class_id >= 11").select(
+        "frame_id", "col_id", "seg_idx", "class_id", "mean_x", "mean_y", size.alias("size"), (size >= 3).alias("core_candidate"))
+
+
+@query("q_eps_neighbors", views=("fx_points",), sql=f"""
+SELECT a.pt_id, COUNT(*) AS degree FROM fx_points a JOIN fx_points b ON a.class_id = b.class_id
+AND b.y BETWEEN a.y - {EPS} AND a.y + {EPS} AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {EPS * EPS} GROUP BY 1""")
+def q_eps_neighbors(t):
+    """How many points of its class lie within the radius of each point (itself included)."""
+    grid = cl.Grid("class_id", XY, EPS)
+    sites = cl.make_sites(grid, t.fx_points, "pt_id", F.lit(True), F.lit(True))
+    degree = cl.neighbour_weight(grid, sites, sites)
+    return t.fx_points.join(degree, ["class_id", *XY]).select("pt_id", "degree")
+
+
+CORE_SQL = f"""
+large AS (SELECT p.* FROM fx_points p JOIN (SELECT class_id FROM fx_points WHERE size >= {SIZE} GROUP BY 1 HAVING COUNT(*) > {MIN_SAMPLES}) k ON k.class_id = p.class_id WHERE size >= {SIZE}),
+core AS (SELECT a.pt_id, a.class_id, a.x, a.y FROM large a JOIN large b ON a.class_id = b.class_id AND b.y BETWEEN a.y - {EPS} AND a.y + {EPS}
+  AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {EPS * EPS} GROUP BY 1, 2, 3, 4 HAVING COUNT(*) >= {MIN_SAMPLES})"""
+
+
+def near_sql(targets: str) -> str:
+    return f"""
+near AS (SELECT pt_id, core_id, sq FROM (SELECT a.pt_id, b.pt_id AS core_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS sq,
+  ROW_NUMBER() OVER (PARTITION BY a.pt_id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.pt_id) AS k
+  FROM ({targets}) a JOIN core b ON a.class_id = b.class_id AND b.y BETWEEN a.y - {EPS} AND a.y + {EPS}
+  AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {EPS * EPS}) z WHERE k = 1)"""
+
+
+@query("q_nearest_core", views=("fx_points",), sql=f"""
+WITH {CORE_SQL}, {near_sql(f"SELECT * FROM fx_points WHERE size < {SIZE}")} SELECT pt_id, core_id, sq FROM near""")
+def q_nearest_core(t):
+    """Nearest core point within the radius for every small point that has one."""
+    grid = cl.Grid("class_id", XY, EPS)
+    able = cl.enough_large(t.fx_points, "class_id", F.col("size") >= SIZE, MIN_SAMPLES)
+    large = t.fx_points.where(F.col("size") >= SIZE).join(able, "class_id", "left_semi")
+    _, core, front = cl.core_structure(grid, large, "pt_id", MIN_SAMPLES, F.lit(True), F.lit(True))
+    small = t.fx_points.where(F.col("size") < SIZE)
+    targets = grid.with_cell(small.select("class_id", *XY).distinct())
+    near = cl.nearest_core(grid, targets, core, front)
+    return small.join(near, ["class_id", *XY]).select("pt_id", "core_id", "sq")
+
+
+def dbscan_sql(core: str, dims: tuple[str, ...], select: str) -> str:
+    sq = " + ".join(f"(a.{d} - b.{d}) * (a.{d} - b.{d})" for d in dims)
+    near = f"a.class_id = b.class_id AND b.y BETWEEN a.y - {EPS} AND a.y + {EPS} AND {sq} <= {EPS * EPS}"
+    return f"""
+WITH RECURSIVE {core},
+link AS (SELECT a.pt_id AS a, b.pt_id AS b FROM core a JOIN core b ON {near}),
+reach AS (SELECT pt_id AS root, pt_id AS id FROM core UNION SELECT r.root, l.b FROM reach r JOIN link l ON l.a = r.id WHERE l.b > r.root OR l.b < r.root),
+comp AS (SELECT id AS pt_id, MIN(root) AS root FROM reach GROUP BY 1),
+num AS (SELECT c.pt_id, DENSE_RANK() OVER (PARTITION BY class_id ORDER BY root) - 1 AS cluster FROM comp c JOIN core k ON k.pt_id = c.pt_id),
+nr AS (SELECT pt_id, core_id FROM (SELECT a.pt_id, b.pt_id AS core_id, ROW_NUMBER() OVER (PARTITION BY a.pt_id ORDER BY {sq}, b.pt_id) AS k
+  FROM fx_points a JOIN core b ON {near}) z WHERE k = 1),
+lab AS (SELECT p.*, COALESCE(n.cluster, -1) AS cluster, c.pt_id IS NOT NULL AS is_core FROM fx_points p
+  LEFT JOIN nr ON nr.pt_id = p.pt_id LEFT JOIN num n ON n.pt_id = nr.core_id LEFT JOIN core c ON c.pt_id = p.pt_id)
+{select}"""
+
+
+ROWS = "SELECT pt_id, class_id, cluster, is_core FROM lab"
+MASKED = f"""core AS (SELECT a.pt_id, a.class_id, a.x, a.y FROM fx_points a JOIN fx_points b ON a.class_id = b.class_id AND b.y BETWEEN a.y - {EPS} AND a.y + {EPS}
+  AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {EPS * EPS} WHERE a.size >= {SIZE} GROUP BY 1, 2, 3, 4 HAVING COUNT(*) >= {MIN_SAMPLES})"""
+CORE_3D = (CORE_SQL.replace("large AS (SELECT p.* FROM", "large AS (SELECT p.*, p.size * 4 AS z FROM")
+           .replace("a.x, a.y FROM", "a.x, a.y, a.z FROM").replace("GROUP BY 1, 2, 3, 4", "GROUP BY 1, 2, 3, 4, 5")
+           .replace("* (a.y - b.y) <=", "* (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <="))
+
+
+@query("q_dbscan_core_only", views=("fx_points",), sql=dbscan_sql(CORE_SQL, XY, ROWS))
+def q_dbscan_core_only(t):
+    out = cl.dbscan_core_only(t.fx_points, "pt_id", "class_id", XY, "size", EPS, MIN_SAMPLES, SIZE)
+    return out.select("pt_id", "class_id", "cluster", "is_core")
+
+
+@query("q_dbscan_masked", views=("fx_points",), sql=dbscan_sql(MASKED, XY, ROWS))
+def q_dbscan_masked(t):
+    out = cl.dbscan_masked(t.fx_points, "pt_id", "class_id", XY, "size", EPS, MIN_SAMPLES, SIZE)
+    return out.select("pt_id", "class_id", "cluster", "is_core")
+
+
+@query("q_dbscan_3d", views=("fx_points",), sql=dbscan_sql(CORE_3D, ("x", "y", "z"), ROWS).replace(
+    "FROM fx_points a JOIN core", "FROM (SELECT *, size * 4 AS z FROM fx_points) a JOIN core"))
+def q_dbscan_3d(t):
+    pts = t.fx_points.withColumn("z", F.col("size") * 4)
+    out = cl.dbscan_core_only(pts, "pt_id", "class_id", ("x", "y", "z"), "size", EPS, MIN_SAMPLES, SIZE)
+    return out.select("pt_id", "class_id", "cluster", "is_core")
+
+
+@query("q_label_codec", views=("fx_masks",), sql="""
+SELECT frame_id, r, c, CAST(gt_id // 1000 AS INTEGER) AS class_part, CAST(gt_id % 1000 AS INTEGER) AS n_part,
+  CASE WHEN gt_id > 1000 THEN CAST(gt_id AS INTEGER) ELSE -1 END AS again FROM fx_masks""")
+def q_label_codec(t):
+    cls, n = F.floor(F.col("gt_id") / 1000).cast("int"), F.col("gt_id") % 1000
+    again = cl.encode_label(cls, F.when(F.col("gt_id") > 1000, n).otherwise(-1))
+    return t.fx_masks.select("frame_id", "r", "c", cls.alias("class_part"), n.alias("n_part"), again.cast("int").alias("again"))
+
+
+@query("q_cluster_summary", views=("fx_points",), sql=dbscan_sql(CORE_SQL, XY, """
+SELECT class_id, cluster, COUNT(*) AS n, MIN(pt_id) AS first_id, ROUND(AVG(x), 4) AS mid_x, MIN(x) AS min_x, MAX(x) AS max_x,
+  ROUND(AVG(y), 4) AS mid_y, MIN(y) AS min_y, MAX(y) AS max_y FROM lab WHERE cluster >= 0 GROUP BY 1, 2"""))
+def q_cluster_summary(t):
+    labelled = cl.dbscan_core_only(t.fx_points, "pt_id", "class_id", XY, "size", EPS, MIN_SAMPLES, SIZE)
+    out = cl.cluster_summary(labelled, ["class_id", "cluster"], "pt_id", XY)
+    return out.withColumns({c: F.round(c, 4) for c in ("mid_x", "mid_y")})
