@@ -51,13 +51,13 @@ def columns(t):
         F.concat(*cost).alias("class_cost"))
 
 
-def segments(t, pairwise: bool):
-    weights = Weights(4.0, 1.0 if pairwise else 10.0, 0.02, 0.001)
+def segments(t, pairwise: bool, w_disp: float = 4.0, w_seg: float = 0.02):
+    weights = Weights(w_disp, 1.0 if pairwise else 10.0, w_seg, 0.001)
     task = Task(MODEL, weights, ROLES, FACTOR, pairwise)
     return segment_columns(columns(t), ["series_id"], task)
 
 
-def candidate_sql() -> str:
+def candidate_sql(w_disp: int = 4, w_seg: str = "0.02") -> str:
     """Costs of every segment of every series, listed per top row."""
     def over(col, name):
         return f"CAST(SUM({col}) OVER (PARTITION BY series_id ORDER BY v) AS BIGINT) AS {name}"
@@ -90,12 +90,12 @@ pr AS (SELECT a.series_id, a.vhor, a.v AS vb, b.v AS vt, a.fn AS gfn, b.v - a.v
   b.pe - a.pe + a.ox * a.ox + a.oy * a.oy AS e, {', '.join(f"b.pc{c} - a.pc{c} + a.c{c} AS c{c}" for c in range(5))}
   FROM pf a JOIN pf b ON a.series_id = b.series_id AND a.v <= b.v),
 p2 AS (SELECT *, CASE WHEN vn > 0 THEN vs / vn ELSE 0.0::DOUBLE END AS mean, CASE WHEN vn > 0 THEN vs // vn ELSE 0 END AS fn,
-  CAST(ROUND(1000000 * (0.001::DOUBLE / 0.02::DOUBLE) * e) AS BIGINT) AS still,
-  CAST(ROUND(1000000 * ((0.001::DOUBLE / 0.02::DOUBLE) * ((xx - CAST(x * x AS DOUBLE) / h) + (yy - CAST(y * y AS DOUBLE) / h)))) AS BIGINT) AS moving FROM pr),
+  CAST(ROUND(1000000 * (0.001::DOUBLE / {w_seg}::DOUBLE) * e) AS BIGINT) AS still,
+  CAST(ROUND(1000000 * ((0.001::DOUBLE / {w_seg}::DOUBLE) * ((xx - CAST(x * x AS DOUBLE) / h) + (yy - CAST(y * y AS DOUBLE) / h)))) AS BIGINT) AS moving FROM pr),
 ca AS (SELECT p2.*, c2 * 1000000 + still <= c3 * 1000000 + moving AS plain,
-  4 * gd + CAST(ROUND(0.02::DOUBLE * (LEAST(c0, c1) * 1000000 + still)) AS BIGINT) AS g,
-  4 * (e.p - s.p + l.cost) + CAST(ROUND(0.02::DOUBLE * LEAST(c2 * 1000000 + still, c3 * 1000000 + moving)) AS BIGINT) AS o,
-  4 * sd + CAST(ROUND(0.02::DOUBLE * (c4 * 1000000 + still)) AS BIGINT) AS s
+  {w_disp} * gd + CAST(ROUND({w_seg}::DOUBLE * (LEAST(c0, c1) * 1000000 + still)) AS BIGINT) AS g,
+  {w_disp} * (e.p - s.p + l.cost) + CAST(ROUND({w_seg}::DOUBLE * LEAST(c2 * 1000000 + still, c3 * 1000000 + moving)) AS BIGINT) AS o,
+  {w_disp} * sd + CAST(ROUND({w_seg}::DOUBLE * (c4 * 1000000 + still)) AS BIGINT) AS s
   FROM p2 JOIN po e ON e.series_id = p2.series_id AND e.v = p2.vt AND e.fn = p2.fn
   JOIN po s ON s.series_id = p2.series_id AND s.v = p2.vb AND s.fn = p2.fn
   JOIN (SELECT series_id AS bs, v AS bv, COALESCE(d, -1) AS bd FROM cx) b ON b.bs = p2.series_id AND b.bv = p2.vb JOIN lut l ON l.fn = p2.fn AND l.d = b.bd),
@@ -165,8 +165,8 @@ seg AS (SELECT b.series_id, CAST(i AS INTEGER) AS seg_idx, CAST(CASE WHEN k = 1
   FROM bt b JOIN ca c ON c.series_id = b.series_id AND c.vt = b.vt AND c.vb = CASE b.k WHEN 0 THEN BG[b.vt + 1] WHEN 1 THEN BO[b.vt + 1] ELSE BS[b.vt + 1] END // 3)"""
 
 
-def sql(pairwise: bool, select: str) -> str:
-    return f"WITH RECURSIVE {candidate_sql()}, {recursion_sql(pairwise)} {select}"
+def sql(pairwise: bool, select: str, w_disp: int = 4, w_seg: str = "0.02") -> str:
+    return f"WITH RECURSIVE {candidate_sql(w_disp, w_seg)}, {recursion_sql(pairwise)} {select}"
 
 
 VIEWS = ("fx_series", "fx_class_cost")

@@ -1 +1,157 @@
-"""Queries."""
+"""Queries over streams and their batch twins."""
+
+from __future__ import annotations
+
+import time
+
+from pyspark.sql import functions as F
+
+from colonnade.operators.joins import micros
+from colonnade.plans import geometry, segmenting
+from colonnade.plans.registry import Tables, query
+from colonnade.streaming import jobs, sync
+
+HOUR = 3_600_000_000
+TOL2, TOL4, WIDTH = 6 * HOUR, 24 * HOUR, 96 * HOUR
+
+
+def messages(events):
+    return events.select("user_id", F.col("event_type").alias("topic"), micros(F.col("ts")).alias("us"), "event_id")
+
+
+def sync_sql(others: tuple[str, ...], tol: int, closed: str = "") -> str:
+    ctes = ["m AS (SELECT user_id, event_type AS topic, epoch_us(ts) AS us, event_id FROM events)"]
+    for o in others:
+        for name, a, b in ((f"f_{o}", "click", o), (f"g_{o}", o, "click")):
+            ctes.append(f"""{name} AS (SELECT a_id, b_id FROM (SELECT a.event_id AS a_id, b.event_id AS b_id,
+  ROW_NUMBER() OVER (PARTITION BY a.event_id ORDER BY abs(a.us - b.us), b.us, b.event_id) AS k
+  FROM m a JOIN m b ON a.user_id = b.user_id AND a.topic = '{a}' AND b.topic = '{b}' AND abs(a.us - b.us) <= {tol}) z WHERE k = 1)""")
+    joins = " ".join(f"JOIN f_{o} ON f_{o}.a_id = c.event_id JOIN g_{o} ON g_{o}.a_id = f_{o}.b_id AND g_{o}.b_id = c.event_id" for o in others)
+    cols = ", ".join(f'f_{o}.b_id AS "{o}"' for o in others)
+    return f"WITH {', '.join(ctes)} SELECT c.user_id, c.us, c.event_id AS click, {cols} FROM m c {joins} WHERE c.topic = 'click' {closed}"
+
+
+def closed_sql(tol: int, delay: int) -> str:
+    """Only anchors whose bucket lies wholly before the final watermark."""
+    return (f"AND (c.us // {WIDTH}) * {WIDTH} < (SELECT MAX((us + {2 * tol}) // {WIDTH}) * {WIDTH} - {delay} FROM m)")
+
+
+@query("q_sync2_batch", sql=sync_sql(("view",), TOL2))
+def q_sync2_batch(t):
+    return sync.sync_batch(messages(t.events), ["user_id"], "topic", "us", "event_id", "click", ["view"], TOL2, WIDTH)
+
+
+@query("q_sync4_batch", sql=sync_sql(("view", "signup", "purchase"), TOL4))
+def q_sync4_batch(t):
+    return sync.sync_batch(messages(t.events), ["user_id"], "topic", "us", "event_id", "click",
+                           ["view", "signup", "purchase"], TOL4, WIDTH)
+
+
+@query("q_stream_sync2", sql=sync_sql(("view",), TOL2, closed_sql(TOL2, 24 * HOUR)))
+def q_stream_sync2(t):
+    """Two topics; sets are given out once their bucket is closed by the watermark."""
+    stream = messages(jobs.open_stream(t.spark, t.sf_dir, "events.parquet").where("event_type IN ('click', 'view')"))
+    out = sync.sync_stream(stream, ["user_id"], "topic", "us", "event_id", "click", ["view"], TOL2, WIDTH, "24 hours")
+    return jobs.run_to_files(out, "sync2")
+
+
+@query("q_stream_sync4", sql=sync_sql(("view", "signup", "purchase"), TOL4, closed_sql(TOL4, 24 * HOUR)))
+def q_stream_sync4(t):
+    stream = messages(jobs.open_stream(t.spark, t.sf_dir, "events.parquet").where("event_type <> 'error'"))
+    out = sync.sync_stream(stream, ["user_id"], "topic", "us", "event_id", "click", ["view", "signup", "purchase"],
+                           TOL4, WIDTH, "24 hours")
+    return jobs.run_to_files(out, "sync4")
+
+
+@query("q_stream_frames", views=segmenting.VIEWS, sql=segmenting.sql(True, "SELECT * FROM seg"))
+def q_stream_frames(t):
+    """Every arriving batch of series goes through the whole segmentation."""
+    def work(batch):
+        local = Tables(batch.sparkSession, t.sf_dir)
+        local._open["events"] = batch
+        return segmenting.segments(local, True).withColumns(segmenting.ROUNDED)
+
+    return jobs.run_batches(jobs.open_stream(t.spark, t.sf_dir, "events.parquet"), "frames", work)
+
+
+@query("q_stream_config", sql="""
+SELECT event_id, n_regionkey AS region, ROUND(value * (1 + n_regionkey), 4) AS scaled FROM events JOIN nation ON n_nationkey = user_id % 25""")
+def q_stream_config(t):
+    """The configuration table is read anew for every batch, so changes take effect live."""
+    def work(batch):
+        config = batch.sparkSession.read.parquet(t.path("nation")).select("n_nationkey", F.col("n_regionkey").alias("region"))
+        keyed = batch.withColumn("n_nationkey", (F.col("user_id") % 25).cast("int"))
+        return keyed.join(config, "n_nationkey").select(
+            "event_id", "region", F.round(F.col("value") * (1 + F.col("region")), 4).alias("scaled"))
+
+    return jobs.run_batches(jobs.open_stream(t.spark, t.sf_dir, "events.parquet"), "config", work)
+
+
+@query("q_stream_late", sql="""
+WITH e AS (SELECT ts, event_id, CAST(ts AS DATE) AS day FROM events),
+q AS (SELECT epoch_us(MIN(ts)) + (epoch_us(MAX(ts)) - epoch_us(MIN(ts))) // 4 AS us, epoch_us(MAX(ts)) AS last FROM e)
+SELECT epoch_us(CAST(day AS TIMESTAMP)) AS start_us, COUNT(*) AS n FROM e, q
+WHERE NOT (event_id % 10 = 0 AND epoch_us(ts) <= us) AND epoch_us(CAST(day AS TIMESTAMP)) + 86400000000 <= last - 86400000000 GROUP BY 1""")
+def q_stream_late(t):
+    """Stragglers of the first quarter arrive last, far behind the watermark, and are dropped.
+
+    Three arrivals, one file each: the earlier half, the later half, the stragglers.
+    """
+    ev = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts")).withColumn("us", micros(F.col("ts")))
+    lo, hi = ev.agg(F.min("us"), F.max("us")).first()
+    early = F.col("us") <= lo + (hi - lo) // 2
+    straggler = (F.col("event_id") % 10 == 0) & (F.col("us") <= lo + (hi - lo) // 4)
+    folder = jobs.fresh(t.spark, "arrivals")
+    for part in (early & ~straggler, ~early, straggler):
+        ev.where(part).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.05)  # file times order the arrivals
+    stream = jobs.open_stream(t.spark, folder, "*.parquet", files_per_batch=1).withWatermark("ts", "1 day")
+    return jobs.run_to_files(jobs.throughput(stream.withColumn("one", F.lit(1)), "ts", "1 day", "one").select("start_us", "n"), "late")
+
+
+@query("q_throughput", sql="""
+SELECT epoch_us(date_trunc('hour', ts)) AS start_us, COUNT(*) AS n, CAST(SUM(CAST(ROUND(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1""")
+def q_throughput(t):
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    ev = t.events.select(F.col("ts").cast("timestamp").alias("ts"), cents.alias("cents"))
+    return jobs.throughput(ev, "ts", "1 hour", "cents")
+
+
+@query("q_stream_throughput", sql="""
+SELECT epoch_us(date_trunc('hour', ts)) AS start_us, COUNT(*) AS n, CAST(SUM(CAST(ROUND(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events
+GROUP BY 1 HAVING epoch_us(date_trunc('hour', MIN(ts))) + 3600000000 <= (SELECT epoch_us(MAX(ts)) - 3600000000 FROM events)""")
+def q_stream_throughput(t):
+    """Reported per hour, one hour behind the newest message."""
+    stream = jobs.open_stream(t.spark, t.sf_dir, "events.parquet")
+    ev = stream.select("ts", F.round(F.col("value") * 100).cast("bigint").alias("cents")).withWatermark("ts", "1 hour")
+    return jobs.run_to_files(jobs.throughput(ev, "ts", "1 hour", "cents"), "throughput")
+
+
+@query("q_message_assembly", views=("fx_segments",), sql="""
+SELECT frame_id, COUNT(*) AS n_segments, 12 * COUNT(*) AS n_vertices, TRUE AS complete,
+  string_agg(concat(CAST(col_id AS VARCHAR), ':', CAST(seg_idx AS VARCHAR)), ' ' ORDER BY col_id, seg_idx) AS segments FROM fx_segments GROUP BY 1""")
+def q_message_assembly(t):
+    """One message per frame: segments in order, each with its twelve vertex numbers.
+
+    A frame holds at most columns x rows segments, so the array is bounded by the grid.
+    """
+    vertices = F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in geometry.NAMES])
+    seg = geometry.quads(t).select("frame_id", F.struct("col_id", "seg_idx", "class_id", vertices.alias("vertices")).alias("s"))
+    msg = seg.groupBy("frame_id").agg(F.sort_array(F.collect_list("s")).alias("segs"))
+    n_vertices = F.aggregate("segs", F.lit(0), lambda a, s: a + F.size(s["vertices"]))
+    names = F.transform("segs", lambda s: F.concat_ws(":", s["col_id"].cast("string"), s["seg_idx"].cast("string")))
+    out = msg.select("frame_id", F.size("segs").cast("bigint").alias("n_segments"), n_vertices.cast("bigint").alias("n_vertices"),
+                     F.array_join(names, " ").alias("segments"))
+    return out.withColumn("complete", F.col("n_vertices") == 12 * F.col("n_segments"))
+
+
+@query("q_stream_sink", sql="""
+SELECT 'segments' AS sink, COUNT(*) AS n FROM events WHERE event_type = 'click'
+UNION ALL SELECT 'points', COUNT(*) FROM events WHERE event_type = 'view' UNION ALL SELECT 'markers', COUNT(*) FROM events WHERE event_type NOT IN ('click', 'view')""")
+def q_stream_sink(t):
+    """Three independent sinks of one source, each with its own checkpoint."""
+    stream = jobs.open_stream(t.spark, t.sf_dir, "events.parquet")
+    kinds = {"segments": "event_type = 'click'", "points": "event_type = 'view'", "markers": "event_type NOT IN ('click', 'view')"}
+    out = [jobs.run_to_files(stream.where(c).select("event_id", "user_id", "value"), k).agg(F.count("*").alias("n"))
+           .withColumn("sink", F.lit(k)) for k, c in kinds.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
