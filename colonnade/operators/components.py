@@ -13,20 +13,21 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
     Each round every vertex takes the smallest root among its neighbours, tells it
     to its own old root as well, and then jumps to the root of its root, so chains
-    halve and the rounds grow with the logarithm of the diameter.  Minima combine
-    map-side, and the state of a round is written to reliable storage.
+    halve and the rounds grow with the logarithm of the diameter.  A loop edge per
+    vertex lets one aggregation find both the offer and the old root.  Minima
+    combine map-side, and the state of a round is written to the shared folder.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = cut_lineage(both.distinct())
-    state = cut_lineage(vertices.select("v", F.col("v").alias("root")))
+    itself = vertices.select(F.col("v").alias("a"), F.col("v").alias("b"))
+    both = cut_lineage(both.unionByName(itself).distinct())
+    state = vertices.select("v", F.col("v").alias("root"))
     before = None
     while True:
         seen = state.select(F.col("v").alias("b"), F.col("root").alias("r"))
-        offer = both.join(seen, "b").groupBy("a").agg(F.min("r").alias("m"))
-        met = state.join(offer, F.col("v") == F.col("a"), "left")
-        told = met.select("v", F.least("root", "m").alias("root")).unionByName(
-            met.where(F.col("m") < F.col("root")).select(F.col("root").alias("v"), F.col("m").alias("root")))
-        hooked = told.groupBy("v").agg(F.min("root").alias("root"))
+        own = F.min(F.when(F.col("a") == F.col("b"), F.col("r")))
+        offer = both.join(seen, "b").groupBy("a").agg(F.min("r").alias("m"), own.alias("own"))
+        told = offer.select(F.explode(F.array_distinct(F.array("a", "own"))).alias("v"), "m")
+        hooked = told.groupBy("v").agg(F.min("m").alias("root"))
         parent = hooked.select(F.col("v").alias("root"), F.col("root").alias("up"))
         state = cut_lineage(hooked.join(parent, "root").select("v", F.col("up").alias("root")))
         total = state.agg(F.sum(F.col("root").cast("decimal(38,0)")).alias("s")).first()["s"]

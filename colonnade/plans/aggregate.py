@@ -72,12 +72,12 @@ g AS (SELECT *, CASE WHEN si <> 0 THEN abs(rho) / si END AS horizon FROM cand),
 p AS (SELECT *, -atan((32.0 - horizon) / 60.0) AS pitch, CASE WHEN co <> 0 THEN (abs(rho) - 63 * si) / co END AS down FROM g),
 s AS (SELECT *, CASE WHEN horizon <> 63 THEN -down / (horizon - 63) END AS slope FROM p),
 b AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY frame_id ORDER BY votes DESC, theta, rho) AS k FROM s WHERE abs(pitch) <= radians(50.0))
-SELECT frame_id, votes, theta, rho, ROUND(horizon, 4) AS horizon, ROUND(pitch, 6) AS pitch, ROUND(slope, 4) AS slope,
-  ROUND(CASE WHEN slope <> 0 THEN 0.5 * cos(pitch) / slope END, 3) AS camera_height, CAST(ceil(horizon) AS INTEGER) AS horizon_row FROM b WHERE k = 1""")
+SELECT frame_id, votes, theta, rho, ROUND(horizon, 8) AS horizon, ROUND(pitch, 8) AS pitch, ROUND(slope, 8) AS slope,
+  ROUND(CASE WHEN slope <> 0 THEN 0.5 * cos(pitch) / slope END, 6) AS camera_height, CAST(ceil(horizon) AS INTEGER) AS horizon_row FROM b WHERE k = 1""")
 def q_line_geometry(t):
     geo = lines.camera_geometry(peaks(t).where("peak").drop("peak"), last_row=63, focal=60.0, baseline=0.5, center_y=32.0)
     best = lines.first_acceptable(geo, ["frame_id"])
-    digits = {"horizon": 4, "pitch": 6, "slope": 4, "camera_height": 3}
+    digits = {"horizon": 8, "pitch": 8, "slope": 8, "camera_height": 6}
     return best.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
@@ -156,19 +156,19 @@ def q_avg_segments(t):
 @query("q_timing_mean", views=("fx_runs",), sql="""
 WITH k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY frame) AS k FROM fx_runs),
 m AS (SELECT run_id, COUNT(*) AS n, AVG(CASE WHEN k > 1 THEN ms / 100000.0::DOUBLE END) AS mean FROM k GROUP BY 1)
-SELECT run_id, n, ROUND(mean, 4) AS mean_ms, ROUND(1000.0 / mean, 4) AS fps FROM m""")
+SELECT run_id, n, ROUND(mean, 8) AS mean_ms, ROUND(1000.0 / mean, 8) AS fps FROM m""")
 def q_timing_mean(t):
     runs = t.fx_runs.withColumn("ms", F.col("ms") / 100000.0)
     m = ag.mean_after_first(runs, ["run_id"], "frame", "ms")
-    return m.select("run_id", "n", F.round("mean", 4).alias("mean_ms"), F.round(1000.0 / F.col("mean"), 4).alias("fps"))
+    return m.select("run_id", "n", F.round("mean", 8).alias("mean_ms"), F.round(1000.0 / F.col("mean"), 8).alias("fps"))
 
 
 @query("q_run_stats", views=("fx_runs",), sql="""
-SELECT run_id, COUNT(*) AS n, ROUND(AVG(ms / 100.0::DOUBLE), 2) AS mean, ROUND(stddev_pop(ms / 100.0::DOUBLE), 2) AS std FROM fx_runs GROUP BY 1""")
+SELECT run_id, COUNT(*) AS n, ROUND(AVG(ms / 100.0::DOUBLE), 6) AS mean, ROUND(stddev_pop(ms / 100.0::DOUBLE), 4) AS std FROM fx_runs GROUP BY 1""")
 def q_run_stats(t):
     ms = F.col("ms") / 100.0
     return t.fx_runs.groupBy("run_id").agg(
-        F.count("*").alias("n"), F.round(F.avg(ms), 2).alias("mean"), F.round(F.stddev_pop(ms), 2).alias("std"))
+        F.count("*").alias("n"), F.round(F.avg(ms), 6).alias("mean"), F.round(F.stddev_pop(ms), 4).alias("std"))
 
 
 @query("q_epoch_metrics", sql="""

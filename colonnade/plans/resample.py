@@ -44,13 +44,13 @@ def q_resize_nearest(t):
 
 @query("q_intrinsics_rescale", sql="""
 SELECT c_custkey, c_acctbal AS fx, ROUND(c_acctbal * 1792 / 2048, 6) AS u0,
-  ROUND((c_acctbal + 5) * 784 / 1024, 6) AS v0 FROM customer""")
+  ROUND((c_acctbal + 5) * 784 / 1024, 8) AS v0 FROM customer""")
 def q_intrinsics_rescale(t):
     bal = F.col("c_acctbal")
     cam = t.customer.select("c_custkey", F.struct(
         bal.alias("fx"), bal.alias("fy"), bal.alias("u0"), (bal + 5).alias("v0")).alias("camera"))
     out = cam.withColumn("camera", rs.rescale_center(F.col("camera"), (784, 1792), (1024, 2048)))
-    return out.select("c_custkey", "camera.fx", F.round("camera.u0", 6).alias("u0"), F.round("camera.v0", 6).alias("v0"))
+    return out.select("c_custkey", "camera.fx", F.round("camera.u0", 6).alias("u0"), F.round("camera.v0", 8).alias("v0"))
 
 
 @query("q_uniform_shape", views=("fx_pixels",), sql="""
