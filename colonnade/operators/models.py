@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colonnade.functions.constants import MODEL_DEFAULTS, PI
@@ -57,33 +57,40 @@ def ground_line(alpha: Column, vhor: Column, v: Column) -> Column:
     return alpha * (vhor - v)
 
 
-def _gauss_norm(mass: Column, sigma: Column, pout: float) -> Column:
-    return F.log(mass) - F.log((1.0 - pout) / (sigma * math.sqrt(2.0 * PI)))
+def _with_gauss(df: DataFrame, m: Model, fn: str, var: Column) -> DataFrame:
+    """Adds ``norm`` and ``inv`` (1 / 2 sigma^2) of a Gaussian at ``fn`` cut to the value range.
+
+    Built in steps: each intermediate is a column of its own, because an expression
+    that repeats its argument many times must not be repeated itself.
+    """
+    root2 = math.sqrt(2.0)
+    df = df.withColumn("_var", var).withColumn("_sigma", F.sqrt("_var"))
+    df = df.withColumns({"_x1": (m.max_dis - F.col(fn)) / (F.col("_sigma") * root2), "_x2": -F.col(fn) / (F.col("_sigma") * root2)})
+    df = df.withColumns({"_e1": erf(F.col("_x1")), "_e2": erf(F.col("_x2"))})
+    mass = 0.5 * (F.col("_e1") - F.col("_e2"))
+    norm = F.log(F.when(mass > 0, mass)) - F.log((1.0 - m.p["pout"]) / (F.col("_sigma") * math.sqrt(2.0 * PI)))
+    return df.withColumns({"norm": norm, "inv": 1.0 / (2.0 * F.col("_var"))}).drop("_var", "_sigma", "_x1", "_x2", "_e1", "_e2")
 
 
-def ground_model(m: Model, fn: Column, v: Column, vhor: Column) -> tuple[Column, Column]:
-    """(norm, 1 / 2 sigma^2) of the ground value at row ``v``.
+def with_ground_model(df: DataFrame, m: Model, fn: str = "fn", v: str = "v", vhor: str = "vhor") -> DataFrame:
+    """Adds norm and inv of the ground value ``fn`` at row ``v``.
 
     The norm is null from the horizon up: there is no ground there, and the mass
     inside the value range would be a difference of two almost equal numbers.
     """
     fb = m.focal * m.baseline / m.camera_height
-    x = m.tilt + (vhor - v) / m.focal
+    df = df.withColumn("_x", m.tilt + (F.col(vhor) - F.col(v)) / m.focal)
     var = (m.p["sigma_disparity_ground"] ** 2
-           + fb * fb * (m.p["sigma_camera_height"] ** 2 * x * x / m.camera_height ** 2 + m.tilt_sigma ** 2))
-    sigma = F.sqrt(var)
-    mass = 0.5 * (erf((m.max_dis - fn) / (sigma * math.sqrt(2.0))) - erf(-fn / (sigma * math.sqrt(2.0))))
-    norm = F.when(v < vhor, _gauss_norm(F.when(v < vhor, mass), sigma, m.p["pout"]))
-    return norm, 1.0 / (2.0 * var)
-
-
-def object_model(m: Model, fn: Column) -> tuple[Column, Column]:
-    """(norm, 1 / 2 sigma^2) of an object at value ``fn``."""
-    spread = fn * fn * m.p["range_objects_z"] / (m.focal * m.baseline)
-    var = m.p["sigma_disparity_object"] ** 2 + spread * spread
-    sigma = F.sqrt(var)
-    mass = 0.5 * (erf((m.max_dis - fn) / (sigma * math.sqrt(2.0))) - erf(-fn / (sigma * math.sqrt(2.0))))
-    return _gauss_norm(mass, sigma, m.p["pout"]), 1.0 / (2.0 * var)
+           + fb * fb * (m.p["sigma_camera_height"] ** 2 * F.col("_x") * F.col("_x") / m.camera_height ** 2 + m.tilt_sigma ** 2))
+    out = _with_gauss(df, m, fn, var).drop("_x")
+    return out.withColumn("norm", F.when(F.col(v) < F.col(vhor), F.col("norm")))
+
+
+def with_object_model(df: DataFrame, m: Model, fn: str = "fn") -> DataFrame:
+    """Adds norm and inv of an object at value ``fn`` (a double column)."""
+    df = df.withColumn("_spread", F.col(fn) * F.col(fn) * m.p["range_objects_z"] / (m.focal * m.baseline))
+    var = m.p["sigma_disparity_object"] ** 2 + F.col("_spread") * F.col("_spread")
+    return _with_gauss(df, m, fn, var).drop("_spread")
 
 
 def object_range(m: Model, mean: Column) -> Column:

@@ -14,20 +14,22 @@ def pack_dense(df: DataFrame, keys: list[str], pos: str, cols: dict[str, tuple[s
     Positions must be unique per key and below ``length``; a larger one is an
     error rather than a silent loss.
     """
-    entry = F.struct(F.col(pos).cast("int").alias("p"), F.struct(
-        *[F.col(src).alias(out) for out, (src, _) in cols.items()]).alias("s"))
-    packed = df.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(entry)).alias("_m"), F.max(pos).alias("_hi"), F.min(pos).alias("_lo"))
+    kinds = dict(df.dtypes)
+    entry = F.struct(F.col(pos).cast("int").alias("p"), *[F.col(src).alias(out) for out, (src, _) in cols.items()])
+    packed = df.groupBy(*keys).agg(F.collect_list(entry).alias("_e"), F.max(pos).alias("_hi"), F.min(pos).alias("_lo"))
     fault = F.raise_error(F.concat(F.lit(f"position outside 0..{length - 1}: "), F.col("_hi").cast("string")))
     index = F.when((F.col("_hi") >= length) | (F.col("_lo") < 0), fault.cast("array<int>")).otherwise(
         F.sequence(F.lit(0), F.lit(length - 1)))
-    kinds = dict(df.dtypes)
+    blank = [F.lit(absent).cast(kinds[src]).alias(out) for out, (src, absent) in cols.items()]
+    missing = F.transform(F.array_except(index, F.col("_e.p")), lambda i: F.struct(i.alias("p"), *blank))
+    dense = packed.select(*keys, F.array_sort(F.concat("_e", missing)).alias("_d"))
 
-    def dense(out: str, src: str, absent) -> Column:
-        empty = F.lit(absent).cast(kinds[src])
-        return F.transform("_i", lambda i: F.coalesce(F.try_element_at("_m", i)[out], empty)).alias(out)
+    def values(out: str, src: str, absent) -> Column:
+        """Known nulls become the absent value too."""
+        got = F.col(f"_d.{out}")
+        return (got if absent is None else F.transform(got, lambda x: F.coalesce(x, F.lit(absent).cast(kinds[src])))).alias(out)
 
-    return packed.withColumn("_i", index).select(*keys, *[dense(o, s, a) for o, (s, a) in cols.items()])
+    return dense.select(*keys, *[values(o, s, a) for o, (s, a) in cols.items()])
 
 
 def prefix_array(values: Column, zero: Column | None = None) -> Column:

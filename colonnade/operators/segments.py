@@ -39,12 +39,11 @@ def object_table(spark, m: models.Model) -> DataFrame:
     """
     if m.max_dis > MAX_BROADCAST_LEVELS:
         raise ValueError("too many value levels for a broadcast table")
-    fn = spark.range(m.max_dis).select(F.col("id").cast("int").alias("fn"))
-    norm, inv = models.object_model(m, F.col("fn").cast("double"))
-    fn = fn.select("fn", norm.alias("norm"), inv.alias("inv"))
+    fn = spark.range(m.max_dis).select(F.col("id").cast("int").alias("fn"), F.col("id").cast("double").alias("f"))
+    fn = models.with_object_model(fn, m, "f")
     levels = fn.select("*", F.explode(F.sequence(F.lit(-1), F.lit(m.max_dis - 1))).alias("d"))
     seen = F.when(F.col("d") >= 0, F.col("d").cast("double"))
-    cost = models.object_cost(m, F.col("norm"), F.col("inv"), F.col("fn").cast("double"), seen)
+    cost = models.object_cost(m, F.col("norm"), F.col("inv"), F.col("f"), seen)
     return F.broadcast(levels.select("fn", "d", models.micro(cost).alias("cost")))
 
 

@@ -200,8 +200,7 @@ def plane(t):
 def ground_rows(t):
     rows = plane(t).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(63))))
     rows = rows.withColumn("fn", models.ground_line(F.col("alpha"), F.col("vhor"), F.col("v")))
-    norm, inv = models.ground_model(MODEL, F.col("fn"), F.col("v"), F.col("vhor"))
-    return rows.select("frame_id", "vhor", "v", "fn", norm.alias("norm"), inv.alias("inv"))
+    return models.with_ground_model(rows, MODEL).select("frame_id", "vhor", "v", "fn", "norm", "inv")
 
 
 @query("q_ground_model", views=("fx_pixels",), sql=f"""
@@ -218,11 +217,10 @@ SELECT frame_id, d, ROUND({object_sql(51)}, 6) AS norm, ROUND(1 / (2 * sigma * s
 def q_object_model(t):
     """Object model of every value level a frame has, with the camera of the frame."""
     m = models.Model(rows=64, max_dis=51, focal=60.0 + F.col("frame_id") % 5, baseline=0.5)
-    level = F.col("d").cast("double")
-    norm, inv = models.object_model(m, level)
-    return t.fx_pixels.select("frame_id", "d").distinct().select(
-        "frame_id", "d", F.round(norm, 6).alias("norm"), F.round(inv, 8).alias("inv"),
-        F.round(models.object_range(m, level), 6).alias("range_"))
+    levels = t.fx_pixels.select("frame_id", "d").distinct().withColumn("fn", F.col("d").cast("double"))
+    return models.with_object_model(levels, m).select(
+        "frame_id", "d", F.round("norm", 6).alias("norm"), F.round("inv", 8).alias("inv"),
+        F.round(models.object_range(m, F.col("fn")), 6).alias("range_"))
 
 
 SKY_SQL = "-ln(1 - 0.21::DOUBLE) + LEAST(ln(51) - ln(0.4::DOUBLE), ln(0.5::DOUBLE) - ln(0.6::DOUBLE / (0.1::DOUBLE * sqrt(2 * 3.1416::DOUBLE))) + d * d * 50.0::DOUBLE)"

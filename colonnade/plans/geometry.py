@@ -10,12 +10,16 @@ from colonnade.plans.registry import query
 
 SEG = ["frame_id", "col_id", "seg_idx"]
 CAM = geo.Camera(focal=60.0, baseline=0.5, center_x=32.0, center_y=32.0, focal_y=62.0)
-VHOR = (40 + F.col("frame_id") % 8).cast("int")
-ALPHA = 48.0 / (40 + F.col("frame_id") % 8)
+
+
+def plane():
+    """Slope and horizon of a frame's ground, from the frame id."""
+    horizon = 40 + F.col("frame_id") % 8
+    return 48.0 / horizon, horizon.cast("int")
 
 
 def quads(t):
-    return geo.quads(t.fx_segments, CAM, 64, 8, ALPHA, VHOR)
+    return geo.quads(t.fx_segments, CAM, 64, 8, *plane())
 
 
 def corner_sql() -> str:
@@ -80,7 +84,7 @@ SELECT frame_id, col_id, seg_idx, class_id, 'object' AS part, 0 AS corner, CAST(
 UNION ALL SELECT frame_id, col_id, seg_idx, class_id, 'ground', k, CAST(CASE WHEN k IN (0, 3) THEN x0 ELSE x1 END AS DOUBLE), CAST(CASE WHEN k < 2 THEN y0 ELSE y1 END AS DOUBLE), ROUND(CASE WHEN k < 2 THEN d0 ELSE d1 END, 6) + 0.0, 0
 FROM b CROSS JOIN (SELECT CAST(k AS INTEGER) AS k FROM range(4) g(k)) WHERE type = 0""")
 def q_pointcloud(t):
-    obj, ground = geo.pointcloud(t.fx_segments, SEG, 64, 8, ALPHA, VHOR)
+    obj, ground = geo.pointcloud(t.fx_segments, SEG, 64, 8, *plane())
     obj = obj.withColumn("part", F.lit("object")).withColumn("corner", F.lit(0))
     ground = ground.withColumn("part", F.lit("ground")).withColumn("n_rows", F.lit(0)).withColumn("d", F.round("d", 6) + 0.0)
     return obj.unionByName(ground)

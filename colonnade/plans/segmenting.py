@@ -25,28 +25,29 @@ def columns(t):
     counts = counts.withColumn("ox", ox).withColumn("oy", oy)
     fields = {f"n{c}": (f"n{c}", 0) for c in range(5)} | {"ox": ("ox", -2), "oy": ("oy", 0)}
     coarse = packed.pack_dense(counts, ["series_id"], "k", fields, COARSE)
-    j = d.join(coarse, "series_id")
-    j = j.withColumn("vhor", (16 + F.col("series_id") % 5).cast("bigint"))
-    alpha = 30.0 / F.col("vhor")
-    rows = F.sequence(F.lit(0), F.lit(ROWS - 1))
-
-    def ground(i):
-        fn = models.ground_line(alpha, F.col("vhor"), i)
-        norm, inv = models.ground_model(MODEL, fn, i, F.col("vhor"))
-        return F.struct(fn.alias("fn"), norm.alias("norm"), inv.alias("inv"))
-
-    j = j.withColumn("g", F.transform(rows, ground))
-    g_cost = F.zip_with("d", F.transform("g", lambda g, i: F.struct(g.alias("g"), i.alias("i"))), lambda x, y: F.coalesce(
-        models.micro(models.ground_cost(MODEL, y["g"]["norm"], y["g"]["inv"], y["g"]["fn"], x.cast("double"), y["i"], F.col("vhor"))),
-        F.lit(models.IMPOSSIBLE).cast("bigint")))
-    s_cost = F.transform("d", lambda x, i: models.micro(models.sky_cost(MODEL, x.cast("double"), i, F.col("vhor"))))
-    coarse_of = lambda a, i: F.element_at(a, F.floor(i / FACTOR).cast("int") + 1)
+    # per row: ground value, model and data costs; rows stay where their series was packed
+    rows = d.select("series_id", (16 + F.col("series_id") % 5).cast("bigint").alias("vhor"), F.posexplode("d").alias("v", "d"))
+    rows = rows.withColumn("fn", models.ground_line(30.0 / F.col("vhor"), F.col("vhor"), F.col("v")))
+    rows = models.with_ground_model(rows, MODEL)
+    seen = F.col("d").cast("double")
+    ground = models.ground_cost(MODEL, F.col("norm"), F.col("inv"), F.col("fn"), seen, F.col("v"), F.col("vhor"))
+    sky = models.sky_cost(MODEL, seen, F.col("v"), F.col("vhor"))
+    rows = rows.select("series_id", "vhor", F.struct(
+        "v", F.coalesce("d", F.lit(-1)).alias("d"), "fn",
+        F.coalesce(models.micro(ground), F.lit(models.IMPOSSIBLE)).alias("g"), models.micro(sky).alias("s")).alias("r"))
+    fine = rows.groupBy("series_id").agg(F.first("vhor").alias("vhor"), F.sort_array(F.collect_list("r")).alias("r"))
+    j = fine.join(coarse, "series_id")
+    index = F.sequence(F.lit(0), F.lit(ROWS - 1))
+
+    def coarse_of(name, i):
+        return F.element_at(name, F.floor(i / FACTOR).cast("int") + 1)
+
     cost = [F.transform(f"n{c}", lambda n: 8 * (10 - F.least(n, F.lit(10)))) for c in range(5)]
     return j.select(
-        "series_id", "vhor", F.transform("d", lambda x: F.coalesce(x, F.lit(-1))).alias("d"),
-        F.transform("g", lambda g: g["fn"]).alias("ground_fn"), g_cost.alias("ground_cost"), s_cost.alias("sky_cost"),
-        F.transform(rows, lambda i: F.col("series_id") * 8 + 4 + coarse_of("ox", i)).alias("x"),
-        F.transform(rows, lambda i: i - coarse_of("oy", i)).alias("y"),
+        "series_id", "vhor", F.col("r.d").alias("d"), F.col("r.fn").alias("ground_fn"), F.col("r.g").alias("ground_cost"),
+        F.col("r.s").alias("sky_cost"),
+        F.transform(index, lambda i: F.col("series_id") * 8 + 4 + coarse_of("ox", i)).alias("x"),
+        F.transform(index, lambda i: i - coarse_of("oy", i)).alias("y"),
         F.zip_with("ox", "oy", lambda a, b: a * a + b * b).alias("offset_energy"),
         F.concat(*cost).alias("class_cost"))
 
@@ -170,7 +171,10 @@ def sql(pairwise: bool, select: str, w_disp: int = 4, w_seg: str = "0.02") -> st
 
 
 VIEWS = ("fx_series", "fx_class_cost")
-ROUNDED = {"disparity": F.round("disparity", 6), "mean_x": F.round("mean_x", 6), "mean_y": F.round("mean_y", 6)}
+
+
+def rounded(segs):
+    return segs.withColumns({c: F.round(c, 6) for c in ("disparity", "mean_x", "mean_y")})
 
 
 @query("q_segment_dp", views=VIEWS, sql=sql(True, """
@@ -184,10 +188,10 @@ def q_segment_dp(t):
 
 @query("q_backtrace", views=VIEWS, sql=sql(True, "SELECT * FROM seg"))
 def q_backtrace(t):
-    return segments(t, True).withColumns(ROUNDED)
+    return rounded(segments(t, True))
 
 
 @query("q_segment_unary", views=VIEWS, sql=sql(False, "SELECT * FROM seg"))
 def q_segment_unary(t):
     """Costs without the cost of what lies below; the reach-back only fixes types."""
-    return segments(t, False).withColumns(ROUNDED)
+    return rounded(segments(t, False))

@@ -69,7 +69,7 @@ def q_stream_frames(t):
     def work(batch):
         local = Tables(batch.sparkSession, t.sf_dir)
         local._open["events"] = batch
-        return segmenting.segments(local, True).withColumns(segmenting.ROUNDED)
+        return segmenting.rounded(segmenting.segments(local, True))
 
     return jobs.run_batches(jobs.open_stream(t.spark, t.sf_dir, "events.parquet"), "frames", work)
 
