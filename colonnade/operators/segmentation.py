@@ -94,95 +94,131 @@ class Columns:
     def __init__(self, task: Task, a: dict[str, np.ndarray]):
         m, self.task = task.model, task
         self.vhor, self.ground = a["vhor"], a["ground_fn"]
-        d = a["d"]
+        d, n = a["d"], m.rows
         level = np.where(d < 0, m.max_dis, d)
         self.valid, self.total = prefix((d >= 0).astype(np.int64)), prefix(np.where(d < 0, 0, d))
         self.data = {GROUND: prefix(a["ground_cost"]), SKY: prefix(a["sky_cost"])}
         self.object_data = prefix(object_lut(m).T[level], axis=1)  # [column, row, model value]
-        self.classes, self.energy = prefix(a["class_cost"]), prefix(a["offset_energy"])
+        # coarse channels, one entry per fine row: the same sums as weighting coarse rows by overlap
+        self.classes = prefix(np.repeat(a["class_cost"], task.factor, axis=2)[:, :, :n])
+        self.energy = prefix(np.repeat(a["offset_energy"], task.factor, axis=1)[:, :n])
         self.sums = {k: prefix(v) for k, v in (
             ("x", a["x"]), ("y", a["y"]), ("xx", a["x"] ** 2), ("yy", a["y"] ** 2))}
         self.range = np.array([v - m.focal * m.baseline / (m.focal * m.baseline / v + m.p["range_objects_z"])
                                if v else 0.0 for v in range(m.max_dis)])
 
-    def coarse(self, p: np.ndarray, b: np.ndarray, t: int) -> np.ndarray:
-        """Sum of a coarse channel over fine rows b..t."""
-        f = self.task.factor
-        qb, qt = b // f, t // f
-        return ((p[..., qt][..., None] - p[..., qb]) * f + (p[..., qt + 1] - p[..., qt])[..., None] * (t % f + 1)
-                - (p[..., qb + 1] - p[..., qb]) * (b % f))
+    def mean(self, n_valid: np.ndarray, total: np.ndarray) -> np.ndarray:
+        return np.where(n_valid > 0, total / np.maximum(n_valid, 1), 0.0)
 
-    def mean(self, b: np.ndarray, t: int) -> np.ndarray:
-        """Mean valid value of rows b..t for bottoms [start] or per column [column, start]."""
-        rows = np.arange(len(self.vhor))[:, None]
-        lo = np.broadcast_to(b, (len(rows), np.shape(b)[-1]))
-        n = self.valid[:, t + 1][:, None] - self.valid[rows, lo]
-        s = self.total[:, t + 1][:, None] - self.total[rows, lo]
-        return np.where(n > 0, s / np.maximum(n, 1), 0.0)
-
-    def class_terms(self, b: np.ndarray, t: int):
-        """Weighted class cost per type and the class that gives it, for bottoms ``b``."""
-        w, r = self.task.weights, self.task.roles
-        h = t - b + 1
-        d = {k: p[:, t + 1][:, None] - p[:, b] for k, p in self.sums.items()}
-        scatter = (d["xx"] - d["x"] * d["x"] / h) + (d["yy"] - d["y"] * d["y"] / h)
-        moving = to_micro(w.relative_instance * scatter)
-        still = to_micro(w.relative_instance * self.coarse(self.energy, b, t).astype(float))
-        cost = self.coarse(self.classes, b, t) * MICRO
-        g0, g1 = (cost[:, c] for c in r.ground)
-        objects = [cost[:, c] + still for c in r.plain] + [cost[:, c] + moving for c in r.instance]
-        stack = np.stack(objects)
-        best = stack.argmin(axis=0)
-        order = np.array(r.plain + r.instance)
-        return (
-            {GROUND: self.weigh(np.minimum(g0, g1) + still), OBJECT: self.weigh(stack.min(axis=0)),
-             SKY: self.weigh(cost[:, r.sky] + still)},
-            {GROUND: np.where(g0 < g1, *r.ground), OBJECT: order[best], SKY: np.full(best.shape, r.sky)})
+    def offset_terms(self, energy, x, y, xx, yy, h):
+        """(moving, still): what instance and other classes pay for the offsets of a segment."""
+        w = self.task.weights.relative_instance
+        if w == 0.0:
+            return 0, 0
+        scatter = (xx - x * x / h) + (yy - y * y / h)
+        return to_micro(w * scatter), to_micro(w * energy.astype(float))
 
     def weigh(self, micro_cost: np.ndarray) -> np.ndarray:
         return np.floor(self.task.weights.segmentation * micro_cost + 0.5).astype(np.int64)
 
-    def segment_terms(self, b: np.ndarray, t: int):
-        """Data and class cost of the segments b..t per type, their means and classes."""
-        mean = self.mean(b, t)
-        fn = np.floor(mean).astype(np.int64)
-        rows = np.arange(len(self.vhor))[:, None]
-        data = {k: p[:, t + 1][:, None] - p[:, b] for k, p in self.data.items()}
-        data[OBJECT] = self.object_data[rows, t + 1, fn] - self.object_data[rows, b[None, :], fn]
-        cls, pick = self.class_terms(b, t)
+    def weigh_data(self, cost: np.ndarray) -> np.ndarray:
         w = self.task.weights.disparity
-        weigh = (lambda x: x) if w == 1.0 else (lambda x: np.floor(w * x + 0.5).astype(np.int64))
-        return {k: weigh(data[k]) + cls[k] for k in data}, mean, pick
+        return cost if w == 1.0 else np.floor(w * cost + 0.5).astype(np.int64)
+
+    def segment_terms(self, t: int):
+        """Data plus class cost per type of all segments that end at row ``t``, and their means."""
+        r, b = self.task.roles, slice(0, t + 1, self.task.min_height)
+        upto = lambda p: p[:, t + 1][:, None] - p[:, b]
+        mean = self.mean(upto(self.valid), upto(self.total))
+        fn = mean.astype(np.int64)
+        starts = np.arange(t + 1)[b]
+        rows = np.arange(len(self.vhor))[:, None]
+        data = {k: upto(p) for k, p in self.data.items()}
+        data[OBJECT] = np.take_along_axis(self.object_data[:, t + 1], fn, axis=1) - self.object_data[rows, starts[None, :], fn]
+
+        def cheapest(channels):
+            p = self.classes[:, list(channels)]
+            return (p[:, :, t + 1][:, :, None] - p[:, :, b]).min(axis=1) * MICRO
+
+        moving, still = self.offset_terms(upto(self.energy), *(upto(self.sums[k]) for k in ("x", "y", "xx", "yy")), t + 1 - starts)
+        cls = {GROUND: cheapest(r.ground) + still, SKY: cheapest((r.sky,)) + still,
+               OBJECT: np.minimum(cheapest(r.plain) + still, cheapest(r.instance) + moving)}
+        return {k: self.weigh_data(data[k]) + self.weigh(cls[k]) for k in data}, mean
+
+    def best_class(self, who: np.ndarray, b: np.ndarray, t: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Class of one segment b..t per listed column: ground ties to the second ground
+        class, objects to the lowest."""
+        r = self.task.roles
+        over = lambda p: p[who, t + 1] - p[who, b]
+        cost = (self.classes[who, :, t + 1] - self.classes[who, :, b]) * MICRO
+        moving, still = self.offset_terms(over(self.energy), *(over(self.sums[k]) for k in ("x", "y", "xx", "yy")), t - b + 1)
+        order = np.array(r.plain + r.instance)
+        paid = np.column_stack([cost[:, c] + (still if c in r.plain else moving) for c in order])
+        ground = np.where(cost[:, r.ground[0]] < cost[:, r.ground[1]], *r.ground)
+        return np.where(kind == GROUND, ground, np.where(kind == SKY, r.sky, order[paid.argmin(axis=1)]))
 
 
 def neg_log(p: float, width: np.ndarray) -> np.ndarray:
     return np.where(width > 0, -math.log(p) + np.log(np.where(width > 0, width, 1.0)), np.inf)
 
 
-def transitions(c: Columns, b: np.ndarray, mean: np.ndarray, below_mean: np.ndarray):
-    """Prior cost [to][from] of segments starting at rows ``b`` > 0."""
-    m = c.task.model
-    p, eps, top = m.p, m.p["epsilon"], float(m.max_dis)
-    u = np.log(float(m.rows) - b)[None, :]
-    g = c.ground[:, b - 1]
-    low = (b - 1)[None, :] < c.vhor[:, None]
-    gp = np.maximum(g, 0.0)
-    r = np.maximum(c.range[np.floor(below_mean).astype(np.int64)], 0.0)
-    ln2, inf = math.log(2.0), np.inf
-    from_ground = -math.log(0.7) + u + np.where(
-        mean > gp + eps, neg_log(p["pgrav"], top - gp - eps),
-        np.where(mean < gp - eps, neg_log(p["pblg"], gp - eps),
-                 -math.log(1 - p["pgrav"] - p["pblg"]) + math.log(2 * eps)))
-    from_object = np.where(low, -math.log(0.7), ln2) + u + np.where(
-        mean > below_mean + r, neg_log(p["pord"], top - below_mean - r),
-        np.where(mean < below_mean - r, neg_log(1 - p["pord"], below_mean - r), inf))
-    from_sky = np.where(mean > eps, math.log(top - eps) + u, inf)
-    stay = np.where(low, -math.log(0.3) + u, inf)
-    raw = {GROUND: {GROUND: stay, OBJECT: stay},
-           SKY: {GROUND: np.where(~low & (g < 1.0), u, inf), OBJECT: np.where(~low & (below_mean >= eps), ln2 + u, inf)},
-           OBJECT: {GROUND: from_ground, OBJECT: from_object, SKY: from_sky}}
-    w = c.task.weights.prior
-    return {to: {frm: to_micro(w * x) for frm, x in row.items()} for to, row in raw.items()}
+class Entries:
+    """Cost of starting a segment at each row, given the best that ends just below.
+
+    A row is settled once; what then still depends on the new segment is only on
+    which side of a threshold its mean lies.
+    """
+
+    def __init__(self, c: Columns, n: int):
+        size = len(c.vhor)
+        cost = lambda: np.full((size, n), IMPOSSIBLE, dtype=np.int64)
+        self.c = c
+        self.ground, self.sky = cost(), cost()
+        self.below = {k: np.full((size, n), OBJECT) for k in (GROUND, SKY)}
+        self.near_ground = [cost() for _ in range(3)]  # mean above, below, within the ground value
+        self.near_object = [cost() for _ in range(3)]
+        self.over_sky = cost()
+        self.ground_hi, self.ground_lo, self.object_hi, self.object_lo = (np.zeros((size, n)) for _ in range(4))
+        self.sky_limit = c.task.model.p["epsilon"] if c.task.pairwise else -1.0
+
+    def settle(self, p: int, best: np.ndarray, below_mean: np.ndarray) -> None:
+        """Fixes the entries of row ``p + 1`` from the best costs [column, type] at row ``p``."""
+        c, b, m = self.c, p + 1, self.c.task.model
+        low = p < c.vhor
+        on = {k: best[:, k] for k in (GROUND, OBJECT, SKY)}
+        q, eps, top, g = m.p, m.p["epsilon"], float(m.max_dis), c.ground[:, p]
+        gp, r = np.maximum(g, 0.0), np.maximum(c.range[np.floor(below_mean).astype(np.int64)], 0.0)
+        u, ln2 = math.log(float(m.rows) - b), math.log(2.0)
+
+        def via(kind: int, prior) -> np.ndarray:
+            if not c.task.pairwise:
+                return on[kind]
+            return np.minimum(on[kind] + to_micro(c.task.weights.prior * prior), IMPOSSIBLE)
+
+        stay = -math.log(0.3) + u
+        options = {GROUND: (via(GROUND, stay), via(OBJECT, stay)),
+                   SKY: (via(GROUND, np.where(g < 1.0, u, np.inf)), via(OBJECT, np.where(below_mean >= eps, ln2 + u, np.inf)))}
+        for kind, table, allowed in ((GROUND, self.ground, low), (SKY, self.sky, ~low)):
+            x, y = options[kind]
+            table[:, b] = np.where(allowed, np.minimum(x, y), IMPOSSIBLE)
+            self.below[kind][:, b] = np.where(x < y, GROUND, OBJECT)
+        rise = -math.log(0.7) + u
+        for table, prior in zip(self.near_ground, (neg_log(q["pgrav"], top - gp - eps), neg_log(q["pblg"], gp - eps),
+                                                   -math.log(1 - q["pgrav"] - q["pblg"]) + math.log(2 * eps))):
+            table[:, b] = via(GROUND, rise + prior)
+        stack = np.where(low, -math.log(0.7), ln2) + u
+        for table, prior in zip(self.near_object, (neg_log(q["pord"], top - below_mean - r), neg_log(1 - q["pord"], below_mean - r), np.inf)):
+            table[:, b] = via(OBJECT, stack + prior)
+        self.over_sky[:, b] = via(SKY, math.log(top - eps) + u)
+        self.ground_hi[:, b], self.ground_lo[:, b] = gp + eps, gp - eps
+        self.object_hi[:, b], self.object_lo[:, b] = below_mean + r, below_mean - r
+
+    def object_options(self, b, mean: np.ndarray) -> list[np.ndarray]:
+        """Cost on ground, on an object and on sky for new objects with these means."""
+        at = lambda table: table[b] if isinstance(b, tuple) else table[:, b]
+        pick = lambda tables, hi, lo: np.where(mean > at(hi), at(tables[0]), np.where(mean < at(lo), at(tables[1]), at(tables[2])))
+        return [pick(self.near_ground, self.ground_hi, self.ground_lo), pick(self.near_object, self.object_hi, self.object_lo),
+                np.where(mean > self.sky_limit, at(self.over_sky), IMPOSSIBLE)]
 
 
 def first_priors(c: Columns, t: int):
@@ -191,64 +227,56 @@ def first_priors(c: Columns, t: int):
     rows = math.log(m.rows)
     ground = np.where(low, math.log(2.0) + rows, np.inf)
     obj = rows + np.where(low, math.log(2.0), 0.0) + math.log(m.max_dis)
-    return {GROUND: ground, OBJECT: obj}
-
-
-def weigh_prior(c: Columns, cost: np.ndarray) -> np.ndarray:
-    w = c.task.weights.prior
-    return cost if w == 1.0 else np.where(cost >= IMPOSSIBLE, IMPOSSIBLE, np.floor(w * cost + 0.5)).astype(np.int64)
+    return {GROUND: ground, OBJECT: obj, SKY: np.full(len(c.vhor), np.inf)}
 
 
 def fold(c: Columns, n: int):
-    """Best cost [column, top, type], where that segment starts, the type below it, its class."""
-    size, h = len(c.vhor), c.task.min_height
+    """Best cost [column, top, type], where that segment starts, and the type below it."""
+    size, h, w, pairwise = len(c.vhor), c.task.min_height, c.task.weights.prior, c.task.pairwise
     cost = np.full((size, n, 3), IMPOSSIBLE, dtype=np.int64)
     start = np.zeros((size, n, 3), dtype=np.int64)
     below = np.full((size, n, 3), OBJECT, dtype=np.int64)
-    chosen = np.zeros((size, n, 3), dtype=np.int64)
-    object_mean = np.zeros((size, n))
-    every = np.arange(size)
+    entries, every = Entries(c, n), np.arange(size)
     for t in range(h - 1, n, h):
-        b = np.arange(0, t + 1, h)
-        terms, mean, classes = c.segment_terms(b, t)
-        new = {k: np.full((size, len(b)), IMPOSSIBLE, dtype=np.int64) for k in terms}
-        frm = {k: np.full((size, len(b)), OBJECT, dtype=np.int64) for k in terms}
-        height_cost = to_micro(c.task.weights.prior / (t - b + 1.0))
+        b = slice(0, t + 1, h)
+        starts = np.arange(t + 1)[b]
+        terms, mean = c.segment_terms(t)
+        entry = {GROUND: entries.ground[:, b], SKY: entries.sky[:, b],
+                 OBJECT: np.minimum.reduce(entries.object_options(b, mean))}
+        height_cost = to_micro(w / (t - starts + 1.0))
         first = first_priors(c, t)
-        for k in (GROUND, OBJECT):
-            entry = to_micro(c.task.weights.prior * first[k]) if c.task.pairwise else np.where(
-                np.isfinite(first[k]), height_cost[0], IMPOSSIBLE)
-            new[k][:, 0] = terms[k][:, 0] + entry
-        later = b[1:]
-        if len(later):
-            prior = transitions(c, later, mean[:, 1:], object_mean[:, later - 1]) if c.task.pairwise else None
-            low = (later - 1)[None, :] < c.vhor[:, None]
-            for to, sources in ((GROUND, (GROUND, OBJECT)), (SKY, (GROUND, OBJECT)), (OBJECT, (GROUND, OBJECT, SKY))):
-                via = {s: cost[:, later - 1, s] + (prior[to][s] if prior else 0) for s in sources}
-                via = {s: np.minimum(x, IMPOSSIBLE) for s, x in via.items()}
-                two = np.minimum(via[GROUND], via[OBJECT])
-                pick = np.where(via[GROUND] < via[OBJECT], GROUND, OBJECT)
-                if SKY in via:
-                    pick = np.where(via[SKY] < two, SKY, pick)
-                    two = np.minimum(two, via[SKY])
-                allowed = True if to == OBJECT else (low if to == GROUND else ~low)
-                total = terms[to][:, 1:] + (weigh_prior(c, two) if c.task.pairwise else height_cost[None, 1:])
-                new[to][:, 1:] = np.where(allowed, total, IMPOSSIBLE)
-                frm[to][:, 1:] = pick
         for k in (GROUND, OBJECT, SKY):
-            capped = np.minimum(new[k], IMPOSSIBLE)
-            i = capped.argmin(axis=1)
-            cost[:, t, k] = capped[every, i]
-            start[:, t, k] = b[i]
-            below[:, t, k] = np.where(cost[:, t, k] < IMPOSSIBLE, frm[k][every, i], OBJECT)
-            chosen[:, t, k] = classes[k][every, i]
-        object_mean[:, t] = c.mean(start[:, t, OBJECT][:, None], t)[:, 0]
-    return cost, start, below, chosen
+            if not pairwise:
+                paid = np.where((entry[k] < IMPOSSIBLE) | (k == OBJECT) | allowed_start(c, k, starts), height_cost[None, :], IMPOSSIBLE)
+            elif w == 1.0:
+                paid = entry[k].copy()
+            else:
+                paid = np.where(entry[k] >= IMPOSSIBLE, IMPOSSIBLE, np.floor(w * entry[k] + 0.5)).astype(np.int64)
+            paid[:, 0] = to_micro(w * first[k]) if pairwise else np.where(np.isfinite(first[k]), height_cost[0], IMPOSSIBLE)
+            total = np.minimum(terms[k] + paid, IMPOSSIBLE)
+            i = total.argmin(axis=1)
+            cost[:, t, k], start[:, t, k] = total[every, i], starts[i]
+        for k in (GROUND, SKY):
+            below[:, t, k] = entries.below[k][every, start[:, t, k]]
+        s = start[:, t, OBJECT]
+        on_ground, on_object, on_sky = entries.object_options((every, s), mean[every, s // h])
+        kind = np.where(on_ground < on_object, GROUND, OBJECT)
+        below[:, t, OBJECT] = np.where(on_sky < np.minimum(on_ground, on_object), SKY, kind)
+        below[:, t] = np.where((cost[:, t] < IMPOSSIBLE) & (start[:, t] > 0), below[:, t], OBJECT)
+        if t + 1 < n:
+            entries.settle(t, cost[:, t], mean[every, s // h])
+    return cost, start, below
+
+
+def allowed_start(c: Columns, kind: int, starts: np.ndarray) -> np.ndarray:
+    """Ground starts below the horizon, sky from it on, objects anywhere."""
+    low = (starts - 1)[None, :] < c.vhor[:, None]
+    return low if kind == GROUND else ~low
 
 
 def trace(c: Columns, n: int) -> dict[str, np.ndarray]:
     """Segments from the top down, as flat arrays with the column they belong to."""
-    cost, start, below, chosen = fold(c, n)
+    cost, start, below = fold(c, n)
     last = cost[:, n - 1]
     k = np.where(last[:, GROUND] < last[:, OBJECT], GROUND, OBJECT)
     k = np.where(last[:, SKY] < np.minimum(last[:, GROUND], last[:, OBJECT]), SKY, k)
@@ -258,7 +286,7 @@ def trace(c: Columns, n: int) -> dict[str, np.ndarray]:
         count, h = c.valid[live, t + 1] - c.valid[live, b], t - b + 1
         mean = np.where(count > 0, (c.total[live, t + 1] - c.total[live, b]) / np.maximum(count, 1), 0.0)
         shown = np.where((k == OBJECT) & (mean < 1.0), SKY, k)
-        cls = np.where(shown == SKY, c.task.roles.sky, chosen[live, t, k])
+        cls = c.best_class(live, b, t, shown)
         mid = [(c.sums[f][live, t + 1] - c.sums[f][live, b]) / h for f in ("x", "y")]
         capped = np.minimum(cost[live, t, k], int(MAX_COST * MICRO))
         steps.append((live, np.full(len(live), len(steps)), shown, b, t, mean, cls, capped, *mid))
