@@ -58,11 +58,12 @@ def series_scan(df: DataFrame, keys: list[str], pos: str, specs: list[Spec]) ->
 
 
 def blocked_scan(df: DataFrame, keys: list[str], pos: str, specs: list[Spec], block: int,
-                 levels: int = 2, fan: int = 1024) -> DataFrame:
+                 levels: int = 1, fan: int = 1024) -> DataFrame:
     """Scan without a length bound.  ``pos`` is an integer, unique within ``keys``.
 
-    The rows are cut into blocks of ``block`` positions, the blocks into groups of
-    ``fan``, so the last, plain window sees one row per ``block * fan`` positions.
+    The rows are cut into blocks of ``block`` positions, and the last, plain window
+    sees one row per block; each further level groups ``fan`` blocks first.  A block
+    of a million rows is a comfortable task, so one level serves a key of 10^12 rows.
     """
     if levels == 0:
         return series_scan(df, keys, pos, specs)

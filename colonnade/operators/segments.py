@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from colonnade.operators import models, packed
 from colonnade.operators.scan import blocked_scan, series_scan
+from colonnade.session import cut_lineage
 
 MAX_BROADCAST_LEVELS = 1024
 
@@ -75,7 +76,7 @@ def change_sessions(rows: DataFrame, keys: list[str], order: str, watched: Colum
     """Numbers the stretches of equal ``watched`` values in order; also for keys of any size."""
     before = blocked_scan(rows.withColumn("_w", watched), keys, order, [("_prev", "_w", "last_before")], block)
     changed = F.when(F.col("_prev").isNotNull() & (F.col("_prev") != F.col("_w")), 1).otherwise(0)
-    flagged = before.withColumn("changed", changed)
+    flagged = cut_lineage(before.withColumn("changed", changed))  # read twice by the next scan
     return blocked_scan(flagged, keys, order, [("session", "changed", "sum")], block).drop("_w", "_prev")
 
 

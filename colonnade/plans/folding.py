@@ -292,7 +292,7 @@ f AS (SELECT score, MIN(run_id) AS first_at FROM r GROUP BY 1)
 SELECT b.run_id, b.score, b.best, f.first_at AS best_at FROM b JOIN f ON f.score = b.best""")
 def q_running_best(t):
     runs = t.fx_runs.groupBy("run_id").agg(F.sum("ms").alias("score"))
-    return sg.running_best(runs, "run_id", "score", block=256)
+    return sg.running_best(runs, "run_id", "score", block=1 << 20)
 
 
 @query("q_residual_filter", views=("fx_segments",), sql="""
@@ -342,4 +342,4 @@ SELECT conv_id, turn, changed, CAST(SUM(changed) OVER (PARTITION BY conv_id ORDE
 def q_change_sessions(t):
     """A new session starts where the size class of a turn differs from the one before."""
     rows = t.conversations.select("conv_id", "turn", (F.length("text") > 200).alias("long"))
-    return sg.change_sessions(rows, ["conv_id"], "turn", F.col("long"), block=1024).select("conv_id", "turn", "changed", "session")
+    return sg.change_sessions(rows, ["conv_id"], "turn", F.col("long"), block=1 << 20).select("conv_id", "turn", "changed", "session")

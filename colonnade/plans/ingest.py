@@ -154,7 +154,7 @@ def q_log_parse(t):
             .when(status == "O", F.format_string("Time per batch %d.5 s", "o_orderkey")).otherwise("progress"))
     log = blocked_scan(t.orders.select(F.col("o_custkey").alias("run_id"), "o_orderkey", text.alias("line"),
                                        F.lit(1).alias("one")),
-                       ["run_id"], "o_orderkey", [("line_no", "one", "sum")], block=4096)
+                       ["run_id"], "o_orderkey", [("line_no", "one", "sum")], block=1 << 20)
     return gates.tail_match(log, ["run_id"], "line_no", "line", "Score", "([0-9][.][0-9]{3})", 5)
 
 

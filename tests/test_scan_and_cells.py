@@ -19,7 +19,8 @@ def rows(df, *cols):
     return sorted(tuple(r[c] for c in cols) for r in df.collect())
 
 
-def test_blocked_scan_equals_plain_window_with_a_hot_key(spark):
+@pytest.mark.parametrize("levels", [1, 2])
+def test_blocked_scan_equals_plain_window_with_a_hot_key(spark, levels):
     rnd = random.Random(1)
     data = [(0 if rnd.random() < 0.4 else rnd.randrange(5), i, rnd.randrange(100), rnd.choice([None, i])) for i in range(3000)]
     df = spark.createDataFrame(data, "k int, pos long, v long, c long")
@@ -27,13 +28,13 @@ def test_blocked_scan_equals_plain_window_with_a_hot_key(spark):
              ("lb", "c", "last_before")]
     names = ["k", "pos", *[s[0] for s in specs]]
     plain = series_scan(df, ["k"], "pos", specs).select(names).collect()
-    cut = blocked_scan(df, ["k"], "pos", specs, block=64, fan=8).select(names).collect()
+    cut = blocked_scan(df, ["k"], "pos", specs, block=64, levels=levels, fan=8).select(names).collect()
     assert set(plain) == set(cut) and len(cut) == 3000
 
 
 def test_blocked_scan_without_keys(spark):
     df = spark.range(1000).select(F.col("id").alias("pos"), F.col("id").alias("v"))
-    got = rows(blocked_scan(df, [], "pos", [("s", "v", "sum")], block=10, fan=7), "pos", "s")
+    got = rows(blocked_scan(df, [], "pos", [("s", "v", "sum")], block=10, levels=3, fan=7), "pos", "s")
     assert got == [(i, i * (i + 1) // 2) for i in range(1000)]
 
 
