@@ -136,14 +136,14 @@ def q_instance_median_lower_all(t):
 @query("q_image_error", views=("fx_pixels",), sql="""
 WITH e AS (SELECT a.frame_id, COUNT(*) AS n, SUM(abs(a.d - b.d)) / COUNT(*) / 256.0::DOUBLE AS error
   FROM fx_pixels a JOIN fx_pixels b ON b.frame_id = a.frame_id + 1 AND b.r = a.r AND b.c = a.c GROUP BY 1)
-SELECT frame_id, n, ROUND(error, 8) AS error FROM e
-UNION ALL SELECT -1, COUNT(*), ROUND(AVG(error), 8) FROM e""")
+SELECT frame_id, n, ROUND(error, 12) AS error FROM e
+UNION ALL SELECT -1, COUNT(*), ROUND(AVG(error), 12) FROM e""")
 def q_image_error(t):
     """Frame against its successor; the row with frame -1 is the mean of the means."""
     after = t.fx_pixels.withColumn("frame_id", F.col("frame_id") - 1)
     per = ag.image_error(t.fx_pixels, after, "frame_id", ["r", "c"], "d")
     total = per.agg(F.lit(-1).cast("bigint").alias("frame_id"), F.count("*").alias("n"), F.avg("error").alias("error"))
-    return per.unionByName(total).withColumn("error", F.round("error", 8))
+    return per.unionByName(total).withColumn("error", F.round("error", 12))
 
 
 @query("q_avg_segments", views=("fx_segments",), sql="""
