@@ -72,6 +72,26 @@ def test_full_squares_are_dealt_out_without_changing_counts(spark, monkeypatch):
     assert sorted(cl.neighbour_weight(grid, sites, sites).collect()) == plain
 
 
+@pytest.mark.parametrize("dims", [("x", "y"), ("x", "y", "z")])
+def test_degrees_by_lines_equal_pairs(spark, dims):
+    pts = sample(5, dims)
+    df = spark.createDataFrame([tuple(p.values()) for p in pts], "id long, cls int, size int, " + ", ".join(f"{d} long" for d in dims))
+    grid = cl.Grid("cls", dims, 9)
+    sites = cl.make_sites(grid, df, "id", F.col("size") >= 30, F.lit(True))
+    got = {tuple(r)[:-1]: r["degree"] for r in cl.degree_by_lines(grid, sites).collect() if r["degree"]}
+    assert got == {tuple(r)[:-1]: r["degree"] for r in cl.neighbour_weight(grid, sites, sites).collect()}
+
+
+def test_crowded_cells_give_the_same_clusters(spark, monkeypatch):
+    """Own-cell answers by lattice lines instead of sites."""
+    monkeypatch.setattr(cl, "MAX_DIRECT_SITES", 0)
+    pts = sample(6, ("x", "y"))
+    df = spark.createDataFrame([tuple(p.values()) for p in pts], "id long, cls int, size int, x long, y long")
+    large = lambda p: p["size"] >= 40
+    got = cl.dbscan_core_only(df, "id", "cls", ("x", "y"), "size", 12, 4, 40)
+    assert {r["id"]: (r["cluster"], r["is_core"]) for r in got.collect()} == brute(pts, 12, 4, large, large, ("x", "y"))
+
+
 def test_too_few_large_points_give_no_cluster(spark):
     df = spark.createDataFrame([(i, 11, 90, i, 0) for i in range(4)], "id long, cls int, size int, x long, y long")
     assert {r["cluster"] for r in cl.dbscan_core_only(df, "id", "cls", ("x", "y"), "size", 10, 4, 50).collect()} == {-1}
