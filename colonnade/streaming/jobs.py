@@ -11,13 +11,10 @@ from pyspark.sql import functions as F
 from colonnade.session import shared_dir
 
 
-def open_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+def open_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table's files as a stream; naive timestamps get the session zone (UTC)."""
     schema = spark.read.option("pathGlobFilter", name).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    df = reader.parquet(folder)
+    df = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
     naive = [f.name for f in schema.fields if f.dataType.typeName() == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in naive})
 
@@ -26,12 +23,15 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def run_to_files(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Writes all that is available to Parquet (exactly once, by its checkpoint) and reads it back."""
+def run_to_files(stream: DataFrame, name: str, out: str | None = None, state: str | None = None) -> DataFrame:
+    """Writes all that is available to Parquet (exactly once, by its checkpoint) and reads it back.
+
+    With the folders of an earlier run it goes on where that one stopped.
+    """
     spark = stream.sparkSession
-    out = fresh(spark, name)
-    q = (stream.writeStream.format("parquet").outputMode(mode).option("path", out)
-         .option("checkpointLocation", fresh(spark, f"{name}-state")).trigger(availableNow=True).start())
+    out = out or fresh(spark, name)
+    q = (stream.writeStream.format("parquet").outputMode("append").option("path", out)
+         .option("checkpointLocation", state or fresh(spark, f"{name}-state")).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
