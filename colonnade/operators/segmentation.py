@@ -17,13 +17,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+import colonnade
 from colonnade.functions.constants import GROUND, MAX_COST, OBJECT, SKY
 from colonnade.operators.models import IMPOSSIBLE, MICRO, Model
 
 RESULT = "seg_idx int, type int, v_b int, v_t int, disparity double, class_id int, cost bigint, mean_x double, mean_y double"
+# the fold travels to the tasks by value, so workers need not have the package installed
+cloudpickle.register_pickle_by_value(colonnade)
+
 BATCH_CELLS = 8_000_000  # entries of the largest array held per step
 
 
