@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm import chat, exact_dedup, mixing, sharding
+from colonnade.llm import chat, exact_dedup, mixing, quality, sharding, simhash, toxicity
 from colonnade.llm.common import read_table, text_of
+from colonnade.llm.samples import remainder
 from colonnade.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +90,34 @@ def op6(spark, sf_dir):
     return mixing.mix(docs, "doc_id", "text", "source", (5, 2, 1)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def scored(docs, score, parts, held):
+    """The contract's columns of a classifier whose held-out fold has remainder ``held`` of ``parts``."""
+    fold = F.coalesce(remainder("doc_id", parts) == held, F.lit(False))
+    return docs.select("doc_id", fold.alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def fit_toxicity(spark, docs, sf_dir):
+    return toxicity.fit(docs, read_table(spark, sf_dir, "labels"), "doc_id", "text", "toxic", remainder("doc_id", 4) != 2)
+
+
+@query("op3_toxicity")
+def op3(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return scored(docs, toxicity.score("text", fit_toxicity(spark, docs, sf_dir)), 4, 2)
+
+
+@query("op7_quality")
+def op7(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels"), "doc_id", "text", "quality", remainder("doc_id", 5) != 0)
+    return scored(docs, quality.score("text", model), 5, 0)
+
+
+@query("op8_simhash")
+def op8(spark, sf_dir):
+    return simhash.components(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @query("op9_exact_dedup", sql=r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256 FROM documents),
 k AS (SELECT *, row_number() OVER w AS r, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d
