@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm import chat, exact_dedup, mixing, quality, sharding, simhash, toxicity
+from colonnade.llm import chat, exact_dedup, mixing, pieces, quality, sharding, simhash, toxicity
 from colonnade.llm.common import read_table, text_of
 from colonnade.llm.samples import remainder
 from colonnade.session import shared_dir
@@ -90,6 +91,19 @@ def op6(spark, sf_dir):
     return mixing.mix(docs, "doc_id", "text", "source", (5, 2, 1)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: Folder of the public tokenizer files; TOKENIZERS overrides it.
+MODEL = os.path.join(os.environ.get("TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model")
+
+
+@query("op2_sentencepiece")
+def op2(spark, sf_dir):
+    """Ids of every whole text, and the digest of the text that they decode to."""
+    model = pieces.read_model(MODEL)
+    coded = pieces.encode(read_table(spark, sf_dir, "documents"), "doc_id", "text", model)
+    return coded.select("doc_id", F.col("ids").alias("token_ids"), F.size("ids").cast("bigint").alias("n_tokens"),
+                        F.sha2(pieces.decode("ids", model), 256).alias("decoded_sha256"))
+
+
 def scored(docs, score, parts, held):
     """The contract's columns of a classifier whose held-out fold has remainder ``held`` of ``parts``."""
     fold = F.coalesce(remainder("doc_id", parts) == held, F.lit(False))

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import string
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -134,9 +135,10 @@ def score(text: str, model: Model | None) -> Column:
         return F.lit(0.0)
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w, known = model.dense(), {}
-        s = np.array([w[features(t or "", known, w)].sum() for t in texts], dtype=float) + model.bias
-        return pd.Series(1 / (1 + np.exp(-np.clip(s, -35, 35))))
+        for texts in batches:
+            s = np.array([w[features(t or "", known, w)].sum() for t in texts], dtype=float) + model.bias
+            yield pd.Series(1 / (1 + np.exp(-np.clip(s, -35, 35))))
 
     return scored(F.col(text))
