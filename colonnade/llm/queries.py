@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm import chat, exact_dedup, mixing, pieces, quality, sharding, simhash, toxicity
+from colonnade.llm import chat, exact_dedup, mixing, pieces, postings, quality, sharding, simhash, toxicity
 from colonnade.llm.common import read_table, text_of
 from colonnade.llm.samples import remainder
 from colonnade.session import shared_dir
@@ -141,3 +141,9 @@ def op9(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     return exact_dedup.dedup_batch(docs, "doc_id", "text", fresh_index(spark), "documents").select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op10_neighbours")
+def op10(spark, sf_dir):
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return postings.search(vectors, "vec_id", "embedding", F.col("vec_id") % 20 == 0)
