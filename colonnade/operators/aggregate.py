@@ -29,9 +29,9 @@ def strip_median(cells, frame, row, col, value, step, height):
 
 
 def value_histogram(cells: DataFrame, frame: list[str], row: str, value: str, max_dis: int) -> DataFrame:
-    """Count per row and whole value; zeros and values from ``max_dis`` on are left out."""
+    """Count per row and whole value; zeros, negative values and values from ``max_dis`` on are left out."""
     level = F.floor(F.col(value)).cast("int")
-    return (cells.select(*frame, row, level.alias("level")).where((F.col("level") > 0) & (F.col("level") < max_dis))
+    return (cells.where((F.col(value) > 0) & (F.col(value) < max_dis)).select(*frame, row, level.alias("level"))
             .groupBy(*frame, row, "level").agg(F.count("*").alias("n")))
 
 

@@ -86,9 +86,12 @@ def flip_pad_quantize(cells: DataFrame, keys: list[str], row: str, value: str, h
     """Turns rows upside down, fills up to ``padded`` rows with zeros, scales to int.
 
     One row set per key: the known rows are kept as a small array of at most
-    ``padded`` entries, so the fill needs no join with a generated grid.
+    ``padded`` entries, so the fill needs no join with a generated grid.  A row outside
+    of ``0..padded - 1`` ends the job.
     """
-    entry = F.struct((height - 1 - F.col(row)).alias("k"), (F.col(value) * scale).cast("int").alias("v"))
+    k = height - 1 - F.col(row)
+    outside = F.raise_error(F.concat(F.lit("row outside of the padded range: "), F.col(row).cast("string"))).cast("int")
+    entry = F.struct(F.when((k >= 0) & (k < padded), k).otherwise(outside).alias("k"), (F.col(value) * scale).cast("int").alias("v"))
     packed = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("_m"))
     return (packed.select(*keys, "_m", F.explode(F.sequence(F.lit(0), F.lit(padded - 1))).alias(row))
             .select(*keys, row, F.coalesce(F.try_element_at("_m", F.col(row)), F.lit(0)).alias(value)))

@@ -22,14 +22,17 @@ def q_strip_median(t):
     return ag.strip_median(t.fx_pixels, ["frame_id"], "r", "c", "d", 8, 64)
 
 
+#: Values reach from 0 to 50.
+LEVELS = 51
+
 HIST_SQL = """
-hist AS (SELECT frame_id, r, CAST(d AS INTEGER) AS level, COUNT(*) AS n FROM fx_pixels WHERE d > 0 AND d < 48 GROUP BY 1, 2, 3),
+hist AS (SELECT frame_id, r, CAST(d AS INTEGER) AS level, COUNT(*) AS n FROM fx_pixels WHERE d > 0 AND d < 51 GROUP BY 1, 2, 3),
 top AS (SELECT frame_id, MAX(n) AS top FROM hist GROUP BY 1),
-bin AS (SELECT h.frame_id, r, level, n, top FROM hist h JOIN top ON h.frame_id = top.frame_id WHERE n > top * 0.6::DOUBLE)"""
+bin AS MATERIALIZED (SELECT h.frame_id, r, level, n, top FROM hist h JOIN top ON h.frame_id = top.frame_id WHERE n > top * 0.6::DOUBLE)"""
 
 
 def histogram(t):
-    return ag.value_histogram(t.fx_pixels, ["frame_id"], "r", "d", 48)
+    return ag.value_histogram(t.fx_pixels, ["frame_id"], "r", "d", LEVELS)
 
 
 def bright(t):
@@ -48,13 +51,13 @@ def q_binarize(t):
 
 PEAK_SQL = HIST_SQL + """,
 ang AS (SELECT CAST(a AS INTEGER) AS theta, CAST(ROUND(cos(radians(a)) * 1000000) AS BIGINT) AS co, CAST(ROUND(sin(radians(a)) * 1000000) AS BIGINT) AS si FROM range(180) g(a)),
-vote AS (SELECT frame_id, theta, CAST(FLOOR((level * co + r * si + 500000) / 1000000.0::DOUBLE) AS INTEGER) AS rho, COUNT(*) AS votes FROM bin CROSS JOIN ang GROUP BY 1, 2, 3),
+vote AS MATERIALIZED (SELECT frame_id, theta, CAST(FLOOR((level * co + r * si + 500000) / 1000000.0::DOUBLE) AS INTEGER) AS rho, COUNT(*) AS votes FROM bin CROSS JOIN ang GROUP BY 1, 2, 3),
 strong AS (SELECT * FROM vote WHERE votes >= 4),
-peak AS (SELECT s.*, s.votes > COALESCE(a.votes, 0) AND s.votes > COALESCE(b.votes, 0) AND s.votes >= COALESCE(c.votes, 0) AND s.votes >= COALESCE(d.votes, 0) AS peak
- FROM strong s LEFT JOIN vote a ON a.frame_id = s.frame_id AND a.theta = s.theta - 1 AND a.rho = s.rho
- LEFT JOIN vote b ON b.frame_id = s.frame_id AND b.theta = s.theta AND b.rho = s.rho - 1
- LEFT JOIN vote c ON c.frame_id = s.frame_id AND c.theta = s.theta + 1 AND c.rho = s.rho
- LEFT JOIN vote d ON d.frame_id = s.frame_id AND d.theta = s.theta AND d.rho = s.rho + 1)"""
+near AS (SELECT *, lag(struct_pack(t := theta, v := votes)) OVER a AS a, lead(struct_pack(t := theta, v := votes)) OVER a AS c,
+  lag(struct_pack(r := rho, v := votes)) OVER b AS b, lead(struct_pack(r := rho, v := votes)) OVER b AS d FROM strong
+  WINDOW a AS (PARTITION BY frame_id, rho ORDER BY theta), b AS (PARTITION BY frame_id, theta ORDER BY rho)),
+peak AS (SELECT frame_id, theta, rho, votes, votes > CASE WHEN a.t = theta - 1 THEN a.v ELSE 0 END AND votes > CASE WHEN b.r = rho - 1 THEN b.v ELSE 0 END
+  AND votes >= CASE WHEN c.t = theta + 1 THEN c.v ELSE 0 END AND votes >= CASE WHEN d.r = rho + 1 THEN d.v ELSE 0 END AS peak FROM near)"""
 
 
 def peaks(t):
@@ -105,29 +108,31 @@ def instance_values(t):
 
 
 def back_to_cells(cells, medians):
-    return cells.join(medians, ["frame_id", "gt_id"]).select("frame_id", "gt_id", "r", "c", "median")
+    """Every cell gets its instance's median; an instance without a value gets 0."""
+    return cells.join(medians, ["frame_id", "gt_id"], "left").select(
+        "frame_id", "gt_id", "r", "c", F.coalesce("median", F.lit(0)).alias("median"))
 
 
 @query("q_instance_median_avg", views=("fx_masks", "fx_pixels"), sql=f"""WITH {VALUE_SQL},
 m AS (SELECT frame_id, gt_id, CAST(median(d) AS DOUBLE) AS median FROM cells WHERE d <> 0 GROUP BY 1, 2)
-SELECT c.frame_id, c.gt_id, r, c.c, median FROM cells c JOIN m ON m.frame_id = c.frame_id AND m.gt_id = c.gt_id""")
+SELECT c.frame_id, c.gt_id, r, c.c, COALESCE(median, 0) AS median FROM cells c LEFT JOIN m ON m.frame_id = c.frame_id AND m.gt_id = c.gt_id""")
 def q_instance_median_avg(t):
     cells = instance_values(t)
     return back_to_cells(cells, ag.group_median(cells.where("d <> 0"), ["frame_id", "gt_id"], "d", lower=False))
 
 
 @query("q_instance_median_lower", views=("fx_masks", "fx_pixels"), sql=f"""WITH {VALUE_SQL},
-m AS (SELECT frame_id, gt_id, quantile_disc(d * 100 // 256, 0.5) AS median FROM cells WHERE d <> 0 GROUP BY 1, 2)
-SELECT c.frame_id, c.gt_id, r, c.c, CAST(median AS BIGINT) AS median FROM cells c JOIN m ON m.frame_id = c.frame_id AND m.gt_id = c.gt_id""")
+m AS (SELECT frame_id, gt_id, quantile_disc(d * 100 // 256, 0.5) AS median FROM cells WHERE d * 100 // 256 <> 0 GROUP BY 1, 2)
+SELECT c.frame_id, c.gt_id, r, c.c, CAST(COALESCE(median, 0) AS BIGINT) AS median FROM cells c LEFT JOIN m ON m.frame_id = c.frame_id AND m.gt_id = c.gt_id""")
 def q_instance_median_lower(t):
     cells = instance_values(t)
-    scaled = cells.where("d <> 0").withColumn("d", F.expr("d * 100 div 256"))
+    scaled = cells.withColumn("d", F.expr("d * 100 div 256")).where("d <> 0")  # what scaling turns to 0 has no value
     return back_to_cells(cells, ag.group_median(scaled, ["frame_id", "gt_id"], "d", lower=True))
 
 
 @query("q_instance_median_lower_all", views=("fx_masks", "fx_pixels"), sql=f"""WITH {VALUE_SQL},
 m AS (SELECT frame_id, gt_id, quantile_disc(d, 0.5) AS median FROM cells GROUP BY 1, 2)
-SELECT c.frame_id, c.gt_id, r, c.c, CAST(median AS BIGINT) AS median FROM cells c JOIN m ON m.frame_id = c.frame_id AND m.gt_id = c.gt_id""")
+SELECT c.frame_id, c.gt_id, r, c.c, CAST(COALESCE(median, 0) AS BIGINT) AS median FROM cells c LEFT JOIN m ON m.frame_id = c.frame_id AND m.gt_id = c.gt_id""")
 def q_instance_median_lower_all(t):
     cells = instance_values(t)
     return back_to_cells(cells, ag.group_median(cells, ["frame_id", "gt_id"], "d", lower=True))

@@ -52,7 +52,7 @@ FROM {orders}""",
 SELECT frame_id, CAST(FLOOR(c / 8.0) AS INT) AS col_id, 63 - r AS v,
        MAX(d) AS md, CAST(SUM(c) AS BIGINT) AS sc
 FROM {fx_pixels} GROUP BY 1, 2, 3""",
-    # segments on strips of width 8: a new one starts at every high cell
+    # segments on strips of width 8: one starts at row 0 and a new one at every high cell
     "fx_segments": """
 SELECT frame_id, col_id,
        CAST(ROW_NUMBER() OVER (PARTITION BY frame_id, col_id ORDER BY v_b DESC) - 1 AS INT) AS seg_idx,
@@ -63,10 +63,10 @@ SELECT frame_id, col_id,
        md * 100 - v_b AS cost, 8 * col_id + sc % 8 AS mean_x,
        CAST(FLOOR((v_b + v_t) / 2.0) AS BIGINT) AS mean_y,
        CAST(CASE WHEN sc % 4 = 0 THEN -1 ELSE sc % 5 END AS INT) AS inst
-FROM (SELECT frame_id, col_id, v AS v_b, md, sc,
+FROM (SELECT frame_id, col_id, CASE WHEN k = 1 THEN 0 ELSE v END AS v_b, md, sc,
              CAST(COALESCE(LEAD(v) OVER (PARTITION BY frame_id, col_id ORDER BY v) - 1, 63) AS INT) AS v_t
-      FROM {fx_strips} g
-      WHERE md >= 35) b""",
+      FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY frame_id, col_id ORDER BY v) AS k FROM {fx_strips} g) h
+      WHERE md >= 35 OR k = 1) b""",
     # file listing: a stem and a kind read off each address
     "fx_files": """
 SELECT page_id, url AS path,
