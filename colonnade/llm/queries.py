@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm import chat, exact_dedup, mixing, pieces, postings, quality, sharding, simhash, toxicity
+from colonnade.llm import chat, exact_dedup, line_dedup, mixing, pieces, postings, quality, sharding, simhash, toxicity
 from colonnade.llm.common import read_table, text_of
 from colonnade.llm.samples import remainder
 from colonnade.session import shared_dir
@@ -41,6 +41,25 @@ def op1(spark, sf_dir):
     return cut.select("row.doc_id", "size", "row.text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op4_line_dedup", sql=r"""
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS LAST) AS doc, coalesce(text, '') AS text FROM documents),
+a AS (SELECT doc, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM d),
+l AS (SELECT *, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w, row_number() OVER (PARTITION BY doc ORDER BY line) AS pos FROM a WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+f AS (SELECT p.doc, p.pos AS b, q.pos AS e, sum(r.w) AS w, max(CASE WHEN r.pos = p.pos THEN r.w END) AS w_b, max(CASE WHEN r.pos = q.pos THEN r.w END) AS w_e,
+  string_agg(r.x, chr(10) ORDER BY r.pos) AS run FROM l p JOIN l q ON q.doc = p.doc AND q.pos BETWEEN p.pos AND p.pos + 9
+  JOIN l r ON r.doc = p.doc AND r.pos BETWEEN p.pos AND q.pos GROUP BY ALL),
+m AS (SELECT * FROM f WHERE w >= 10 AND (w - w_e < 10 OR w - w_b < 10)),
+g AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc, b) AS k FROM m),
+z AS (SELECT DISTINCT l.doc, l.line FROM g JOIN l ON l.doc = g.doc AND l.pos BETWEEN g.b AND g.e WHERE g.k > 1)
+SELECT d.doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(z.line) AS INTEGER) AS n_deleted,
+  sha256(coalesce(string_agg(a.x, chr(10) ORDER BY a.line) FILTER (z.line IS NULL), '')) AS clean_sha256
+FROM d JOIN a ON a.doc = d.doc LEFT JOIN z ON z.doc = a.doc AND z.line = a.line GROUP BY d.doc, d.doc_id""")
+def op4(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, "doc_id", "text").select(
+        "row.doc_id", "n_lines", F.size("deleted").alias("n_deleted"), F.sha2("clean", 256).alias("clean_sha256"))
+
+
 TURN = r"""c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
   SELECT conv_id, turn, role, text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok') u)"""
