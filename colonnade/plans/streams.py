@@ -17,7 +17,7 @@ def messages(events):
     return events.select("user_id", F.col("event_type").alias("topic"), micros(F.col("ts")).alias("us"), "event_id")
 
 
-def sync_sql(others: tuple[str, ...], tol: int, closed: str = "") -> str:
+def sync_sql(others: tuple[str, ...], tol: int) -> str:
     ctes = ["m AS (SELECT user_id, event_type AS topic, epoch_us(ts) AS us, event_id FROM events)"]
     for o in others:
         for name, a, b in ((f"f_{o}", "click", o), (f"g_{o}", o, "click")):
@@ -26,12 +26,7 @@ def sync_sql(others: tuple[str, ...], tol: int, closed: str = "") -> str:
   FROM m a JOIN m b ON a.user_id = b.user_id AND a.topic = '{a}' AND b.topic = '{b}' AND abs(a.us - b.us) <= {tol}) z WHERE k = 1)""")
     joins = " ".join(f"JOIN f_{o} ON f_{o}.a_id = c.event_id JOIN g_{o} ON g_{o}.a_id = f_{o}.b_id AND g_{o}.b_id = c.event_id" for o in others)
     cols = ", ".join(f'f_{o}.b_id AS "{o}"' for o in others)
-    return f"WITH {', '.join(ctes)} SELECT c.user_id, c.us, c.event_id AS click, {cols} FROM m c {joins} WHERE c.topic = 'click' {closed}"
-
-
-def closed_sql(tol: int, delay: int) -> str:
-    """Only anchors whose bucket lies wholly before the final watermark."""
-    return (f"AND (c.us // {WIDTH}) * {WIDTH} < (SELECT MAX((us + {2 * tol}) // {WIDTH}) * {WIDTH} - {delay} FROM m)")
+    return f"WITH {', '.join(ctes)} SELECT c.user_id, c.us, c.event_id AS click, {cols} FROM m c {joins} WHERE c.topic = 'click'"
 
 
 @query("q_sync2_batch", sql=sync_sql(("view",), TOL2))
@@ -45,31 +40,39 @@ def q_sync4_batch(t):
                            ["view", "signup", "purchase"], TOL4, WIDTH)
 
 
-@query("q_stream_sync2", sql=sync_sql(("view",), TOL2, closed_sql(TOL2, 24 * HOUR)))
+def synced(events, others, tol, name):
+    """The clock's row has no topic and no user, so it is in no set."""
+    def work(stream):
+        wanted = stream.where(F.col("event_type").isin("click", *others) | F.col("event_type").isNull())
+        return sync.sync_stream(messages(wanted), ["user_id"], "topic", "us", "event_id", "click", others, tol, WIDTH, 24 * HOUR)
+
+    return jobs.run_flushed(events.select("user_id", "event_type", "ts", "event_id"), name, "ts", work)
+
+
+@query("q_stream_sync2", sql=sync_sql(("view",), TOL2))
 def q_stream_sync2(t):
-    """Two topics; sets are given out once their bucket is closed by the watermark."""
-    stream = messages(jobs.open_stream(t.spark, t.sf_dir, "events.parquet").where("event_type IN ('click', 'view')"))
-    out = sync.sync_stream(stream, ["user_id"], "topic", "us", "event_id", "click", ["view"], TOL2, WIDTH, "24 hours")
-    return jobs.run_to_files(out, "sync2")
+    """Two topics; sets are given out once their bucket is closed by the watermark, at the latest at the end of input."""
+    return synced(jobs.open_stream(t.spark, t.path("events")), ["view"], TOL2, "sync2")
 
 
-@query("q_stream_sync4", sql=sync_sql(("view", "signup", "purchase"), TOL4, closed_sql(TOL4, 24 * HOUR)))
+@query("q_stream_sync4", sql=sync_sql(("view", "signup", "purchase"), TOL4))
 def q_stream_sync4(t):
-    stream = messages(jobs.open_stream(t.spark, t.sf_dir, "events.parquet").where("event_type <> 'error'"))
-    out = sync.sync_stream(stream, ["user_id"], "topic", "us", "event_id", "click", ["view", "signup", "purchase"],
-                           TOL4, WIDTH, "24 hours")
-    return jobs.run_to_files(out, "sync4")
+    return synced(jobs.open_stream(t.spark, t.path("events")), ["view", "signup", "purchase"], TOL4, "sync4")
 
 
 @query("q_stream_frames", views=segmenting.VIEWS, sql=segmenting.sql(True, "SELECT * FROM seg"))
 def q_stream_frames(t):
-    """Every arriving batch of series goes through the whole segmentation."""
-    def work(batch):
-        local = Tables(batch.sparkSession, t.sf_dir)
-        local._open["events"] = batch
+    """Every series that a batch adds to goes through the whole segmentation, with all that is known of it."""
+    return frames(jobs.open_stream(t.spark, t.path("events")), t.sf_dir)
+
+
+def frames(events, sf_dir):
+    def work(known):
+        local = Tables(known.sparkSession, sf_dir)
+        local._open["events"] = known
         return segmenting.rounded(segmenting.segments(local, True))
 
-    return jobs.run_batches(jobs.open_stream(t.spark, t.sf_dir, "events.parquet"), "frames", work)
+    return jobs.latest(jobs.run_keyed_batches(events, "frames", ["user_id"], work), ["series_id"])
 
 
 @query("q_stream_config", sql="""
@@ -82,14 +85,14 @@ def q_stream_config(t):
         return keyed.join(config, "n_nationkey").select(
             "event_id", "region", F.round(F.col("value") * (1 + F.col("region")), 4).alias("scaled"))
 
-    return jobs.run_batches(jobs.open_stream(t.spark, t.sf_dir, "events.parquet"), "config", work)
+    return jobs.run_batches(jobs.open_stream(t.spark, t.path("events")), "config", work)
 
 
 @query("q_stream_late", sql="""
 WITH e AS (SELECT ts, event_type, CAST(ts AS DATE) AS day FROM events),
-q AS (SELECT epoch_us(MIN(ts)) + (epoch_us(MAX(ts)) - epoch_us(MIN(ts))) // 4 AS us, epoch_us(MAX(ts)) AS last FROM e)
+q AS (SELECT epoch_us(MIN(ts)) + (epoch_us(MAX(ts)) - epoch_us(MIN(ts))) // 4 AS us FROM e)
 SELECT epoch_us(CAST(day AS TIMESTAMP)) AS start_us, COUNT(*) AS n FROM e, q
-WHERE NOT (event_type = 'error' AND epoch_us(ts) <= us) AND epoch_us(CAST(day AS TIMESTAMP)) + 86400000000 <= last - 86400000000 GROUP BY 1""")
+WHERE NOT (event_type = 'error' AND epoch_us(ts) <= us) GROUP BY 1""")
 def q_stream_late(t):
     """Errors of the first quarter arrive last, far behind the watermark, and are dropped.
 
@@ -100,31 +103,37 @@ def q_stream_late(t):
     lo, hi = ev.agg(F.min("us"), F.max("us")).first()
     early = F.col("us") <= lo + (hi - lo) // 2
     straggler = (F.col("event_type") == "error") & (F.col("us") <= lo + (hi - lo) // 4)
-    arrivals, out, state = (jobs.fresh(t.spark, n) for n in ("arrivals", "late", "late-state"))
-    for part in (early & ~straggler, ~early, straggler):
+    arrivals, out, state, clock = (jobs.fresh(t.spark, n) for n in ("arrivals", "late", "late-state", "late-clock"))
+    parts = (early & ~straggler, ~early, straggler)
+    for k, part in enumerate(parts, 1):
         ev.where(part).select("ts").write.mode("append").parquet(arrivals)
-        stream = jobs.open_stream(t.spark, arrivals, "*.parquet").withColumn("one", F.lit(1)).withWatermark("ts", "1 day")
-        counts = jobs.throughput(stream, "ts", "1 day", "one").select("start_us", "n")
-        result = jobs.run_to_files(counts, "late", out, state)
+
+        def work(stream):
+            timed = stream.withColumn("one", F.lit(1)).withWatermark("ts", "1 day")
+            return jobs.throughput(timed, "ts", "1 day", "one").select("start_us", "n")
+
+        result = jobs.run_flushed(jobs.open_stream(t.spark, arrivals), "late", "ts", work, out, state, clock, last=k == len(parts))
     return result
 
 
-@query("q_throughput", sql="""
-SELECT epoch_us(date_trunc('hour', ts)) AS start_us, COUNT(*) AS n, CAST(SUM(CAST(ROUND(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1""")
+RATE_SQL = """
+SELECT *, ROUND(total / n, 6) AS mean, ROUND(n / 3600.0::DOUBLE, 9) AS per_second FROM (
+  SELECT epoch_us(date_trunc('hour', ts)) AS start_us, COUNT(*) AS n, CAST(SUM(CAST(ROUND(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1) h"""
+
+
+@query("q_throughput", sql=RATE_SQL)
 def q_throughput(t):
     cents = F.round(F.col("value") * 100).cast("bigint")
     ev = t.events.select(F.col("ts").cast("timestamp").alias("ts"), cents.alias("cents"))
     return jobs.throughput(ev, "ts", "1 hour", "cents")
 
 
-@query("q_stream_throughput", sql="""
-SELECT epoch_us(date_trunc('hour', ts)) AS start_us, COUNT(*) AS n, CAST(SUM(CAST(ROUND(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events
-GROUP BY 1 HAVING epoch_us(date_trunc('hour', MIN(ts))) + 3600000000 <= (SELECT epoch_us(MAX(ts)) - 3600000000 FROM events)""")
+@query("q_stream_throughput", sql=RATE_SQL)
 def q_stream_throughput(t):
-    """Reported per hour, one hour behind the newest message."""
-    stream = jobs.open_stream(t.spark, t.sf_dir, "events.parquet")
-    ev = stream.select("ts", F.round(F.col("value") * 100).cast("bigint").alias("cents")).withWatermark("ts", "1 hour")
-    return jobs.run_to_files(jobs.throughput(ev, "ts", "1 hour", "cents"), "throughput")
+    """Reported per hour, one hour behind the newest message; the last hours at the end of input."""
+    stream = jobs.open_stream(t.spark, t.path("events"))
+    ev = stream.select("ts", F.round(F.col("value") * 100).cast("bigint").alias("cents"))
+    return jobs.run_flushed(ev, "throughput", "ts", lambda s: jobs.throughput(s.withWatermark("ts", "1 hour"), "ts", "1 hour", "cents"))
 
 
 @query("q_message_assembly", views=("fx_segments",), sql="""
@@ -150,7 +159,7 @@ SELECT 'segments' AS sink, COUNT(*) AS n FROM events WHERE event_type = 'click'
 UNION ALL SELECT 'points', COUNT(*) FROM events WHERE event_type = 'view' UNION ALL SELECT 'markers', COUNT(*) FROM events WHERE event_type NOT IN ('click', 'view')""")
 def q_stream_sink(t):
     """Three independent sinks of one source, each with its own checkpoint."""
-    stream = jobs.open_stream(t.spark, t.sf_dir, "events.parquet")
+    stream = jobs.open_stream(t.spark, t.path("events"))
     kinds = {"segments": "event_type = 'click'", "points": "event_type = 'view'", "markers": "event_type NOT IN ('click', 'view')"}
     out = [jobs.run_to_files(stream.where(c).select("event_id", "user_id", "value"), k).agg(F.count("*").alias("n"))
            .withColumn("sink", F.lit(k)) for k, c in kinds.items()]

@@ -5,16 +5,23 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.session import shared_dir
 
+#: A time after all messages.
+FAR_AHEAD = "9000-01-01 00:00:00"
 
-def open_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table's files as a stream; naive timestamps get the session zone (UTC)."""
-    schema = spark.read.option("pathGlobFilter", name).parquet(folder).schema
-    df = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+
+def open_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """A table, one file or a folder of part files, as a stream; naive timestamps get the session zone (UTC)."""
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    df = reader.parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern: a plain path would have to be a folder
     naive = [f.name for f in schema.fields if f.dataType.typeName() == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in naive})
 
@@ -36,6 +43,59 @@ def run_to_files(stream: DataFrame, name: str, out: str | None = None, state: st
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def run_flushed(stream: DataFrame, name: str, ts: str, work: Callable[[DataFrame], DataFrame],
+                out: str | None = None, state: str | None = None, clock: str | None = None, last: bool = True) -> DataFrame:
+    """Runs ``work`` on the stream and, at the end of input, on one more row that only moves the clock.
+
+    The row has nothing but a time ``ts`` far ahead.  It takes the watermark past every
+    open window, so what the stream still held is given out; its own window stays open.
+    ``work`` sets the watermark, after the clock has been joined in.  With ``last`` false
+    the stream is left open and a later call with the same folders takes it up again.
+    """
+    spark = stream.sparkSession
+    out, state, clock = (p or fresh(spark, f"{name}-{k}") for p, k in ((out, "out"), (state, "state"), (clock, "clock")))
+    try:
+        spark.read.schema(stream.schema).parquet(clock).limit(1).count()
+    except AnalysisException:  # the first call
+        spark.createDataFrame([], stream.schema).write.parquet(clock)
+    timed = work(stream.unionByName(spark.readStream.schema(stream.schema).parquet(clock)))
+    result = run_to_files(timed, name, out, state)
+    if last:
+        ahead = spark.range(1).select(*[
+            (F.lit(FAR_AHEAD).cast(f.dataType) if f.name == ts else F.lit(None).cast(f.dataType)).alias(f.name) for f in stream.schema.fields])
+        ahead.write.mode("append").parquet(clock)
+        result = run_to_files(timed, name, out, state)
+    return result
+
+
+def run_keyed_batches(stream: DataFrame, name: str, keys: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Results per key over all that has arrived: a batch redoes the keys it touches.
+
+    Arrivals are kept in a store, one folder per batch id.  The rows of a redone key
+    replace its older ones: of each key the rows of the latest batch count.
+    """
+    spark = stream.sparkSession
+    store, out = fresh(spark, f"{name}-store"), fresh(spark, name)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        known = session.read.schema(stream.schema.add("batch", "long")).parquet(store).where(F.col("batch") <= batch_id)
+        touched = known.where(F.col("batch") == batch_id).select(*keys).distinct()
+        work(known.drop("batch").join(touched, keys, "left_semi")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    q = (stream.writeStream.foreachBatch(each).option("checkpointLocation", fresh(spark, f"{name}-state"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of every key the rows of its latest batch."""
+    newest = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return rows.join(newest, [*keys, "batch"], "left_semi").drop("batch")
+
+
 def run_batches(stream: DataFrame, name: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Runs ``work`` on every micro-batch and keeps its rows, one folder per batch id.
 
@@ -54,7 +114,9 @@ def run_batches(stream: DataFrame, name: str, work: Callable[[DataFrame], DataFr
 
 
 def throughput(stream: DataFrame, ts: str, width: str, value: str) -> DataFrame:
-    """Messages, mean value and rate per tumbling window."""
+    """Messages, total, mean value and messages per second of every tumbling window."""
     win = F.window(ts, width)
+    seconds = (F.unix_micros("window.end") - F.unix_micros("window.start")) / 1_000_000
     return stream.groupBy(win).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(
-        F.unix_micros("window.start").alias("start_us"), "n", "total")
+        F.unix_micros("window.start").alias("start_us"), "n", "total",
+        F.round(F.col("total") / F.col("n"), 6).alias("mean"), F.round(F.col("n") / seconds, 9).alias("per_second"))

@@ -54,14 +54,19 @@ def sync_batch(msgs: DataFrame, keys: list[str], topic: str, us: str, ident: str
 
 
 def sync_stream(msgs: DataFrame, keys: list[str], topic: str, us: str, ident: str, anchor: str,
-                others: list[str], tol_us: int, width_us: int, delay: str) -> DataFrame:
-    """The same for a stream: a bucket is judged once the watermark has passed it.
+                others: list[str], tol_us: int, width_us: int, delay_us: int) -> DataFrame:
+    """The same for a stream: a bucket is judged once no message of it can come any more in time.
 
+    That is when messages ``delay_us`` behind the newest one are two tolerances past the
+    bucket's end.  A message at most four tolerances and a width before the end of its
+    last bucket opens that bucket, so the watermark on bucket ends is that much slower.
     State is the messages of open buckets only, so it is bounded by rate and delay;
-    messages later than the watermark are dropped.
+    messages more than ``delay_us`` late may be dropped.
     """
     rows = with_buckets(msgs.select(*keys, topic, us, ident), us, tol_us, width_us)
-    rows = rows.withColumn("bucket_ts", F.timestamp_micros(F.col("bucket") * width_us)).withWatermark("bucket_ts", delay)
+    closes = F.timestamp_micros((F.col("bucket") + 1) * width_us + 2 * tol_us)
+    slack = (delay_us + width_us + 4 * tol_us) // 1000 + 1
+    rows = rows.withColumn("bucket_ts", closes).withWatermark("bucket_ts", f"{slack} milliseconds")
     msg = F.struct(F.col(us).alias("us"), F.col(ident).alias("id"), F.col(topic).alias("topic"), F.col("own").alias("own"))
     open_ = rows.groupBy(*keys, "bucket_ts").agg(F.collect_list(msg).alias("m"))
 
