@@ -161,24 +161,25 @@ def link_classes(classes: DataFrame, segments=FOUR_BITS, limit: int = 4, crowded
     if some_full:
         table = table.join(full, "key", "left_anti")
     met = (F.col("cls") < F.col("t_cls")) & (F.col("root") != F.col("t_root")) & (distance(F.col("f"), F.col("t_f"), 1) <= limit)
-    second = probes.alias("p").join(table.alias("t"), (F.col("p.key") == F.col("t.key")) & met).select(
-        F.col("cls").alias("a"), F.col("t_cls").alias("b"))
-    links = first.unionByName(second)
+    links = probes.alias("p").join(table.alias("t"), (F.col("p.key") == F.col("t.key")) & met).select(
+        F.least("root", "t_root").alias("a"), F.greatest("root", "t_root").alias("b"))
     if some_full:
-        members = probes.join(full, "key", "left_semi").select("cls", "f").distinct()
+        members = probes.join(full, "key", "left_semi").select("cls", "f", "root").distinct()
         links = links.unionByName(midpoint_links(members, limit))
-    return roots_of(classes.select("cls"), links)
+    # what is left to join are the components of the first round, with one edge per pair of them
+    joined = roots_of(tagged.select(F.col("root").alias("cls")).distinct(), links)
+    return tagged.select("cls", F.col("root").alias("old")).join(joined.select(F.col("cls").alias("old"), "root"), "old").select("cls", "root")
 
 
 def midpoint_links(members: DataFrame, limit: int) -> DataFrame:
-    """Stars over shared midpoints: every member is tied to the least member of each point in its ball."""
+    """Stars over shared midpoints: the component of every member is tied to the least one at each point in its ball."""
     if limit % 2:
         raise ValueError("midpoints need an even distance")
     ball = Segment(0, 0, 64, limit // 2).ball()
     signed = [m - (1 << 64) if m >> 63 else m for m in ball]
-    points = members.select("cls", F.explode(F.transform(F.array(*map(F.lit, signed)), lambda m: F.col("f")[0].bitwiseXOR(m))).alias("point"))
-    least = points.groupBy("point").agg(F.min("cls").alias("b"), F.count("*").alias("n")).where("n > 1")
-    return points.join(least, "point").where("cls > b").select(F.col("cls").alias("a"), "b")
+    points = members.select("root", F.explode(F.transform(F.array(*map(F.lit, signed)), lambda m: F.col("f")[0].bitwiseXOR(m))).alias("point"))
+    least = points.groupBy("point").agg(F.min("root").alias("a"), F.max("root").alias("most")).where("a < most")
+    return points.join(least.drop("most"), "point").where("a < root").select("a", F.col("root").alias("b"))
 
 
 def components(docs: DataFrame, ident: str, text: str, size: int = 4, limit: int = 4, crowded: int = 4096) -> DataFrame:
@@ -234,6 +235,7 @@ def near_unique(docs: DataFrame, ident: str, text: str, size: int = 5, similarit
     shingles are common to both; groups are the components of that.  Candidates come
     from 128-bit fingerprints of two-word shingles (an edit touches fewer of them, so
     near texts keep close), and every candidate pair is verified on the whole sets.
+    Texts without words are near each other.  Of rows that agree in id and text one stays.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(row.alias("row"), F.col(ident).alias("k_id"), F.xxhash64(text_of(text)).alias("k_text"), text_of(text).alias("t"))
