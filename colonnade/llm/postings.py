@@ -164,15 +164,18 @@ class Router:
 
 def best_of(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of q, vec_id, score) of the k best of each query: products choose, sums in one fixed order decide."""
-    out = [[], [], []]
+    out, wanted = [[], [], []], k + len(v_ids) - len(np.unique(v_ids))  # repeated ids take no one's place
     for lo in range(0, len(q), 128):
         product = q[lo:lo + 128] @ v.T
         product[q_ids[lo:lo + 128, None] == v_ids[None, :]] = -np.inf
         for i, row in enumerate(product):
-            bound = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+            bound = np.partition(row, -wanted)[-wanted] if len(row) > wanted else -np.inf
             at = np.flatnonzero(np.isfinite(row) & (row >= bound - 1e-9 * (1 + abs(bound)) if np.isfinite(bound) else np.isfinite(row)))
             score = (v[at] * q[lo + i]).sum(axis=1)
-            keep = np.lexsort((v_ids[at], -score))[:k]
+            keep = np.lexsort((v_ids[at], -score))
+            if wanted > k:
+                keep = keep[np.sort(np.unique(v_ids[at][keep], return_index=True)[1])]
+            keep = keep[:k]
             out[0].append(np.full(len(keep), lo + i)), out[1].append(v_ids[at][keep]), out[2].append(score[keep])
     return tuple(np.concatenate(o) if o else np.zeros(0) for o in out)
 
