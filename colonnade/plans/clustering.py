@@ -31,10 +31,14 @@ def q_eps_neighbors(t):
     return t.fx_points.join(degree, ["class_id", *XY]).select("pt_id", "degree")
 
 
-CORE_SQL = f"""
-large AS (SELECT p.* FROM fx_points p JOIN (SELECT class_id FROM fx_points WHERE size >= {SIZE} GROUP BY 1 HAVING COUNT(*) > {MIN_SAMPLES}) k ON k.class_id = p.class_id WHERE size >= {SIZE}),
-core AS (SELECT a.pt_id, a.class_id, a.x, a.y FROM large a JOIN large b ON a.class_id = b.class_id AND b.y BETWEEN a.y - {EPS} AND a.y + {EPS}
-  AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {EPS * EPS} GROUP BY 1, 2, 3, 4 HAVING COUNT(*) >= {MIN_SAMPLES})"""
+def core_sql(points: str = "fx_points", eps: int = EPS, min_samples: int = MIN_SAMPLES, size: int = SIZE) -> str:
+    return f"""
+large AS (SELECT p.* FROM {points} p JOIN (SELECT class_id FROM {points} WHERE size >= {size} GROUP BY 1 HAVING COUNT(*) > {min_samples}) k ON k.class_id = p.class_id WHERE size >= {size}),
+core AS (SELECT a.pt_id, a.class_id, a.x, a.y FROM large a JOIN large b ON a.class_id = b.class_id AND b.y BETWEEN a.y - {eps} AND a.y + {eps}
+  AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {eps * eps} GROUP BY 1, 2, 3, 4 HAVING COUNT(*) >= {min_samples})"""
+
+
+CORE_SQL = core_sql()
 
 
 def near_sql(targets: str) -> str:
@@ -60,19 +64,21 @@ def q_nearest_core(t):
 
 
 def dbscan_sql(core: str, dims: tuple[str, ...], select: str) -> str:
+    return f"WITH RECURSIVE {dbscan_ctes(core, dims)} {select}"
+
+
+def dbscan_ctes(core: str, dims: tuple[str, ...], points: str = "fx_points", eps: int = EPS) -> str:
     sq = " + ".join(f"(a.{d} - b.{d}) * (a.{d} - b.{d})" for d in dims)
-    near = f"a.class_id = b.class_id AND b.y BETWEEN a.y - {EPS} AND a.y + {EPS} AND {sq} <= {EPS * EPS}"
-    return f"""
-WITH RECURSIVE {core},
+    near = f"a.class_id = b.class_id AND b.y BETWEEN a.y - {eps} AND a.y + {eps} AND {sq} <= {eps * eps}"
+    return f"""{core},
 link AS (SELECT a.pt_id AS a, b.pt_id AS b FROM core a JOIN core b ON {near}),
 reach AS (SELECT pt_id AS root, pt_id AS id FROM core UNION SELECT r.root, l.b FROM reach r JOIN link l ON l.a = r.id WHERE l.b > r.root OR l.b < r.root),
 comp AS (SELECT id AS pt_id, MIN(root) AS root FROM reach GROUP BY 1),
 num AS (SELECT c.pt_id, DENSE_RANK() OVER (PARTITION BY class_id ORDER BY root) - 1 AS cluster FROM comp c JOIN core k ON k.pt_id = c.pt_id),
 nr AS (SELECT pt_id, core_id FROM (SELECT a.pt_id, b.pt_id AS core_id, ROW_NUMBER() OVER (PARTITION BY a.pt_id ORDER BY {sq}, b.pt_id) AS k
-  FROM fx_points a JOIN core b ON {near}) z WHERE k = 1),
-lab AS (SELECT p.*, COALESCE(n.cluster, -1) AS cluster, c.pt_id IS NOT NULL AS is_core FROM fx_points p
-  LEFT JOIN nr ON nr.pt_id = p.pt_id LEFT JOIN num n ON n.pt_id = nr.core_id LEFT JOIN core c ON c.pt_id = p.pt_id)
-{select}"""
+  FROM {points} a JOIN core b ON {near}) z WHERE k = 1),
+lab AS (SELECT p.*, COALESCE(n.cluster, -1) AS cluster, c.pt_id IS NOT NULL AS is_core FROM {points} p
+  LEFT JOIN nr ON nr.pt_id = p.pt_id LEFT JOIN num n ON n.pt_id = nr.core_id LEFT JOIN core c ON c.pt_id = p.pt_id)"""
 
 
 ROWS = "SELECT pt_id, class_id, cluster, is_core FROM lab"

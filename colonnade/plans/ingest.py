@@ -94,13 +94,74 @@ def q_segment_text_parse(t):
     return segment_text.parse_segments(segment_lines(t), ["frame_id", "col_id"])
 
 
-@query("q_instance_manifest", views=("fx_segments",), sql="""
+FORM_SQL = """
+WITH s AS (SELECT *, CASE (col_id + seg_idx) % 4 WHEN 0 THEN 4 WHEN 1 THEN 5 WHEN 2 THEN 6 ELSE 8 END AS k,
+  DENSE_RANK() OVER (PARTITION BY frame_id ORDER BY col_id) - 1 AS line_no FROM fx_segments)"""
+
+
+def text_files(t):
+    """Segment files, one per frame: lines of all forms, closed by a ground line; written, listed and read back."""
+    k = F.element_at(F.array(*map(F.lit, (4, 5, 6, 8))), ((F.col("col_id") + F.col("seg_idx")) % 4 + 1).cast("int"))
+    fields = F.slice(F.array(*[F.col(c).cast("string") for c in SEG_FIELDS]), F.lit(1), k)
+    text = F.concat(F.array_join(fields, ","), F.lit(";"))
+    lines = t.fx_segments.groupBy("frame_id", "col_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg_idx", text.alias("t")))), lambda s: s["t"]), "").alias("line"))
+    ground = t.fx_segments.select("frame_id").distinct().select(
+        "frame_id", F.lit(1 << 30).alias("col_id"), F.format_string("groundplane%.2f,%d", F.col("frame_id") % 8 / 4, 40 + F.col("frame_id") % 8).alias("line"))
+    folder = fresh_folder(t.spark, "segment-files")
+    segment_text.write_files(lines.unionByName(ground), "frame_id", "col_id", "line", folder)
+    return folder
+
+
+@query("q_segment_text_files", views=("fx_segments",), sql=FORM_SQL + """
+SELECT frame_id, CAST(line_no AS INTEGER) AS line_no, seg_idx, type, v_b, v_t, CAST(disparity AS DOUBLE) AS disparity, CASE WHEN k >= 5 THEN class_id END AS class_id,
+  CAST(CASE WHEN k >= 6 THEN cost END AS DOUBLE) AS cost, CAST(CASE WHEN k >= 8 THEN mean_x END AS DOUBLE) AS mean_x,
+  CAST(CASE WHEN k >= 8 THEN mean_y END AS DOUBLE) AS mean_y, CAST(NULL AS INTEGER) AS label, FALSE AS bad_label FROM s""")
+def q_segment_text_files(t):
+    lines = segment_text.read_files(t.spark, text_files(t)).withColumn("frame_id", F.col("frame_id").cast("bigint"))
+    return segment_text.parse_segments(lines, ["frame_id", "line_no"])
+
+
+@query("q_ground_line_files", views=("fx_segments",), sql="""
+SELECT DISTINCT CAST(frame_id AS INTEGER) AS frame_id, (frame_id % 8) / 4.0::DOUBLE AS alpha_ground, CAST(40 + frame_id % 8 AS INTEGER) AS vhor, TRUE AS listed FROM fx_segments""")
+def q_ground_line_files(t):
+    folder = text_files(t)
+    lines = segment_text.read_files(t.spark, folder)
+    found = catalog.list_files(t.spark, folder, "*.txt").select(F.regexp_extract("path", "frame_id=([0-9]+)", 1).cast("int").alias("frame_id"), (F.col("length") > 0).alias("listed"))
+    return segment_text.parse_ground(lines, ["frame_id"]).withColumn("frame_id", F.col("frame_id").cast("int")).join(found, "frame_id")
+
+
+@query("q_camera_files", sql="""
+SELECT s_suppkey AS frame_id, CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey / 8.0::DOUBLE ELSE 0.22087 END AS baseline,
+  CASE WHEN s_suppkey % 3 = 1 THEN s_suppkey * 2.0::DOUBLE ELSE 1495.46 END AS fx FROM supplier""")
+def q_camera_files(t):
+    """Two thirds of the frames have a camera file, half of those without a focal length; the rest falls back."""
+    frames = t.supplier.select(F.col("s_suppkey").alias("frame_id"))
+    focal = F.when(F.col("frame_id") % 3 == 1, F.struct((F.col("frame_id") * 2.0).alias("fx")))
+    folder = fresh_folder(t.spark, "cameras")
+    given = frames.where("frame_id % 3 <> 0").withColumn("folder", F.col("frame_id"))
+    given.select("folder", F.struct((F.col("frame_id") / 8).alias("baseline")).alias("extrinsic"), focal.alias("intrinsic")).repartition(
+        "folder").write.partitionBy("folder").option("maxRecordsPerFile", 1).json(folder)
+    cameras = gates.read_cameras(t.spark, f"{folder}/*/*.json").withColumn("frame_id", F.regexp_extract("path", "folder=([0-9]+)", 1).cast("int"))
+    got = frames.join(cameras, "frame_id", "left")
+    return got.select("frame_id", F.coalesce("extrinsic.baseline", F.lit(0.22087)).alias("baseline"), F.coalesce("intrinsic.fx", F.lit(1495.46)).alias("fx"))
+
+
+MANIFEST_SQL = """
 SELECT DISTINCT frame_id, concat(CAST(frame_id AS VARCHAR), '_', CAST(class_id * 1000 + inst AS VARCHAR), '.png ',
   CASE class_id WHEN 11 THEN '24' WHEN 12 THEN '25' WHEN 13 THEN '26' WHEN 14 THEN '27' WHEN 15 THEN '28'
     WHEN 16 THEN '31' WHEN 17 THEN '32' WHEN 18 THEN '33' ELSE '0' END, ' 1.0') AS line,
   class_id < 11 AS is_error
-FROM fx_segments WHERE inst >= 0 AND type = 1""")
+FROM fx_segments WHERE inst >= 0 AND type = 1"""
+
+
+@query("q_instance_manifest", views=("fx_segments",), sql=MANIFEST_SQL)
 def q_instance_manifest(t):
+    return manifest(t)
+
+
+def manifest(t):
+    """Lines of the instance manifest per frame."""
     ids = (t.fx_segments.where((F.col("inst") >= 0) & (F.col("type") == 1))
            .select("frame_id", "class_id", (F.col("class_id") * 1000 + F.col("inst")).alias("label")).distinct())
     label_id = lookup(F.col("class_id"), dict(enumerate(LABEL_IDS)))
@@ -110,6 +171,15 @@ def q_instance_manifest(t):
         (label_id < FIRST_INSTANCE_LABEL_ID).alias("is_error"))
 
 
+@query("q_manifest_files", views=("fx_segments",), sql=f"""
+SELECT CAST(frame_id AS INTEGER) AS frame_id, CAST(ROW_NUMBER() OVER (PARTITION BY frame_id ORDER BY line) - 1 AS INTEGER) AS line_no, line FROM ({MANIFEST_SQL}) m WHERE NOT is_error""")
+def q_manifest_files(t):
+    """One manifest file per frame, written and read back with line numbers."""
+    folder = fresh_folder(t.spark, "manifest")
+    segment_text.write_files(manifest(t).where("NOT is_error").withColumn("o", F.col("line")), "frame_id", "o", "line", folder)
+    return segment_text.read_files(t.spark, folder).select(F.col("frame_id").cast("int").alias("frame_id"), "line_no", "line")
+
+
 @query("q_scale_and_gate", views=("fx_pixels",), sql="""
 WITH p AS (SELECT frame_id, r, c, CASE WHEN frame_id % 2 = 0 THEN d / 256.0 ELSE CAST(d AS DOUBLE) END AS v FROM fx_pixels),
 f AS (SELECT frame_id, MAX(r) + 1 AS n_rows, COUNT(*) AS n_cells, ROUND(SUM(v), 6) AS total FROM p GROUP BY 1)

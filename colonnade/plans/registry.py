@@ -17,7 +17,7 @@ TABLES = (
 
 QUERY_MODULES = (
     "ingest", "resample", "aggregate", "joining", "folding", "segmenting",
-    "clustering", "geometry", "evaluating", "sweeping", "streams",
+    "clustering", "geometry", "evaluating", "sweeping", "streams", "frames",
 )
 
 

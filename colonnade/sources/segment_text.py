@@ -6,12 +6,27 @@ the two means and an instance number; a closing line carries the ground plane.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.functions.constants import FIRST_INSTANCE_CLASS
 
 
+def write_files(lines: DataFrame, key: str, order: str, line: str, folder: str) -> None:
+    """One text file per value of ``key``, its lines in ``order``; a file's lines must fit a string."""
+    files = lines.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line).alias("t")))).alias("p"))
+    text = F.array_join(F.transform("p", lambda s: s["t"]), "\n")
+    files.select(key, text.alias("value")).write.partitionBy(key).text(folder)
+
+
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of the files below ``folder`` with ``path``, ``line_no`` (from 0) and the keys in the folder names."""
+    whole = spark.read.text(folder, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
+    keys = [c for c in whole.columns if c not in ("value", "path")]
+    body = F.regexp_replace("value", "\n$", "")
+    return whole.select(*keys, "path", F.posexplode(F.split(body, "\n")).alias("line_no", "line"))
+
+
 def parse_segments(lines: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
     """Segment rows of column lines; ``seg_idx`` counts from the first of a line."""
     parts = F.filter(F.split(F.col(line), ";"), lambda s: F.length(F.trim(s)) > 0)
