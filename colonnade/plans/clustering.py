@@ -27,7 +27,7 @@ def q_eps_neighbors(t):
     """How many points of its class lie within the radius of each point (itself included)."""
     grid = cl.Grid("class_id", XY, EPS)
     sites = cl.make_sites(grid, t.fx_points, "pt_id", F.lit(True), F.lit(True))
-    degree = cl.degrees(grid, sites)
+    degree = cl.degree_by_lines(grid, sites)
     return t.fx_points.join(degree, ["class_id", *XY]).select("pt_id", "degree")
 
 

@@ -68,7 +68,7 @@ def test_full_squares_are_dealt_out_without_changing_counts(spark, monkeypatch):
     grid = cl.Grid("cls", ("x", "y"), 9)
     sites = cl.make_sites(grid, df, "id", F.lit(True), F.lit(True))
     plain = sorted(cl.neighbour_weight(grid, sites, sites).collect())
-    monkeypatch.setattr(cl, "MAX_SQUARE_SITES", 3)
+    monkeypatch.setattr(cl, "PART_SITES", 3)
     assert sorted(cl.neighbour_weight(grid, sites, sites).collect()) == plain
 
 
@@ -82,9 +82,8 @@ def test_degrees_by_lines_equal_pairs(spark, dims):
     assert got == {tuple(r)[:-1]: r["degree"] for r in cl.neighbour_weight(grid, sites, sites).collect()}
 
 
-def test_crowded_cells_give_the_same_clusters(spark, monkeypatch):
-    """Own-cell answers by lattice lines instead of sites."""
-    monkeypatch.setattr(cl, "MAX_DIRECT_SITES", 0)
+def test_crowded_cells_give_the_same_clusters(spark):
+    """Own cells answer by lattice lines."""
     pts = sample(6, ("x", "y"))
     df = spark.createDataFrame([tuple(p.values()) for p in pts], "id long, cls int, size int, x long, y long")
     large = lambda p: p["size"] >= 40
