@@ -18,7 +18,7 @@ HEADLINE = (
     "q_hough_votes", "q_line_geometry", "q_rect_join", "q_majority_assign", "q_segment_best_class",
     "q_dbscan_core_only", "q_dbscan_masked", "q_nearest_core", "q_eps_neighbors", "q_instance_median_avg",
     "q_offset_loss", "q_instance_ap", "q_iou", "q_asof_config", "q_sync4_batch", "q_multiway_key_join",
-    "q_segment_text_parse", "q_quads_3d", "q_rasterize",
+    "q_segment_text_parse", "q_quads_3d", "q_rasterize", "q_frame_pipeline",
 )
 
 
@@ -31,6 +31,7 @@ def main() -> None:
     every = load_all()
     names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
     Tables(spark, sf_dir).lineitem.agg({"l_quantity": "sum"}).collect()  # start the executors
+    spark.range(1000).repartition(int(cpus)).mapInArrow(lambda batches: batches, "id long").count()  # and their Python workers
     took = {}
     for name in names:
         t0 = time.perf_counter()

@@ -68,12 +68,10 @@ def q_label_left_join(t):
 @query("q_label_violations", views=("fx_segments",), sql="""
 SELECT frame_id, col_id, seg_idx, class_id, class_id < 11 AS violation FROM fx_segments WHERE inst >= 0""")
 def q_label_violations(t):
-    """Labelled segments, split by whether their class may carry instances."""
-    allowed = t.spark.range(FIRST_INSTANCE_CLASS, len(CLASS_NAMES)).select(F.col("id").cast("int").alias("class_id"))
+    """Labelled segments, marked by whether their class may carry instances: one left join with the fixed class list."""
+    allowed = t.spark.range(FIRST_INSTANCE_CLASS, len(CLASS_NAMES)).select(F.col("id").cast("int").alias("class_id"), F.lit(True).alias("_ok"))
     labelled = t.fx_segments.where("inst >= 0").select(*SEG, "class_id")
-    good = labelled.join(F.broadcast(allowed), "class_id", "left_semi").withColumn("violation", F.lit(False))
-    bad = labelled.join(F.broadcast(allowed), "class_id", "left_anti").withColumn("violation", F.lit(True))
-    return good.unionByName(bad)
+    return labelled.join(F.broadcast(allowed), "class_id", "left").select(*SEG, "class_id", F.col("_ok").isNull().alias("violation"))
 
 
 CONFIG_TEXT = "person, car, truck; skyline"

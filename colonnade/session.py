@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -50,6 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
     global _local_dir
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="colonnade-")
+        atexit.register(shutil.rmtree, _local_dir, ignore_errors=True)
     return _local_dir
 
 
