@@ -44,7 +44,7 @@ def rounded(df, names):
 WITH {TERM_SQL} SELECT frame_id, ROUND(om, 6) AS offset_mean, ROUND(ov, 6) AS offset_variance, ROUND(0.001::DOUBLE * om + 0.0001::DOUBLE * ov, 6) AS loss FROM x""")
 def q_offset_loss(t):
     out = ev.frame_loss(loss_cells(t), "frame_id", "gt_id", {"offset_mean": 1e-3, "offset_variance": 1e-4})
-    return rounded(out, ["offset_mean", "offset_variance", "loss"])
+    return rounded(out.drop("mode"), ["offset_mean", "offset_variance", "loss"])
 
 
 @query("q_disp_offset_loss", views=VIEWS, sql=f"""
@@ -54,10 +54,7 @@ SELECT frame_id, 'variance' AS mode, ROUND(om, 6) AS offset_mean, ROUND(ov, 6) A
 UNION ALL SELECT frame_id, 'absolute', ROUND(om, 6), ROUND(oa, 6), ROUND(dm, 6), ROUND(da, 6), ROUND(0.001::DOUBLE * om + 0.0001::DOUBLE * oa + 0.001::DOUBLE * dm + 0.0001::DOUBLE * da, 6) FROM x""")
 def q_disp_offset_loss(t):
     weights = {"offset_mean": 1e-3, "offset_variance": 1e-4, "disparity_mean": 1e-3, "disparity_variance": 1e-4}
-    cells = loss_cells(t)
-    both = [ev.frame_loss(cells, "frame_id", "gt_id", weights, a).withColumn("mode", F.lit(m))
-            for a, m in ((False, "variance"), (True, "absolute"))]
-    return rounded(both[0].unionByName(both[1]), [*weights, "loss"])
+    return rounded(ev.frame_loss(loss_cells(t), "frame_id", "gt_id", weights, ("variance", "absolute")), [*weights, "loss"])
 
 
 @query("q_nll", views=("fx_class_cost",), sql="""
@@ -120,7 +117,7 @@ ov AS (SELECT o.frame_id, o.gt_id, o.pred_id, o.inter, g.area AS gt_area, p.area
 @query("q_instance_overlap", views=("fx_masks",), sql=f"""
 WITH {OVERLAP_SQL} SELECT *, ROUND(inter / (gt_area + pred_area - inter), 6) AS iou FROM ov""")
 def q_instance_overlap(t):
-    out = ev.instance_overlap(t.fx_masks, "frame_id", "gt_id", "pred_id")
+    out = ev.instance_overlap(ev.pair_counts(t.fx_masks, "frame_id", "gt_id", "pred_id"), "frame_id", "gt_id", "pred_id")
     iou = F.col("inter") / (F.col("gt_id_area") + F.col("pred_id_area") - F.col("inter"))
     return out.select("frame_id", "gt_id", "pred_id", "inter", F.col("gt_id_area").alias("gt_area"),
                       F.col("pred_id_area").alias("pred_area"), F.round(iou, 6).alias("iou"))
