@@ -22,6 +22,7 @@ since no piece reaches over a gap; a chunk of one endless word is walked in full
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -40,6 +41,29 @@ SPACE = "▁"
 CALL = 1 << 20
 
 
+def merged(text: str, rank: dict[str, float]) -> list[str]:
+    """Best pair first, of equal ones the first: the definition, for short texts."""
+    parts = list(text)
+    while True:
+        best = max(((rank[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in rank), default=None)
+        if best is None:
+            return parts
+        i = -best[1]
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+
+
+def neighbours(rank: dict[str, float]):
+    """Tells whether two pieces may be neighbours; with nothing on the left, whether one may stand at all.
+
+    It holds no reference to a vocabulary, so a task's vocabulary goes when the task ends.
+    """
+    @functools.lru_cache(200_000)
+    def fits(left: str, right: str) -> bool:
+        return merged(left + right, rank) == [p for p in (left, right) if p]
+
+    return fits
+
+
 class Vocabulary:
     """Pieces of a model and which of them may be neighbours."""
 
@@ -58,21 +82,7 @@ class Vocabulary:
         self.reach = max((len(p) for p in self.rank), default=1)
         self.gaps = not any(SPACE in p.lstrip(SPACE) for p in self.rank)
         self.bytes = [p.piece.replace(SPACE, " ").encode() if p.type == 1 else bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" for p in model.pieces]
-        self.fits = functools.lru_cache(200_000)(self._fits)
-
-    def merged(self, text: str) -> list[str]:
-        """Best pair first, of equal ones the first: the definition, for short texts."""
-        parts = list(text)
-        while True:
-            best = max(((self.rank[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.rank), default=None)
-            if best is None:
-                return parts
-            i = -best[1]
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-
-    def _fits(self, left: str, right: str) -> bool:
-        """Whether two pieces may be neighbours; with nothing on the left, whether one may stand at all."""
-        return self.merged(left + right) == [p for p in (left, right) if p]
+        self.fits = neighbours(self.rank)
 
     def prepare(self, text: str) -> str:
         return self.prefix + text.replace(" ", SPACE) if text else ""
@@ -158,8 +168,8 @@ def with_id(id_type: T.DataType, others: str) -> T.StructType:
     return T.StructType([T.StructField("doc_id", id_type), *T.StructType.fromDDL(others)])
 
 
-def encode(docs: DataFrame, ident: str, text: str, model: bytes, chunk: int = 1 << 16) -> DataFrame:
-    """``doc_id`` and ``ids`` for every row."""
+def encode(docs: DataFrame, ident: str, text: str, model: bytes, chunk: int = 1 << 16, proof: bool = False) -> DataFrame:
+    """``doc_id`` and ``ids`` for every row; with ``proof`` also ``decoded_sha256``, the digest of what the ids decode to."""
     rows = docs.select(F.col(ident).alias("doc_id"), text_of(text).alias("t"))
     id_type = rows.schema["doc_id"].dataType
     small = rows.where(F.length("t") <= chunk)
@@ -168,15 +178,19 @@ def encode(docs: DataFrame, ident: str, text: str, model: bytes, chunk: int = 1
     def plain(batches):
         voc = Vocabulary(model)
         for b in batches:
-            texts, lo, n = [voc.prepare(t) for t in b.column("t").to_pylist()], 0, 0
-            for hi in range(1, len(texts) + 1):
-                n += len(texts[hi - 1])
-                if n >= CALL or hi == len(texts):
-                    ids = pa.array([voc.encode(t) for t in texts[lo:hi]], pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), ids], names=["doc_id", "ids"])
-                    lo, n = hi, 0
-
-    done = small.mapInArrow(plain, with_id(id_type, "ids array<int>"))
+            lo, n, ids, digests = 0, 0, [], []
+            for i in range(b.num_rows):
+                prepared = voc.prepare(b.column("t")[i].as_py())
+                made = voc.encode(prepared)
+                n += len(prepared)
+                digests.append(hashlib.sha256(voc.decode(made).encode()).hexdigest() if proof else None)
+                ids.append(np.array(made, dtype=np.int32))
+                if n >= CALL or i == b.num_rows - 1:
+                    columns = [b.column("doc_id").slice(lo, i + 1 - lo), pa.array(ids, pa.list_(pa.int32())), pa.array(digests, pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded_sha256"])
+                    lo, n, ids, digests = i + 1, 0, [], []
+
+    done = small.mapInArrow(plain, with_id(id_type, "ids array<int>, decoded_sha256 string"))
     cuts = cut_lineage(giant.mapInArrow(lambda batches: cut_up(batches, model, chunk), with_id(
         id_type, "row_no long, chunk int, part string, first int, last int, closes boolean")))
 
@@ -211,7 +225,10 @@ def encode(docs: DataFrame, ident: str, text: str, model: bytes, chunk: int = 1
     encoded = cuts.join(fixed, ["row_no", "chunk"]).select("doc_id", "row_no", "chunk", "part", "first", "last", "skip", "over").mapInArrow(
         between, with_id(id_type, "row_no long, chunk int, ids array<int>"))
     whole = encoded.groupBy("row_no").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("c"))
-    return done.unionByName(whole.select("doc_id", F.flatten("c.ids").alias("ids")))
+    joined = whole.select("doc_id", F.flatten("c.ids").alias("ids"))
+    if not proof:
+        return done.drop("decoded_sha256").unionByName(joined)
+    return done.unionByName(joined.withColumn("decoded_sha256", F.sha2(decode("ids", model), 256)))
 
 
 def cut_up(batches, model: bytes, chunk: int):

@@ -118,9 +118,8 @@ MODEL = os.path.join(os.environ.get("TOKENIZERS", "/opt/tokenizers"), "piece_bpe
 def op2(spark, sf_dir):
     """Ids of every whole text, and the digest of the text that they decode to."""
     model = pieces.read_model(MODEL)
-    coded = pieces.encode(read_table(spark, sf_dir, "documents"), "doc_id", "text", model)
-    return coded.select("doc_id", F.col("ids").alias("token_ids"), F.size("ids").cast("bigint").alias("n_tokens"),
-                        F.sha2(pieces.decode("ids", model), 256).alias("decoded_sha256"))
+    coded = pieces.encode(read_table(spark, sf_dir, "documents"), "doc_id", "text", model, proof=True)
+    return coded.select("doc_id", F.col("ids").alias("token_ids"), F.size("ids").cast("bigint").alias("n_tokens"), "decoded_sha256")
 
 
 def scored(docs, score, parts, held):
