@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.operators.scan import blocked_scan
+from colonnade.operators.scan import ranged_scan
 
 MAX_PARAMETER_SETS = 4096
 
@@ -76,11 +76,11 @@ def fan_out(rows: DataFrame, params: list[dict], name: str = "param_id") -> Data
     return rows.select("*", F.explode(sets).alias("_p")).select(*rows.columns, "_p.*")
 
 
-def asof_config(events: DataFrame, configs: DataFrame, order: str, fields: list[str], block: int) -> DataFrame:
+def asof_config(events: DataFrame, configs: DataFrame, order: str, fields: list[str]) -> DataFrame:
     """The configuration in force at each event: the last one at or before it.
 
-    Both sides go into one ordered stream that is scanned block by block, so neither
-    a long history nor a single global key ends up in one task.
+    Both sides go into one ordered stream that is scanned in blocks of equally many rows,
+    so neither a long history, a burst of events nor a single global key ends up in one task.
     """
     cfg = F.struct(*fields)
     e = events.withColumn("_side", F.lit(1)).withColumn("_cfg", F.lit(None).cast(configs.select(cfg).schema[0].dataType))
@@ -89,7 +89,7 @@ def asof_config(events: DataFrame, configs: DataFrame, order: str, fields: list[
     c = one.select(order, *[F.lit(None).cast(events.schema[n].dataType).alias(n) for n in rest],
                        F.lit(0).alias("_side"), "_cfg")
     both = e.unionByName(c).withColumn("_pos", F.col(order) * 2 + F.col("_side"))
-    scanned = blocked_scan(both, [], "_pos", [("_now", "_cfg", "last")], block)
+    scanned = ranged_scan(both, ["_pos"], [("_now", "_cfg", "last")])
     return scanned.where(F.col("_side") == 1).select(*events.columns, *[F.col(f"_now.{f}").alias(f) for f in fields])
 
 

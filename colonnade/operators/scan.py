@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from colonnade.session import cut_lineage
+
 Spec = tuple[str, str, str]  # output column, input column, kind
 
 
@@ -67,13 +69,29 @@ def blocked_scan(df: DataFrame, keys: list[str], pos: str, specs: list[Spec], bl
     """
     if levels == 0:
         return series_scan(df, keys, pos, specs)
+    cut = df.withColumn("_block", F.expr(f"floor({pos} / {float(block)})").cast("bigint"))
+    return _scan_blocks(cut, keys, pos, specs, fan, levels - 1).select(*df.columns, *[out for out, _, _ in specs])
+
+
+def ranged_scan(df: DataFrame, order: list[str], specs: list[Spec]) -> DataFrame:
+    """Scan of all rows in one order, cut into blocks of about equally many rows wherever they lie.
+
+    A block is a range partition, so rows crowded into a short stretch of the order are
+    spread as well.  The blocks are written, as drawing the ranges again could cut them
+    elsewhere; the last, plain window sees one row per block.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns(
+        {"_block": F.spark_partition_id().cast("bigint"), "_place": F.monotonically_increasing_id()})
+    return _scan_blocks(cut_lineage(placed), [], "_place", specs, 1024, 0).select(*df.columns, *[out for out, _, _ in specs])
+
+
+def _scan_blocks(cut: DataFrame, keys: list[str], pos: str, specs: list[Spec], fan: int, levels: int) -> DataFrame:
     b = "_block"
-    cut = df.withColumn(b, F.expr(f"floor({pos} / {float(block)})").cast("bigint"))
     totals = cut.groupBy(*keys, b).agg(*[_total(kind, col, pos).alias(f"_t{i}")
                                          for i, (_, col, kind) in enumerate(specs)])
     carry_specs = [(f"_c{i}", f"_t{i}", kind.removesuffix("_before") + "_before")
                    for i, (_, _, kind) in enumerate(specs)]
-    carry = blocked_scan(totals.withColumnRenamed(b, "_p"), keys, "_p", carry_specs, fan, levels - 1, fan)
+    carry = blocked_scan(totals.withColumnRenamed(b, "_p"), keys, "_p", carry_specs, fan, levels, fan)
     carry = carry.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
                          F.col("_p").alias("_kb"), *[f"_c{i}" for i in range(len(specs))])
     w = W.partitionBy(*keys, b).orderBy(pos)
@@ -82,6 +100,6 @@ def blocked_scan(df: DataFrame, keys: list[str], pos: str, specs: list[Spec], bl
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     joined = local.join(carry, on, "left")
-    return joined.select(*df.columns, *[
+    return joined.select(*cut.columns, *[
         _merge(kind, F.col(f"_l{i}"), F.col(f"_c{i}")).alias(out)
         for i, (out, _, kind) in enumerate(specs)])

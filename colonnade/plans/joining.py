@@ -108,4 +108,4 @@ def q_asof_config(t):
     config = ev.where("event_type = 'error'").select(
         "us", F.col("event_id").alias("config_id"), F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"))
     events = ev.where("event_type <> 'error'").select("event_id", "us")
-    return jn.asof_config(events, config, "us", ["config_id", "k"], block=2_000_000_000)
+    return jn.asof_config(events, config, "us", ["config_id", "k"])

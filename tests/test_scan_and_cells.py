@@ -173,6 +173,6 @@ def test_asof_takes_the_last_change_at_or_before(spark):
     rnd = random.Random(2)
     ev = [(i, rnd.randrange(10_000)) for i in range(500)]
     cfg = [(t, t * 10) for t in rnd.sample(range(100, 10_000), 40)]
-    out = jn.asof_config(spark.createDataFrame(ev, "id int, us long"), spark.createDataFrame(cfg, "us long, p long"), "us", ["p"], 128)
+    out = jn.asof_config(spark.createDataFrame(ev, "id int, us long"), spark.createDataFrame(cfg, "us long, p long"), "us", ["p"])
     want = {i: max((t * 10 for t, _ in cfg if t <= us), default=None) for i, us in ev}
     assert {r["id"]: r["p"] for r in out.collect()} == want
