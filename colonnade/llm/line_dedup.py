@@ -3,7 +3,7 @@ r"""Deletion of repeated line runs, by the ranks of a suffix array over line ids
 The lines of a document that hold a word form its sequence.  Suffixes are ranked by prefix doubling: a
 rank by 2k lines is the sorted place of the pair of two ranks by k lines.  Suffixes of one rank
 are an interval of the suffix array whose common prefix is that long; suffixes alone in their
-interval cannot be part of a repeat and drop out of all further rounds.
+interval cannot begin a repeat of that length and drop out of all further rounds.
 
 A run of lines counts as repeated if it occurs earlier, in the order of documents and lines, and has
 ``min_words`` words or more; all lines of such a run are deleted, so the first copy stays.  A
@@ -24,16 +24,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from colonnade.llm.common import WORD, global_prefix, join_groups, text_of
+from colonnade.llm.common import WORD, cut_text, global_prefix, join_groups, text_of
 from colonnade.session import cut_lineage
 
 
-def ranked(suffixes: DataFrame, by: list[str]) -> DataFrame:
-    """``doc``, ``at`` and ``rank`` of the suffixes whose ``by`` occurs more than once; the rank is the number of smaller suffixes."""
+def ranked(suffixes: DataFrame, by: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc``, ``at``, ``keep`` and ``rank`` of the suffixes whose ``by`` occurs more than once; the rank is the number of smaller suffixes."""
     keyed = suffixes.withColumn("key", F.struct(*by))
     classes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     placed = cut_lineage(global_prefix(classes, [F.col(f"key.{c}") for c in by], "n").select("key", "n", F.col("g_before").alias("rank")))
-    return cut_lineage(join_groups(keyed, placed, "key", "n", suffixes.count()).select("doc", "at", "rank"))
+    return cut_lineage(join_groups(keyed, placed, "key", "n", suffixes.count()).select("doc", "at", *keep, "rank"))
 
 
 def shortest(words: Column, min_words: int) -> Column:
@@ -43,27 +43,30 @@ def shortest(words: Column, min_words: int) -> Column:
     return F.when(n["w"] >= min_words, n["n"])
 
 
-def repeated_lines(lines: DataFrame, min_words: int) -> DataFrame:
-    """``doc`` and ``at`` of the lines to delete, from ``doc``, ``place`` (order of documents), ``at``, ``h1``, ``h2`` and ``words``."""
-    levels = [ranked(lines.select("doc", "at", "h1", "h2"), ["h1", "h2"])]
+def repeated_lines(lines: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
+    """``doc`` and ``at`` of the lines to delete, from ``doc``, ``at``, ``h1``, ``h2`` and ``words``; ``places`` has the order of documents."""
+    levels = [ranked(lines.drop("line"), ["h1", "h2"], ("words",))]
     while 2 ** len(levels) <= min_words:
         step, level = 2 ** (len(levels) - 1), levels[-1]
         after = level.select("doc", (F.col("at") - step).alias("at"), F.col("rank").alias("r2"))
         levels.append(ranked(level.withColumnRenamed("rank", "r1").join(after, ["doc", "at"]), ["r1", "r2"]))
-    along = W.partitionBy("doc").orderBy("at")
+    # only stretches of lines that all occur again can hold pieces of repeated runs
+    stretch = F.col("at") - F.row_number().over(W.partitionBy("doc").orderBy("at"))
+    along = W.partitionBy("doc", "stretch").orderBy("at")
     ahead = F.collect_list("words").over(along.rowsBetween(0, min_words - 1))
     behind = F.reverse(F.collect_list("words").over(along.rowsBetween(1 - min_words, 0)))
-    sized = lines.select("doc", "place", "at", shortest(ahead, min_words).alias("n"), shortest(behind, min_words).alias("b"))
-    pieces = sized.select("doc", "place", "at", "n").unionByName(sized.select("doc", "place", (F.col("at") - F.col("b") + 1).alias("at"), F.col("b").alias("n")))
+    sized = levels[0].withColumn("stretch", stretch).select("doc", "at", shortest(ahead, min_words).alias("n"), shortest(behind, min_words).alias("b"))
+    either = F.explode(F.array_distinct(F.array(F.struct("at", "n"), F.struct((F.col("at") - F.col("b") + 1).alias("at"), F.col("b").alias("n")))))
+    pieces = sized.select("doc", either.alias("p")).select("doc", "p.at", "p.n")
     pieces = cut_lineage(pieces.where("n is not null").distinct())
     named = None
     for j, level in enumerate(levels):
         own = pieces.where(F.col("n").between(2 ** j, 2 ** (j + 1) - 1))
-        first = own.join(level.withColumnRenamed("rank", "r1"), ["doc", "at"]).withColumn("end", F.col("at") + F.col("n") - 2 ** j)
+        first = own.join(level.select("doc", "at", F.col("rank").alias("r1")), ["doc", "at"]).withColumn("end", F.col("at") + F.col("n") - 2 ** j)
         both = first.join(level.select("doc", F.col("at").alias("end"), F.col("rank").alias("r2")), ["doc", "end"])
-        part = both.select("doc", "place", "at", "n", F.struct("n", "r1", "r2").alias("key"))
+        part = both.select("doc", "at", "n", F.struct("n", "r1", "r2").alias("key"))
         named = part if named is None else named.unionByName(part)
-    named = cut_lineage(named)
+    named = cut_lineage(named.join(places, "doc"))
     spot = F.struct("place", "doc", "at")
     groups = named.groupBy("key").agg(F.count("*").alias("rows"), F.min(spot).alias("first")).where("rows > 1")
     later = join_groups(named, cut_lineage(groups), "key", "rows", named.count()).where(spot > F.col("first"))
@@ -73,17 +76,16 @@ def repeated_lines(lines: DataFrame, min_words: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, ident: str, text: str, min_words: int = 10) -> DataFrame:
     """``row`` (the input row), ``n_lines``, ``deleted`` (line numbers from 0) and ``clean`` (the text that is left)."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(ident).alias("id"), text_of(text).alias("text"))
-    base = cut_lineage(rows.withColumn("doc", F.monotonically_increasing_id()))
+    base = cut_text(rows.withColumn("doc", F.monotonically_increasing_id()))
     numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("x")))
-    worded = base.select("doc", "id", F.posexplode(F.filter(numbered, lambda e: e["x"].rlike(WORD))).alias("at", "e"))
-    lines = cut_lineage(worded.select(
-        "doc", F.struct(F.col("id").isNull().alias("none"), "id").alias("place"), "at", F.col("e.line").alias("line"),
-        F.xxhash64("e.x").alias("h1"), F.xxhash64(F.lit(1), F.col("e.x")).alias("h2"), F.regexp_count("e.x", F.lit(WORD)).cast("bigint").alias("words")))
-    gone = repeated_lines(lines, min_words).join(lines.select("doc", "at", "line"), ["doc", "at"])
-    gone = gone.groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("deleted"))
-    parts = F.split("text", "\n")
-    none = F.array().cast("array<int>")
-    out = base.join(gone, "doc", "left").withColumn("deleted", F.coalesce("deleted", none))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("deleted")), lambda i: F.element_at(parts, i + 1))
-    clean = F.when(F.size("deleted") == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return out.select("row", F.size(parts).alias("n_lines"), "deleted", clean.alias("clean"))
+    worded = base.select("doc", F.posexplode(F.filter(numbered, lambda e: e["x"].rlike(WORD))).alias("at", "e"))
+    lines = cut_lineage(worded.select("doc", "at", F.col("e.line").alias("line"), F.xxhash64("e.x").alias("h1"), F.hash("e.x").alias("h2"),
+                                      F.regexp_count("e.x", F.lit(WORD)).cast("bigint").alias("words")))
+    places = base.select("doc", F.struct(F.col("id").isNull().alias("none"), "id").alias("place"))
+    gone = repeated_lines(lines, places, min_words).join(lines.select("doc", "at", "line"), ["doc", "at"])
+    gone = gone.groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("gone"))
+    # the lines are split below the join, so that what is left is picked from an array that is there
+    out = base.select("row", "doc", F.split("text", "\n").alias("parts")).join(gone, "doc", "left")
+    deleted = F.coalesce("gone", F.array().cast("array<int>"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), deleted), lambda i: F.element_at("parts", i + 1))
+    return out.select("row", F.size("parts").alias("n_lines"), deleted.alias("deleted"), F.array_join(kept, "\n").alias("clean"))
