@@ -206,25 +206,24 @@ def shingle_sets(docs: DataFrame, ident: str, text: str, size: int) -> DataFrame
     return docs.select(ident, text).mapInArrow(run, schema)
 
 
-def candidates(classes: DataFrame, segments=WIDE, small: int = 32, check: int = 18) -> DataFrame:
+def candidates(classes: DataFrame, segments=WIDE, check: int = 16) -> DataFrame:
     """Pairs (``a``, ``b``) that meet in a segment's ball and differ in at most ``check`` bits of the other word.
 
-    Values with over ``small`` fingerprints offer their least and their greatest one
-    instead of all, so a group of copies gives pairs in proportion to its size.
+    ``classes`` has ``cls``, ``f`` and ``place``, an order.  A segment value offers the first
+    in place of the classes under it, so a group of copies gives pairs in proportion to
+    its size, and its members meet in the first ones of many values.
     """
-    entries = classes.select("cls", "f", F.explode(own_keys(segments)).alias("key"))
-    one = F.struct("cls", "f")
-    offers = entries.groupBy("key").agg(F.count("*").alias("n"), F.min(one).alias("lo"), F.max(one).alias("hi"))
-    offers = cut_lineage(offers)
-    few = entries.join(offers.where(F.col("n") <= small).select("key"), "key").select("key", F.col("cls").alias("b"), F.col("f").alias("b_f"))
-    many = offers.where(F.col("n") > small).select("key", F.explode(F.array("lo", "hi")).alias("o")).select("key", F.col("o.cls").alias("b"), F.col("o.f").alias("b_f"))
     half = next(i for i, s in enumerate(segments) if s.word == 1) << 40
-    other = F.when(F.col("key") < half, F.col("f")[1]).otherwise(F.col("f")[0])
-    probes = classes.select("cls", "f", F.explode(ball_keys(segments)).alias("key")).select("key", F.col("cls").alias("a"), other.alias("a_check"))
-    offered = few.unionByName(many)
-    offered = offered.select("key", "b", F.when(F.col("key") < half, F.col("b_f")[1]).otherwise(F.col("b_f")[0]).alias("b_check"))
-    near = (F.col("p.a") != F.col("o.b")) & (F.bit_count(F.col("a_check").bitwiseXOR(F.col("b_check"))) <= check)
-    met = probes.alias("p").join(offered.alias("o"), (F.col("p.key") == F.col("o.key")) & near)
+
+    def other(f: str) -> Column:
+        return F.when(F.col("key") < half, F.col(f)[1]).otherwise(F.col(f)[0])
+
+    held = classes.select("place", "cls", "f", F.explode(own_keys(segments)).alias("key"))
+    first = held.groupBy("key").agg(F.min(F.struct("place", "cls", "f")).alias("o"))
+    table = first.select("key", F.col("o.cls").alias("b"), F.col("o.f").alias("b_f")).select("key", "b", other("b_f").alias("b_check"))
+    probes = classes.select("cls", "f", F.explode(ball_keys(segments)).alias("key")).select("key", F.col("cls").alias("a"), other("f").alias("a_check"))
+    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a_check").bitwiseXOR(F.col("b_check"))) <= check)
+    met = probes.alias("p").join(table.alias("o"), (F.col("p.key") == F.col("o.key")) & near)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -240,9 +239,10 @@ def near_unique(docs: DataFrame, ident: str, text: str, size: int = 5, similarit
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(row.alias("row"), F.col(ident).alias("k_id"), F.xxhash64(text_of(text)).alias("k_text"), text_of(text).alias("t"))
     marked = fingerprints(keyed.select("k_id", "k_text", "t"), "t", 2, 2)
+    place = F.struct(F.col("k_id").isNull().alias("none"), "k_id", "cls")
     classes = cut_lineage(marked.groupBy("k_id", "k_text").agg(F.first("f").alias("f"), F.count("*").alias("copies"))
-                          .withColumn("cls", F.monotonically_increasing_id()))
-    pairs = cut_lineage(candidates(classes.select("cls", "f")))
+                          .withColumn("cls", F.monotonically_increasing_id()).withColumn("place", place))
+    pairs = cut_lineage(candidates(classes.select("place", "cls", "f")))
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     names = classes.join(wanted, "cls").select("cls", F.col("k_id").alias("n_id"), F.col("k_text").alias("n_text"))
     asked = keyed.select("k_id", "k_text", "t").join(names, (F.col("k_text") == F.col("n_text")) & F.col("k_id").eqNullSafe(F.col("n_id")))
