@@ -75,17 +75,18 @@ def repeated_lines(lines: DataFrame, places: DataFrame, min_words: int) -> DataF
 
 def dedup_lines(docs: DataFrame, ident: str, text: str, min_words: int = 10) -> DataFrame:
     """``row`` (the input row), ``n_lines``, ``deleted`` (line numbers from 0) and ``clean`` (the text that is left)."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(ident).alias("id"), text_of(text).alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     base = cut_text(rows.withColumn("doc", F.monotonically_increasing_id()))
-    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("x")))
+    whole, id_ = text_of(f"row.`{text}`"), F.col(f"row.`{ident}`")
+    numbered = F.transform(F.split(whole, "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("x")))
     worded = base.select("doc", F.posexplode(F.filter(numbered, lambda e: e["x"].rlike(WORD))).alias("at", "e"))
     lines = cut_lineage(worded.select("doc", "at", F.col("e.line").alias("line"), F.xxhash64("e.x").alias("h1"), F.hash("e.x").alias("h2"),
                                       F.regexp_count("e.x", F.lit(WORD)).cast("bigint").alias("words")))
-    places = base.select("doc", F.struct(F.col("id").isNull().alias("none"), "id").alias("place"))
+    places = base.select("doc", F.struct(id_.isNull().alias("none"), id_.alias("id")).alias("place"))
     gone = repeated_lines(lines, places, min_words).join(lines.select("doc", "at", "line"), ["doc", "at"])
     gone = gone.groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("gone"))
     # the lines are split below the join, so that what is left is picked from an array that is there
-    out = base.select("row", "doc", F.split("text", "\n").alias("parts")).join(gone, "doc", "left")
+    out = base.select("row", "doc", F.split(whole, "\n").alias("parts")).join(gone, "doc", "left")
     deleted = F.coalesce("gone", F.array().cast("array<int>"))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), deleted), lambda i: F.element_at("parts", i + 1))
     return out.select("row", F.size("parts").alias("n_lines"), deleted.alias("deleted"), F.array_join(kept, "\n").alias("clean"))
