@@ -62,9 +62,6 @@ class Segment:
 
 #: 64 bits, up to 4 of them different: (0 + 1) + (1 + 1) + (1 + 1) = 5 > 4.
 FOUR_BITS = (Segment(0, 0, 22, 0), Segment(0, 22, 21, 1), Segment(0, 43, 21, 1))
-#: 128 bits for candidates: each third of a word may differ in one bit.
-WIDE = tuple(Segment(w, s, b, 1) for w in (0, 1) for s, b in ((0, 22), (22, 21), (43, 21)))
-
 
 def shingle_hashes(text: bytes, size: int, seed: int = 42) -> Iterator[np.ndarray]:
     """XXH64 of every shingle of a text, A-Z lowered, in arrays of bounded length."""
@@ -206,25 +203,97 @@ def shingle_sets(docs: DataFrame, ident: str, text: str, size: int) -> DataFrame
     return docs.select(ident, text).mapInArrow(run, schema)
 
 
-def candidates(classes: DataFrame, segments=WIDE, check: int = 16) -> DataFrame:
-    """Pairs (``a``, ``b``) that meet in a segment's ball and differ in at most ``check`` bits of the other word.
+def common_shingles(docs: DataFrame, text: str, size: int, share: int = 16, least: int = 3, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles found in ``least`` or more texts of a ``share``-th of ``docs``, sorted, and in how many; at most ``most``, the commonest.
 
-    ``classes`` has ``cls``, ``f`` and ``place``, an order.  A segment value offers the first
-    in place of the classes under it, so a group of copies gives pairs in proportion to
-    its size, and its members meet in the first ones of many values.
+    They go last in the order of ``prefix``, which is right for any order; this one keeps
+    passages that many texts share from bringing all of them together.
+    """
+    some = docs.where(F.pmod(F.xxhash64(*docs.columns), F.lit(share)) == 0)
+    found = shingle_sets(some.select(F.lit(0).alias("one"), text), "one", text, size).select(F.explode("s").alias("s"))
+    counts = cut_lineage(found.groupBy("s").count().where(F.col("count") >= least))
+    fewest, held = None, 0
+    for row in counts.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.col("count").desc()).collect():  # one row per count
+        held += row["n"]
+        if held > most:
+            break
+        fewest = row["count"]
+    if fewest is None:
+        return np.zeros(0, "<u8"), np.zeros(0, np.int64)
+    common = counts.where(F.col("count") >= fewest).toPandas()
+    s = common["s"].to_numpy().view("<u8")
+    order = np.argsort(s)
+    return s[order], common["count"].to_numpy()[order]
+
+
+def prefix(shingles: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first of a text's sorted distinct shingles: texts that are near share one of these.
+
+    A near text holds at least ``similarity`` of the shingles, so it cannot do without all
+    of the first ``n - ceil(similarity * n) + 1`` in an order that is the same for all texts.
+    A text without words has the one shingle 0.
     """
-    half = next(i for i, s in enumerate(segments) if s.word == 1) << 40
+    if not len(shingles):
+        return np.zeros(1, "<u8")
+    known, count = common
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        shingles = shingles[np.argsort(np.where(known[at] == shingles, count[at], 0), kind="stable")]
+    n = len(shingles)
+    return shingles[:n - int(np.ceil(similarity * n - 1e-9)) + 1]
+
+
+def prefixes(docs: DataFrame, text: str, size: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Adds ``n``, how many distinct shingles a text has, and ``p``, the first of them; leaves out the text."""
+    rest = [c for c in docs.columns if c != text]
+    schema = docs.select(*rest).schema.add("n", T.IntegerType()).add("p", T.ArrayType(T.LongType()))
 
-    def other(f: str) -> Column:
-        return F.when(F.col("key") < half, F.col(f)[1]).otherwise(F.col(f)[0])
+    def run(batches):
+        for batch in batches:
+            n, first = [], []
+            for t in batch.column(batch.num_columns - 1):
+                s = np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes((t.as_py() or "").encode(), size)]))
+                n.append(len(s)), first.append(prefix(s, similarity, common).view("<i8"))
+            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=[*rest, "n", "p"])
 
-    held = classes.select("place", "cls", "f", F.explode(own_keys(segments)).alias("key"))
-    first = held.groupBy("key").agg(F.min(F.struct("place", "cls", "f")).alias("o"))
-    table = first.select("key", F.col("o.cls").alias("b"), F.col("o.f").alias("b_f")).select("key", "b", other("b_f").alias("b_check"))
-    probes = classes.select("cls", "f", F.explode(ball_keys(segments)).alias("key")).select("key", F.col("cls").alias("a"), other("f").alias("a_check"))
-    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a_check").bitwiseXOR(F.col("b_check"))) <= check)
-    met = probes.alias("p").join(table.alias("o"), (F.col("p.key") == F.col("o.key")) & near)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return docs.select(*rest, text).mapInArrow(run, schema)
+
+
+def may_be_near(similarity: float, n: Column, pos: Column, other_n: Column, other_pos: Column) -> Column:
+    """Whether texts whose first common shingle stands at these places can have enough of them in common."""
+    return F.least(n - pos, other_n - other_pos) * (1 + similarity) >= similarity * (n + other_n) - 1e-6
+
+
+def near_links(classes: DataFrame, similarity: float, verified) -> DataFrame:
+    """Links ``a``, ``b`` that have the same components as all near pairs of ``classes`` (``cls``, ``place``, ``n``, ``p``).
+
+    Near texts share a shingle of their prefixes.  First all texts under a shingle are held
+    against the first in place only, and what ``verified`` leaves of these pairs is joined to
+    components.  Then all texts under a shingle are offered, but between different
+    components only, so that a group of copies does not lead to all its pairs.
+    """
+    entries = classes.select("cls", "place", "n", F.posexplode("p").alias("pos", "key"))
+    total = classes.agg(F.sum(F.size("p"))).first()[0] or 0
+    buckets = cut_lineage(entries.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"))
+    shared = cut_lineage(join_groups(entries, buckets, "key", "held", total))
+    total = shared.count()
+    least = shared.groupBy("key").agg(F.min(F.struct("place", "cls", "n", "pos")).alias("o"), F.count("*").alias("many"))
+    star = join_groups(shared, cut_lineage(least), "key", "many", total).where(
+        (F.col("cls") != F.col("o.cls")) & may_be_near(similarity, F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos")))
+    first = cut_lineage(verified(cut_lineage(star.select(F.least("cls", "o.cls").alias("a"), F.greatest("cls", "o.cls").alias("b")).distinct())))
+    roots = roots_of(shared.select("cls").distinct(), first)
+    tagged = cut_lineage(shared.select("key", "cls", "n", "pos").join(roots, "cls"))
+    # whoever is not of a shingle's largest component meets all others under it
+    largest = tagged.groupBy("key", "root").agg(F.count("*").alias("many")).groupBy("key").agg(
+        F.max(F.struct("many", "root"))["root"].alias("main"), F.count("*").alias("roots"), F.sum("many").alias("many")).where("roots > 1")
+    open_ = cut_lineage(join_groups(tagged, cut_lineage(largest), "key", "many", total).select("key", "cls", "n", "pos", "root", "main"))
+    x, y = open_.where(F.col("root") != F.col("main")).drop("main").alias("x"), open_.alias("y")
+    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once
+                 & may_be_near(similarity, F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
+    more = verified(cut_lineage(met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()))
+    return first.unionByName(more)
 
 
 def near_unique(docs: DataFrame, ident: str, text: str, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -232,26 +301,30 @@ def near_unique(docs: DataFrame, ident: str, text: str, size: int = 5, similarit
 
     Texts are near when ``similarity`` or more of their joint distinct ``size``-word
     shingles are common to both; groups are the components of that.  Candidates come
-    from 128-bit fingerprints of two-word shingles (an edit touches fewer of them, so
-    near texts keep close), and every candidate pair is verified on the whole sets.
+    from the first shingles of every text in one order, which misses no near pair, and
+    every candidate pair is verified on the whole sets.
     Texts without words are near each other.  Of rows that agree in id and text one stays.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(row.alias("row"), F.col(ident).alias("k_id"), F.xxhash64(text_of(text)).alias("k_text"), text_of(text).alias("t"))
-    marked = fingerprints(keyed.select("k_id", "k_text", "t"), "t", 2, 2)
+    texts = keyed.select("k_id", "k_text", "t")
+    marked = prefixes(texts, "t", size, similarity, common_shingles(texts, "t", size))
     place = F.struct(F.col("k_id").isNull().alias("none"), "k_id", "cls")
-    classes = cut_lineage(marked.groupBy("k_id", "k_text").agg(F.first("f").alias("f"), F.count("*").alias("copies"))
-                          .withColumn("cls", F.monotonically_increasing_id()).withColumn("place", place))
-    pairs = cut_lineage(candidates(classes.select("place", "cls", "f")))
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    names = classes.join(wanted, "cls").select("cls", F.col("k_id").alias("n_id"), F.col("k_text").alias("n_text"))
-    asked = keyed.select("k_id", "k_text", "t").join(names, (F.col("k_text") == F.col("n_text")) & F.col("k_id").eqNullSafe(F.col("n_id")))
-    sets = cut_lineage(shingle_sets(asked.select("cls", "t"), "cls", "t", size)).dropDuplicates(["cls"])
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("a_s")), "a").join(
-        sets.select(F.col("cls").alias("b"), F.col("s").alias("b_s")), "b")
-    common = F.size(F.array_intersect("a_s", "b_s"))
-    union = F.size("a_s") + F.size("b_s") - common
-    edges = both.where((common >= similarity * union)).select("a", "b")
+    classes = cut_lineage(marked.groupBy("k_id", "k_text").agg(F.first(F.struct("n", "p")).alias("f"), F.count("*").alias("copies"))
+                          .withColumn("cls", F.monotonically_increasing_id()).withColumn("place", place)
+                          .select("k_id", "k_text", "copies", "cls", "place", "f.n", "f.p"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+        names = classes.join(wanted, "cls").select("cls", F.col("k_id").alias("n_id"), F.col("k_text").alias("n_text"))
+        asked = texts.join(names, (F.col("k_text") == F.col("n_text")) & F.col("k_id").eqNullSafe(F.col("n_id")))
+        sets = cut_lineage(shingle_sets(asked.select("cls", "t"), "cls", "t", size)).dropDuplicates(["cls"])
+        both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("a_s")), "a").join(
+            sets.select(F.col("cls").alias("b"), F.col("s").alias("b_s")), "b")
+        common = F.size(F.array_intersect("a_s", "b_s"))
+        return both.where(common >= similarity * (F.size("a_s") + F.size("b_s") - common)).select("a", "b")
+
+    edges = near_links(classes.select("cls", "place", "n", "p"), similarity, verified)
     rooted = cut_lineage(roots_of(classes.select("cls", "k_id", "k_text", "copies"), edges))
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("k_id").isNull().alias("no_id"), "k_id", "cls")).alias("best"))
     staying = rooted.join(best, "root").where(F.col("cls") == F.col("best.cls")).select(

@@ -174,6 +174,35 @@ def test_near_unique(docs, empty, spark):
     assert simhash.near_unique(empty, "doc_id", "text").count() == 0
 
 
+def test_near_unique_finds_every_near_pair(spark):
+    """Against brute force: copies edited close to 0.8, here and there or in one stretch, under crowded passages."""
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10 ** 6, n)]
+    passage, texts = word(40), []
+    for kind in range(60):
+        base = word(int(rng.integers(60, 200)))
+        if kind % 3 == 0:
+            base[10:50] = passage
+        texts.append(base)
+        for _ in range(3):
+            n, edited = len(base), list(base)
+            if rng.random() < 0.5:
+                for at in rng.choice(n, max(1, n // 50), replace=False):
+                    edited[at] = word(1)[0]
+            else:
+                at = int(rng.integers(n))
+                edited[at:at] = word(int(n * rng.uniform(0.1, 0.24)))
+            texts.append(edited)
+    ids = rng.permutation(len(texts)).tolist()
+    sets = {i: {" ".join(t[k:k + 5]) for k in range(len(t) - 4)} for i, t in zip(ids, texts)}
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    from test_queries import linked
+    root = linked(sorted(ids), near)
+    want = {min(i for i in ids if root[i] == r) for r in set(root.values())}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in zip(ids, texts)], "doc_id bigint, text string")
+    assert {r.doc_id for r in simhash.near_unique(df, "doc_id", "text").collect()} == want
+
+
 @pytest.mark.parametrize("part, label", [(toxicity, "toxic"), (quality, "quality")])
 def test_classifiers(docs, empty, labels, part, label):
     model = part.fit(docs, labels, "doc_id", "text", label, F.lit(True))
