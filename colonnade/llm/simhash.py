@@ -273,10 +273,11 @@ def near_links(classes: DataFrame, similarity: float, verified) -> DataFrame:
     components.  Then all texts under a shingle are offered, but between different
     components only, so that a group of copies does not lead to all its pairs.
     """
-    entries = classes.select("cls", "place", "n", F.posexplode("p").alias("pos", "key"))
+    entries = classes.select("cls", F.posexplode("p").alias("pos", "key"))  # narrow: all of them are shuffled, few are shared
     total = classes.agg(F.sum(F.size("p"))).first()[0] or 0
     buckets = cut_lineage(entries.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"))
-    shared = cut_lineage(join_groups(entries, buckets, "key", "held", total))
+    shared = join_groups(entries, buckets, "key", "held", total).select("key", "cls", "pos")
+    shared = cut_lineage(shared.join(classes.select("cls", "place", "n"), "cls"))
     total = shared.count()
     least = shared.groupBy("key").agg(F.min(F.struct("place", "cls", "n", "pos")).alias("o"), F.count("*").alias("many"))
     star = join_groups(shared, cut_lineage(least), "key", "many", total).where(
