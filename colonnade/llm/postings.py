@@ -22,6 +22,7 @@ by id.  A bin and a block of queries meet in one task, which keeps the best of e
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -216,14 +217,20 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def search(vectors: DataFrame, ident: str, vector: str, is_query: Column, k: int = 20, settings: Settings = Settings()) -> DataFrame:
-    """``query_id``, ``rank``, ``vec_id``, ``score`` for the rows where ``is_query`` (over ``vec_id``) holds, against all rows."""
+    """``query_id``, ``rank``, ``vec_id``, ``score`` for the rows where ``is_query`` (over ``vec_id``) holds, against all rows of the same length."""
     everything = cut_lineage(usable(vectors, ident, vector))
+    lengths = sorted(r[0] for r in everything.where(is_query).select(F.size("v")).distinct().collect())
+    if not lengths:
+        return everything.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    met = reduce(DataFrame.unionByName, [meetings(everything.where(F.size("v") == d), d, is_query, k, settings) for d in lengths])
+    once = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))  # k rows per bin at most
+    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def meetings(everything: DataFrame, d: int, is_query: Column, k: int, settings: Settings) -> DataFrame:
+    """``query_id``, ``vec_id``, ``score``: the best of every bin among vectors of the one length ``d``."""
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    spark, size = everything.sparkSession, F.size("v")
-    d = everything.agg(F.max(size)).first()[0]
-    if d is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    everything = everything.where(size == d)
     rows, length = everything.agg(F.count("*"), F.sqrt(F.max(squares))).first()
     length = length * (1 + 1e-12)
     drawn = everything.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(settings.sample, 8_000_000 // d + 64))
@@ -290,11 +297,8 @@ def search(vectors: DataFrame, ident: str, vector: str, is_query: Column, k: int
         return pa.Table.from_pandas(best.groupby("query_id", sort=False).head(k), preserve_index=False).select(["query_id", "vec_id", "score"]).cast(
             pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
-    met = routed.repartition(n_bins * blocks, "bin", "block").groupBy("bin", "block").cogroup(
+    return routed.repartition(n_bins * blocks, "bin", "block").groupBy("bin", "block").cogroup(
         binned.repartition(n_bins * blocks, "bin", "block").groupBy("bin", "block")).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
-    once = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))  # k rows per bin at most
-    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def pack(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -272,6 +272,16 @@ def test_neighbours_of_odd_vectors(spark):
     assert postings.search(df.where("false"), "vec_id", "embedding", query, 5).count() == 0
 
 
+def test_neighbours_among_their_own_length(spark):
+    """A longer row takes no part for the others, and those of another length find each other."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(30)] + [(40, [1.0] * 9), (50, [1.0] * 4), (51, [2.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = postings.search(df, "vec_id", "embedding", F.col("vec_id") % 10 == 0, 5).toPandas()
+    assert got.groupby("query_id").size().to_dict() == {0: 5, 10: 5, 20: 5, 50: 1}
+    assert got[got["query_id"] == 50]["vec_id"].tolist() == [51] and got[got["query_id"] < 30]["vec_id"].max() < 30
+
+
 def test_model_keeps_to_whole_texts(spark):
     """A word at the very end of a long text counts."""
     df = spark.createDataFrame([(i, f"w{i} " + ("calm words here " * 30) + ("vile" if i % 2 else "kind")) for i in range(200)], "doc_id bigint, text string")
