@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm import chat, exact_dedup, line_dedup, mixing, pieces, postings, quality, sharding, simhash, toxicity
+from colonnade.llm import chat, collocations, decontaminate, exact_dedup, line_dedup, mixing, pieces, postings, prefix_trie, quality, sharding, simhash, toxicity
 from colonnade.llm.common import read_table, text_of
 from colonnade.llm.samples import remainder
 from colonnade.session import shared_dir
@@ -165,3 +165,63 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     vectors = read_table(spark, sf_dir, "embeddings")
     return postings.search(vectors, "vec_id", "embedding", F.col("vec_id") % 20 == 0)
+
+
+@query("op11_decontaminate", sql=r"""
+WITH w AS (SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+i AS (SELECT item, least(len(w), 10) AS n, array_to_string(list_slice(w, k, k + 9), ' ') AS run FROM (SELECT *, unnest(generate_series(1, greatest(1, len(w) - 9))) AS k FROM b WHERE len(w) > 0) b),
+d AS (SELECT doc, n, k, array_to_string(list_slice(w, k, k + n - 1), ' ') AS run FROM (SELECT doc, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM w, (SELECT DISTINCT n FROM i) m) x),
+h AS (SELECT doc, k, n, item FROM d JOIN i USING (n, run)),
+t AS (SELECT doc, count(DISTINCT k + j) AS n_hit FROM (SELECT doc, k, unnest(generate_series(0, n - 1)) AS j FROM h) u GROUP BY doc),
+s AS (SELECT doc, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc, item FROM h WHERE item IS NOT NULL) g GROUP BY doc)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM w LEFT JOIN t USING (doc) LEFT JOIN s USING (doc)""")
+def op11(spark, sf_dir):
+    found = decontaminate.scan(read_table(spark, sf_dir, "documents"), "doc_id", "text", read_table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op12_prefix_trie", sql=r"""
+WITH t AS (SELECT conv_id AS c, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) u),
+n AS (SELECT c, count(*) AS own, CAST(c AS VARCHAR) AS s FROM t GROUP BY c),
+z AS (SELECT c, own, c - c % 20 AS base, xor(list_reduce(list_concat([4294967295], CAST(range(8 * len(s)) AS BIGINT[])), lambda a, i:
+  xor((CASE WHEN i % 8 = 0 THEN xor(a, CAST(ascii(s[i // 8 + 1]) AS BIGINT)) ELSE a END) >> 1,
+    3988292384 * ((CASE WHEN i % 8 = 0 THEN xor(a, CAST(ascii(s[i // 8 + 1]) AS BIGINT)) ELSE a END) % 2))), 4294967295) % 4 AS h FROM n),
+k AS (SELECT z.c, z.base, z.h, least(z.h, coalesce(b.own, 0)) AS took FROM z LEFT JOIN n b ON b.c = z.base),
+r AS (SELECT k.c, t.pos AS d, role, text FROM k JOIN t ON t.c = k.base AND t.pos <= k.h
+  UNION ALL SELECT k.c, t.pos - k.h + k.took, role, text FROM k JOIN t ON t.c = k.c AND t.pos > k.h),
+p AS (SELECT c, d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w, string_agg(md5(role) || md5(text), '') OVER (PARTITION BY c ORDER BY d) AS key FROM r
+  UNION ALL SELECT c, 0, 0, '' FROM n),
+o AS (SELECT key, d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS saves FROM p GROUP BY key, d),
+g AS (SELECT left(key, length(key) - 64) AS key, count(*) AS n_children FROM o WHERE d > 0 GROUP BY 1),
+x AS (SELECT o.*, coalesce(n_children, 0) AS n_children FROM o LEFT JOIN g USING (key)),
+b AS (SELECT left(key, 64 * i) AS key, sum(saves) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(d + 1)) AS i FROM x) y GROUP BY 1),
+e AS (SELECT key, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ends FROM (SELECT c, max_by(key, d) AS key FROM p GROUP BY c) l GROUP BY key)
+SELECT x.conv_id, CAST(x.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, x.n_convs, x.n_children, b.n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens,
+  coalesce(e.ends, sha256('')) AS ends_sha256
+FROM x JOIN b USING (key) LEFT JOIN e USING (key) LEFT JOIN o u ON x.d > 0 AND u.key = left(x.key, length(x.key) - 64)""")
+def op12(spark, sf_dir):
+    return prefix_trie.trie(read_table(spark, sf_dir, "conversations"))
+
+
+@query("op13_collocations", sql=r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, m, array_to_string(list_slice(w, k, k + m - 1), ' ') AS phrase FROM (SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS k FROM w, generate_series(1, 5) s(m)) x),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS p FROM f WHERE m > 1),
+k AS (SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, n.n, CAST(1000::HUGEINT * c.a * n.n // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+  FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM c) c JOIN n ON n.lang = c.lang
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(p, 1, k), ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(p, k + 1, c.m), ' ')),
+s AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT DISTINCT lang, a, array_to_string(list_slice(p, b, b + q - 1), ' ') AS phrase FROM (SELECT *, unnest(generate_series(1, m - q + 1)) AS b FROM (SELECT *, unnest(generate_series(2, m - 1)) AS q FROM c WHERE m > 2) y) z),
+v AS (SELECT s.* FROM s WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.lang = s.lang AND i.phrase = s.phrase AND i.a >= s.a))
+SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, n, score FROM v WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER o <= 2000""")
+def op13(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return collocations.collocations(collocations.frequent_phrases(docs, "doc_id", "text", "lang")).drop("seen_in")
