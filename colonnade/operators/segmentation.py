@@ -1,10 +1,16 @@
 """Optimal segmentation of columns into ground, object and sky segments.
 
 The input is one row per column with dense arrays, whose length the grid height
-bounds; all arrays of costs were prepared by Spark.  The fold over the top row is
-sequential, the bottom rows and the columns of an Arrow batch are done together,
-and candidate segments exist only inside that step.  No shuffle is needed after
-packing, and a column never meets another one.
+bounds.  Spark prepares the prefix sums that give the cost of any segment, and reads
+class, mean and scatter of the chosen segments off the same sums afterwards.
+
+* Pairwise, the fold over the top row is sequential: it alone runs in Python, over the
+  columns of an Arrow batch together.  Candidate segments exist only inside that step.
+* Unary, the cost of a segment does not depend on what lies below, so the best one per
+  top row and type is a minimum over bottom rows, and the type below a join.
+
+The way back is walked either where the fold ran, or by pointer jumping over all best
+segments, in rounds as many as the logarithm of the segments.
 
 All costs are whole millionths (see ``models``), so results do not depend on the
 batching.
@@ -18,14 +24,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import colonnade
 from colonnade.functions.constants import GROUND, MAX_COST, OBJECT, SKY
-from colonnade.operators.models import IMPOSSIBLE, MICRO, Model
-
-RESULT = "seg_idx int, type int, v_b int, v_t int, disparity double, class_id int, cost bigint, mean_x double, mean_y double"
+from colonnade.operators.models import IMPOSSIBLE, MICRO, Model, micro
+from colonnade.operators.packed import prefix_array, range_sum
+from colonnade.operators.segments import object_table
+from colonnade.session import cut_lineage
+
+#: A step of the way back: type, first and last row and cost of a segment, from the top down.
+PATH = T.ArrayType(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("v_b", T.IntegerType()),
+                                 T.StructField("v_t", T.IntegerType()), T.StructField("paid", T.LongType())]))
+#: Prefix sums per row that a segment's cost is read off.
+SUMS = ("valid", "total", "ground", "sky", "energy", "x", "y", "xx", "yy")
 # the fold travels to the tasks by value, so workers need not have the package installed
 cloudpickle.register_pickle_by_value(colonnade)
 
@@ -67,18 +81,150 @@ class Task:
     min_height: int = 1
 
 
-def object_lut(m: Model) -> np.ndarray:
-    """Object cost [model value, observed value], last column for a missing value."""
-    fn, d = np.arange(m.max_dis, dtype=float), np.arange(m.max_dis, dtype=float)
-    var = m.p["sigma_disparity_object"] ** 2 + (fn * fn * m.p["range_objects_z"] / (m.focal * m.baseline)) ** 2
-    sigma = np.sqrt(var)
-    erf = np.vectorize(math.erf)
-    mass = 0.5 * (erf((m.max_dis - fn) / (sigma * math.sqrt(2))) - erf(-fn / (sigma * math.sqrt(2))))
-    norm = np.log(mass) - np.log((1 - m.p["pout"]) / (sigma * math.sqrt(2 * 3.1416)))
-    exists, not_exists = m.log_exists("object")
-    cost = not_exists + np.minimum(m.uniform, norm[:, None] + (d[None, :] - fn[:, None]) ** 2 / (2 * var)[:, None])
-    return to_micro(np.column_stack([cost, np.full(m.max_dis, exists)]))
+def with_sums(packed: DataFrame, task: Task) -> DataFrame:
+    """Adds the prefix sums ``s_...`` of a column, one entry more than rows, and ``s_class``, one array per class channel.
+
+    Coarse channels count for every fine row in reach.
+    """
+    n, factor = task.model.rows, task.factor
+    index = F.sequence(F.lit(0), F.lit(n - 1))
+
+    def fine(name: str, channel: int = 0) -> Column:
+        return F.transform(index, lambda i: F.element_at(name, channel * F.size("offset_energy") + F.floor(i / factor).cast("int") + 1))
+
+    def whole(name: str, f) -> Column:
+        return F.transform(name, lambda v: f(v).cast("bigint"))
+
+    values = {"valid": whole("d", lambda v: F.when(v >= 0, 1).otherwise(0)), "total": whole("d", lambda v: F.greatest(v, F.lit(0))),
+              "ground": F.col("ground_cost"), "sky": F.col("sky_cost"), "energy": fine("offset_energy"),
+              "x": whole("x", lambda v: v), "y": whole("y", lambda v: v), "xx": whole("x", lambda v: v * v), "yy": whole("y", lambda v: v * v)}
+    channels = 1 + max(*task.roles.ground, *task.roles.plain, *task.roles.instance, task.roles.sky)
+    return packed.withColumns({f"s_{k}": prefix_array(values[k]) for k in SUMS}
+                              | {"s_class": F.array(*[prefix_array(fine("class_cost", c)) for c in range(channels)])})
+
+
+def cost_table(spark, m: Model) -> list[list[int]]:
+    """Object cost per model value and observed value, a missing one last; its size is that of the table of levels."""
+    table = [[0] * (m.max_dis + 1) for _ in range(m.max_dis)]
+    for r in object_table(spark, m).collect():  # max_dis x (max_dis + 1) rows, checked there
+        table[r["fn"]][r["d"]] = r["cost"]
+    return table
+
 
+def segment_mean(b: Column, t: Column) -> Column:
+    count = range_sum(F.col("s_valid"), b, t)
+    return F.when(count > 0, range_sum(F.col("s_total"), b, t) / count).otherwise(F.lit(0.0))
+
+
+def offset_costs(task: Task, b: Column, t: Column) -> tuple[Column, Column]:
+    """(moving, still): what instance and other classes pay for the offsets of a segment."""
+    w = task.weights.relative_instance
+    if w == 0.0:
+        return F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
+    h = t - b + 1
+    x, y = range_sum(F.col("s_x"), b, t), range_sum(F.col("s_y"), b, t)
+    scatter = (range_sum(F.col("s_xx"), b, t) - x * x / h) + (range_sum(F.col("s_yy"), b, t) - y * y / h)
+    return micro(w * scatter), micro(w * range_sum(F.col("s_energy"), b, t).cast("double"))
+
+
+def class_cost(c: int, b: Column, t: Column) -> Column:
+    return range_sum(F.col("s_class")[c], b, t) * MICRO
+
+
+def described(each: DataFrame, keys: list[str], task: Task) -> DataFrame:
+    """Adds mean, class and centre to segments (``seg_idx``, ``kind``, ``v_b``, ``v_t``, ``paid``), read off the sums of their column."""
+    r = task.roles
+    b, t = F.col("v_b"), F.col("v_t")
+    moving, still = offset_costs(task, b, t)
+    each = each.withColumns({"disparity": segment_mean(b, t), "moving": moving, "still": still})
+    shown = F.when((F.col("kind") == OBJECT) & (F.col("disparity") < 1.0), SKY).otherwise(F.col("kind"))
+    ground = F.when(class_cost(r.ground[0], b, t) < class_cost(r.ground[1], b, t), r.ground[0]).otherwise(r.ground[1])
+    paid = [F.struct((class_cost(c, b, t) + F.col("still" if c in r.plain else "moving")).alias("cost"), F.lit(k).alias("k"), F.lit(c).alias("c"))
+            for k, c in enumerate(r.plain + r.instance)]
+    cheapest = (F.least(*paid) if len(paid) > 1 else paid[0])["c"]
+    cls = F.when(shown == GROUND, ground).when(shown == SKY, r.sky).otherwise(cheapest)
+    mid = {f"mean_{a}": range_sum(F.col(f"s_{a}"), b, t) / (t - b + 1) for a in "xy"}
+    return each.select(*keys, "seg_idx", shown.cast("int").alias("type"), "v_b", "v_t", "disparity", cls.cast("int").alias("class_id"),
+                       F.least("paid", F.lit(int(MAX_COST * MICRO))).alias("cost"), *[v.alias(k) for k, v in mid.items()])
+
+
+# --- unary: best segments as a set ---
+
+def unary_nodes(sums: DataFrame, keys: list[str], task: Task) -> DataFrame:
+    """Per key, top row ``t`` and type ``kind`` the cost and first row ``start`` of the best segment, and the type below it.
+
+    All segments of a column are generated where the column lies and reduced there to one
+    minimum per top row; cost and bottom row share one number, so the lowest bottom wins a tie.
+    """
+    m, w, r, n = task.model, task.weights, task.roles, task.model.rows
+    bits = 11
+    if n > 1 << bits:
+        raise ValueError(f"at most {1 << bits} rows fit beside a cost")
+    table = F.lit(cost_table(sums.sparkSession, m))
+    objects = F.transform(table, lambda costs: prefix_array(F.transform("d", lambda v: F.when(v < 0, costs[m.max_dis]).otherwise(costs[v.cast("int")]))))
+    h = task.min_height
+    tops = sums.withColumn("s_object", objects).withColumn("t", F.explode(F.sequence(F.lit(h - 1), F.lit(n - 1), F.lit(h))))
+    pairs = tops.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("t"), F.lit(h))))
+    b, t = F.col("b"), F.col("t")
+    moving, still = offset_costs(task, b, t)
+    pairs = pairs.withColumns({"fn": F.floor(segment_mean(b, t)).cast("int"), "moving": moving, "still": still,
+                               "height": micro(w.prior / (t - b + 1.0))})
+    of_model = F.col("s_object")[F.col("fn")]
+
+    def total(data: Column, cost: Column) -> Column:
+        weighed = data if w.disparity == 1.0 else F.floor(w.disparity * data + 0.5)
+        return weighed + F.floor(w.segmentation * cost + 0.5) + F.col("height")
+
+    def cheapest(classes) -> Column:
+        costs = [class_cost(c, b, t) for c in classes]
+        return F.least(*costs) if len(costs) > 1 else costs[0]
+
+    low = (b - 1) < F.col("vhor")
+    best = {
+        GROUND: F.when(F.when(b == 0, t <= F.col("vhor")).otherwise(low), total(range_sum(F.col("s_ground"), b, t), cheapest(r.ground) + F.col("still"))),
+        OBJECT: total(range_sum(of_model, b, t), F.least(cheapest(r.plain) + F.col("still"), cheapest(r.instance) + F.col("moving"))),
+        SKY: F.when((b > 0) & ~low, total(range_sum(F.col("s_sky"), b, t), cheapest((r.sky,)) + F.col("still")))}
+    one = {f"k{k}": F.when(c < IMPOSSIBLE, F.shiftleft(c, bits) + b) for k, c in best.items()}
+    least = cut_lineage(pairs.select(*keys, "t", *[c.alias(k) for k, c in one.items()]).groupBy(*keys, "t").agg(*[F.min(k).alias(k) for k in one]))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(F.shiftright(f"k{k}", bits), F.lit(IMPOSSIBLE)).alias("cost"),
+                               F.coalesce(F.col(f"k{k}").bitwiseAND(F.lit((1 << bits) - 1)), F.lit(0)).cast("int").alias("start")) for k in (GROUND, OBJECT, SKY)])
+    nodes = least.select(*keys, "t", F.explode(kinds).alias("x")).select(*keys, "t", "x.*")
+    under = least.select(*keys, (F.col("t") + 1).alias("start"), *[F.coalesce(F.shiftright(f"k{k}", bits), F.lit(IMPOSSIBLE)).alias(f"on{k}") for k in (GROUND, OBJECT, SKY)])
+    below = F.when((F.col("kind") == OBJECT) & (F.col(f"on{SKY}") < F.least(f"on{GROUND}", f"on{OBJECT}")), SKY).when(
+        F.col(f"on{GROUND}") < F.col(f"on{OBJECT}"), GROUND).otherwise(OBJECT)
+    return nodes.join(under, [*keys, "start"], "left").select(*keys, "t", "kind", "cost", "start", below.alias("below"))
+
+
+# --- the way back, by pointer jumping ---
+
+def jump_path(nodes: DataFrame, keys: list[str], last: int) -> DataFrame:
+    """The best segments that follow each other from row ``last`` down: ``seg_idx``, ``kind``, ``v_b``, ``v_t``, ``paid``.
+
+    Every best segment points to the one below.  A round adds, to all that is known of the
+    path, what lies 2^k segments further, and doubles the pointers; so there are as many
+    rounds as the logarithm of the longest path, however many rows a series has.
+    """
+    node = (F.col("t") * 3 + F.col("kind")).alias("node")
+    below = F.when((F.col("start") > 0), (F.col("start") - 1) * 3 + F.col("below"))
+    jumps = cut_lineage(nodes.select(*keys, node, below.alias("next")))
+    ends = nodes.where(F.col("t") == last).groupBy(*keys).agg(*[F.max(F.when(F.col("kind") == k, F.col("cost"))).alias(f"c{k}") for k in (GROUND, OBJECT, SKY)])
+    first = F.when(F.col(f"c{SKY}") < F.least(f"c{GROUND}", f"c{OBJECT}"), SKY).when(F.col(f"c{GROUND}") < F.col(f"c{OBJECT}"), GROUND).otherwise(OBJECT)
+    path = cut_lineage(ends.select(*keys, (last * 3 + first).alias("node"), F.lit(0).alias("seg_idx")))
+    step = 1
+    while True:
+        found = cut_lineage(path.join(jumps.where("next IS NOT NULL"), [*keys, "node"]).select(
+            *keys, F.col("next").alias("node"), (F.col("seg_idx") + step).alias("seg_idx")))
+        if found.isEmpty():
+            break
+        path = path.unionByName(found)
+        further = jumps.select(*keys, F.col("node").alias("next"), F.col("next").alias("_next"))
+        jumps = cut_lineage(jumps.where("next IS NOT NULL").join(further, [*keys, "next"]).select(*keys, "node", F.col("_next").alias("next")))
+        step *= 2
+    return path.join(nodes.withColumn("node", node), [*keys, "node"]).select(
+        *keys, "seg_idx", F.col("kind").cast("int").alias("kind"), F.col("start").cast("int").alias("v_b"), F.col("t").cast("int").alias("v_t"), F.col("cost").alias("paid"))
+
+
+# --- pairwise: the ordered fold ---
 
 def to_micro(x) -> np.ndarray:
     """Millionths, halves away from zero; impossible stays impossible."""
@@ -87,28 +233,19 @@ def to_micro(x) -> np.ndarray:
     return np.where(np.isfinite(x), whole, IMPOSSIBLE).astype(np.int64)
 
 
-def prefix(a: np.ndarray, axis: int = -1) -> np.ndarray:
-    pad = [(0, 0)] * a.ndim
-    pad[axis] = (1, 0)
-    return np.pad(np.cumsum(a, axis=axis), pad)
-
-
 class Columns:
-    """Prefix sums of a batch of columns and the cost of any of their segments."""
+    """The sums of a batch of columns, as Spark prepared them, and the cost of the segments that end at a row."""
 
-    def __init__(self, task: Task, a: dict[str, np.ndarray]):
+    def __init__(self, task: Task, a: dict[str, np.ndarray], table: np.ndarray):
         m, self.task = task.model, task
         self.vhor, self.ground = a["vhor"], a["ground_fn"]
-        d, n = a["d"], m.rows
-        level = np.where(d < 0, m.max_dis, d)
-        self.valid, self.total = prefix((d >= 0).astype(np.int64)), prefix(np.where(d < 0, 0, d))
-        self.data = {GROUND: prefix(a["ground_cost"]), SKY: prefix(a["sky_cost"])}
-        self.object_data = prefix(object_lut(m).T[level], axis=1)  # [column, row, model value]
-        # coarse channels, one entry per fine row: the same sums as weighting coarse rows by overlap
-        self.classes = prefix(np.repeat(a["class_cost"], task.factor, axis=2)[:, :, :n])
-        self.energy = prefix(np.repeat(a["offset_energy"], task.factor, axis=1)[:, :n])
-        self.sums = {k: prefix(v) for k, v in (
-            ("x", a["x"]), ("y", a["y"]), ("xx", a["x"] ** 2), ("yy", a["y"] ** 2))}
+        size, n = a["d"].shape
+        self.valid, self.total = a["s_valid"], a["s_total"]
+        self.data = {GROUND: a["s_ground"], SKY: a["s_sky"]}
+        self.object_data = np.zeros((size, n + 1, m.max_dis), np.int64)  # [column, row, model value]
+        np.cumsum(table.T[np.where(a["d"] < 0, m.max_dis, a["d"])], axis=1, out=self.object_data[:, 1:])
+        self.classes, self.energy = a["s_class"].reshape(size, -1, n + 1), a["s_energy"]
+        self.sums = {k: a[f"s_{k}"] for k in ("x", "y", "xx", "yy")}
         self.range = np.array([v - m.focal * m.baseline / (m.focal * m.baseline / v + m.p["range_objects_z"])
                                if v else 0.0 for v in range(m.max_dis)])
 
@@ -150,18 +287,6 @@ class Columns:
                OBJECT: np.minimum(cheapest(r.plain) + still, cheapest(r.instance) + moving)}
         return {k: self.weigh_data(data[k]) + self.weigh(cls[k]) for k in data}, mean
 
-    def best_class(self, who: np.ndarray, b: np.ndarray, t: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """Class of one segment b..t per listed column: ground ties to the second ground
-        class, objects to the lowest."""
-        r = self.task.roles
-        over = lambda p: p[who, t + 1] - p[who, b]
-        cost = (self.classes[who, :, t + 1] - self.classes[who, :, b]) * MICRO
-        moving, still = self.offset_terms(over(self.energy), *(over(self.sums[k]) for k in ("x", "y", "xx", "yy")), t - b + 1)
-        order = np.array(r.plain + r.instance)
-        paid = np.column_stack([cost[:, c] + (still if c in r.plain else moving) for c in order])
-        ground = np.where(cost[:, r.ground[0]] < cost[:, r.ground[1]], *r.ground)
-        return np.where(kind == GROUND, ground, np.where(kind == SKY, r.sky, order[paid.argmin(axis=1)]))
-
 
 def neg_log(p: float, width: np.ndarray) -> np.ndarray:
     return np.where(width > 0, -math.log(p) + np.log(np.where(width > 0, width, 1.0)), np.inf)
@@ -279,62 +404,78 @@ def allowed_start(c: Columns, kind: int, starts: np.ndarray) -> np.ndarray:
     return low if kind == GROUND else ~low
 
 
-def trace(c: Columns, n: int) -> dict[str, np.ndarray]:
-    """Segments from the top down, as flat arrays with the column they belong to."""
+def trace(c: Columns, n: int) -> list[list[dict]]:
+    """Per column the segments from the top down."""
     cost, start, below = fold(c, n)
     last = cost[:, n - 1]
-    k = np.where(last[:, GROUND] < last[:, OBJECT], GROUND, OBJECT)
-    k = np.where(last[:, SKY] < np.minimum(last[:, GROUND], last[:, OBJECT]), SKY, k)
-    live, t, steps = np.arange(len(k)), np.full(len(k), n - 1), []
-    while len(live):
-        b = start[live, t, k]
-        count, h = c.valid[live, t + 1] - c.valid[live, b], t - b + 1
-        mean = np.where(count > 0, (c.total[live, t + 1] - c.total[live, b]) / np.maximum(count, 1), 0.0)
-        shown = np.where((k == OBJECT) & (mean < 1.0), SKY, k)
-        cls = c.best_class(live, b, t, shown)
-        mid = [(c.sums[f][live, t + 1] - c.sums[f][live, b]) / h for f in ("x", "y")]
-        capped = np.minimum(cost[live, t, k], int(MAX_COST * MICRO))
-        steps.append((live, np.full(len(live), len(steps)), shown, b, t, mean, cls, capped, *mid))
-        k, t = below[live, t, k], b - 1
-        live, t, k = live[t >= 0], t[t >= 0], k[t >= 0]
-    names = ["column", *[f.split()[0] for f in RESULT.split(", ")]]
-    return dict(zip(names, (np.concatenate(v) for v in zip(*steps))))
+    kind = np.where(last[:, GROUND] < last[:, OBJECT], GROUND, OBJECT)
+    kind = np.where(last[:, SKY] < np.minimum(last[:, GROUND], last[:, OBJECT]), SKY, kind)
+    paths = []
+    for i, k in enumerate(kind.tolist()):
+        t, path = n - 1, []
+        while t >= 0:
+            b = int(start[i, t, k])
+            path.append({"kind": k, "v_b": b, "v_t": t, "paid": int(cost[i, t, k])})
+            t, k = b - 1, int(below[i, t, k])
+        paths.append(path)
+    return paths
 
 
 def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    col = batch.column(name)
-    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
-
+    column, size = batch.column(name), batch.num_rows
+    while pa.types.is_list(column.type):
+        column = column.flatten()
+    return column.to_numpy(zero_copy_only=False).reshape(size, -1)
 
-def segment_columns(packed: DataFrame, keys: list[str], task: Task) -> DataFrame:
-    """Segments of packed columns.
 
-    ``packed`` has the keys, ``vhor`` and the arrays ``d`` (-1 if missing),
-    ``ground_fn``, ``ground_cost``, ``sky_cost``, ``x``, ``y`` per row, and per coarse
-    row ``offset_energy`` and ``class_cost`` (channels one after the other).
-    """
+def folded(sums: DataFrame, task: Task, added: T.StructType, take) -> DataFrame:
+    """``sums`` with what ``take(columns, rows)`` says of the folded columns: arrays for the fields ``added``."""
     m = task.model
     n, per_column = m.rows, max(m.rows * m.max_dis, m.rows * 24)
     chunk = max(1, BATCH_CELLS // per_column)
-    schema = T.StructType([packed.schema[k] for k in keys] + T.StructType.fromDDL(RESULT).fields)
+    table = np.array(cost_table(sums.sparkSession, m), np.int64)
+    names = ["d", "ground_fn", "s_class", *[f"s_{k}" for k in SUMS]]
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, chunk):
                 part = batch.slice(lo, chunk)
-                a = {name: _matrix(part, name) for name in (
-                    "d", "ground_fn", "ground_cost", "sky_cost", "x", "y", "offset_energy", "class_cost")}
-                a["vhor"] = part.column("vhor").to_numpy(zero_copy_only=False)
-                coarse = a["offset_energy"].shape[1]
-                a["class_cost"] = a["class_cost"].reshape(part.num_rows, -1, coarse)
-                found = trace(Columns(task, a), n)
-                took = {k: part.column(k).take(pa.array(found["column"])) for k in keys}
-                rows = {**took, **{f.name: found[f.name] for f in schema.fields[len(keys):]}}
-                yield pa.RecordBatch.from_arrays(
-                    [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(
-                        rows.values(), ([part.schema.field(k).type for k in keys] + ARROW_RESULT))], list(rows))
-
-    return packed.mapInArrow(run, schema)
-
-
-ARROW_RESULT = [pa.int32()] * 4 + [pa.float64(), pa.int32(), pa.int64(), pa.float64(), pa.float64()]
+                a = {name: _matrix(part, name) for name in names} | {"vhor": part.column("vhor").to_numpy(zero_copy_only=False)}
+                yield pa.RecordBatch.from_arrays([*part.columns, *take(Columns(task, a, table), n)], names=[*part.schema.names, *added.names])
+
+    return sums.mapInArrow(run, T.StructType([*sums.schema.fields, *added.fields]))
+
+
+def fold_paths(sums: DataFrame, task: Task) -> DataFrame:
+    """Adds ``path``, walked back where the fold ran."""
+    kind = pa.list_(pa.struct([("kind", pa.int32()), ("v_b", pa.int32()), ("v_t", pa.int32()), ("paid", pa.int64())]))
+    return folded(sums, task, T.StructType([T.StructField("path", PATH)]), lambda c, n: [pa.array(trace(c, n), kind)])
+
+
+def fold_nodes(sums: DataFrame, keys: list[str], task: Task) -> DataFrame:
+    """The table of all best segments, as ``unary_nodes`` gives it, from the fold."""
+    fields = T.StructType([T.StructField(k, T.ArrayType(T.LongType())) for k in ("cost", "start", "below")])
+
+    def take(c: Columns, n: int) -> list[pa.Array]:
+        return [pa.array(list(x.reshape(len(x), -1)), pa.list_(pa.int64())) for x in fold(c, n)]
+
+    each = folded(sums, task, fields, take).select(*keys, F.posexplode(F.arrays_zip("cost", "start", "below")).alias("node", "x"))
+    return each.select(*keys, F.floor(F.col("node") / 3).cast("int").alias("t"), (F.col("node") % 3).alias("kind"), "x.*")
+
+
+def segment_columns(packed: DataFrame, keys: list[str], task: Task, jumps: bool = False) -> DataFrame:
+    """Segments of packed columns: ``seg_idx`` from the top, ``type``, ``v_b``, ``v_t``, ``disparity``, ``class_id``, ``cost``, ``mean_x``, ``mean_y``.
+
+    ``packed`` has the keys, ``vhor`` and the arrays ``d`` (-1 if missing),
+    ``ground_fn``, ``ground_cost``, ``sky_cost``, ``x``, ``y`` per row, and per coarse
+    row ``offset_energy`` and ``class_cost`` (channels one after the other).  With
+    ``jumps`` the way back is found by pointer jumping; without, a pairwise fold walks it.
+    """
+    sums = with_sums(packed, task)
+    if task.pairwise and not jumps:
+        walked = fold_paths(sums, task)
+        each = walked.select(*sums.columns, F.posexplode("path").alias("seg_idx", "p")).select(*sums.columns, "seg_idx", "p.*")
+        return described(each, keys, task)
+    sums = cut_lineage(sums)
+    nodes = cut_lineage(fold_nodes(sums, keys, task) if task.pairwise else unary_nodes(sums, keys, task))
+    return described(sums.join(jump_path(nodes, keys, task.model.rows - 1), keys), keys, task)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import functions as F
 
 from colonnade.operators import models, packed
@@ -14,13 +16,30 @@ MODEL = models.Model(rows=ROWS, max_dis=LEVELS, focal=60.0, baseline=0.5)
 ROLES = Roles(ground=(0, 1), plain=(2,), instance=(3,), sky=4)
 
 
-def columns(t):
-    """Packs every user's month: values, votes, model costs and class costs per row."""
-    level = F.least(F.floor(F.col("v") / 600), F.lit(LEVELS - 1)).cast("bigint").alias("d")
-    d = packed.pack_dense(t.fx_series.select("series_id", "pos", level), ["series_id"], "pos", {"d": ("d", None)}, ROWS)
+@dataclass(frozen=True)
+class Scale:
+    """Greatest value of a series and greatest count of a class in a coarse row: what levels and costs are measured by."""
+
+    value: int
+    count: int
+
+
+def class_counts(t):
     k = F.floor(F.col("pos") / FACTOR).cast("int").alias("k")
     per = [F.coalesce(F.sum(F.when(F.col("class_id") == c, F.col("n"))), F.lit(0)).alias(f"n{c}") for c in range(5)]
-    counts = t.fx_class_cost.groupBy("series_id", k).agg(*per)
+    return t.fx_class_cost.groupBy("series_id", k).agg(*per)
+
+
+def scale_of(t) -> Scale:
+    most = class_counts(t).agg(F.max(F.greatest(*[f"n{c}" for c in range(5)])).alias("n")).first()["n"]
+    return Scale(t.fx_series.agg(F.max("v").alias("v")).first()["v"] or 0, most or 0)
+
+
+def columns(t, scale: Scale):
+    """Packs every user's month: values, votes, model costs and class costs per row."""
+    level = F.expr(f"v * {LEVELS} div {scale.value + 1}").alias("d")
+    d = packed.pack_dense(t.fx_series.select("series_id", "pos", level), ["series_id"], "pos", {"d": ("d", None)}, ROWS)
+    counts = class_counts(t)
     ox, oy = (F.col("n0") + F.col("n3")) % 5 - 2, F.col("n2") % 3
     counts = counts.withColumn("ox", ox).withColumn("oy", oy)
     fields = {f"n{c}": (f"n{c}", 0) for c in range(5)} | {"ox": ("ox", -2), "oy": ("oy", 0)}
@@ -42,7 +61,7 @@ def columns(t):
     def coarse_of(name, i):
         return F.element_at(name, F.floor(i / FACTOR).cast("int") + 1)
 
-    cost = [F.transform(f"n{c}", lambda n: 8 * (10 - F.least(n, F.lit(10)))) for c in range(5)]
+    cost = [F.transform(f"n{c}", lambda n: 8 * (scale.count - n)) for c in range(5)]
     return j.select(
         "series_id", "vhor", F.col("r.d").alias("d"), F.col("r.fn").alias("ground_fn"), F.col("r.g").alias("ground_cost"),
         F.col("r.s").alias("sky_cost"),
@@ -52,10 +71,11 @@ def columns(t):
         F.concat(*cost).alias("class_cost"))
 
 
-def segments(t, pairwise: bool, w_disp: float = 4.0, w_seg: float = 0.02):
+def segments(t, pairwise: bool, w_disp: float = 4.0, w_seg: float = 0.02, scale: Scale | None = None, jumps: bool = False):
+    """Segments of every series; ``scale`` is that of the data unless it is given."""
     weights = Weights(w_disp, 1.0 if pairwise else 10.0, w_seg, 0.001)
     task = Task(MODEL, weights, ROLES, FACTOR, pairwise)
-    return segment_columns(columns(t), ["series_id"], task)
+    return segment_columns(columns(t, scale or scale_of(t)), ["series_id"], task, jumps)
 
 
 def candidate_sql(w_disp: int = 4, w_seg: str = "0.02") -> str:
@@ -76,9 +96,10 @@ gm AS (SELECT vhor, v, fn, {object_sql(LEVELS)} AS norm, 1 / (2 * var) AS inv FR
 cc AS (SELECT series_id, pos // 4 AS k, class_id, SUM(n) AS n FROM fx_class_cost GROUP BY 1, 2, 3),
 co AS (SELECT sr.series_id, k.k, {', '.join(f"CAST(COALESCE(SUM(CASE WHEN class_id = {c} THEN n END), 0) AS BIGINT) AS n{c}" for c in range(5))}
   FROM sr CROSS JOIN range(8) k(k) LEFT JOIN cc ON cc.series_id = sr.series_id AND cc.k = k.k GROUP BY 1, 2),
-ce AS (SELECT sr.series_id, sr.vhor, gm.v, CASE WHEN f.v IS NOT NULL THEN LEAST(f.v // 600, {LEVELS - 1}) END AS d, gm.fn, gm.norm, gm.inv,
-  (n0 + n3) % 5 - 2 AS ox, n2 % 3 AS oy, {', '.join(f"8 * (10 - LEAST(n{c}, 10)) AS c{c}" for c in range(5))}
-  FROM sr JOIN gm ON gm.vhor = sr.vhor JOIN co ON co.series_id = sr.series_id AND co.k = gm.v // 4
+mx AS (SELECT (SELECT MAX(v) FROM fx_series) AS most_v, (SELECT CAST(MAX(n) AS BIGINT) FROM cc) AS most_n),
+ce AS (SELECT sr.series_id, sr.vhor, gm.v, f.v * {LEVELS} // (mx.most_v + 1) AS d, gm.fn, gm.norm, gm.inv,
+  (n0 + n3) % 5 - 2 AS ox, n2 % 3 AS oy, {', '.join(f"8 * (mx.most_n - n{c}) AS c{c}" for c in range(5))}
+  FROM mx CROSS JOIN sr JOIN gm ON gm.vhor = sr.vhor JOIN co ON co.series_id = sr.series_id AND co.k = gm.v // 4
   LEFT JOIN fx_series f ON f.series_id = sr.series_id AND f.pos = gm.v),
 cx AS (SELECT *, series_id * 8 + 4 + ox AS x, v - oy AS y,
   CASE WHEN v >= vhor THEN 1000000000000000 ELSE CAST(ROUND(1000000 * CASE WHEN d IS NULL THEN -ln(0.21::DOUBLE) ELSE -ln(1 - 0.21::DOUBLE) + LEAST(ln({LEVELS}) - ln(0.15::DOUBLE), norm + (d - fn) * (d - fn) * inv) END) AS BIGINT) END AS gcost,
@@ -188,10 +209,11 @@ def q_segment_dp(t):
 
 @query("q_backtrace", views=VIEWS, sql=sql(True, "SELECT * FROM seg"))
 def q_backtrace(t):
-    return rounded(segments(t, True))
+    """The way back of every series by pointer jumping over its best segments."""
+    return rounded(segments(t, True, jumps=True))
 
 
 @query("q_segment_unary", views=VIEWS, sql=sql(False, "SELECT * FROM seg"))
 def q_segment_unary(t):
-    """Costs without the cost of what lies below; the reach-back only fixes types."""
+    """Costs without the cost of what lies below: minima over all segments of a column, no fold; what lies below only fixes types."""
     return rounded(segments(t, False))
