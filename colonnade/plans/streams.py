@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from colonnade.operators.joins import micros
 from colonnade.plans import geometry, segmenting
 from colonnade.plans.registry import Tables, query
-from colonnade.streaming import jobs, sync
+from colonnade.streaming import jobs, matching, sync
 
 HOUR = 3_600_000_000
 TOL2, TOL4, WIDTH = 6 * HOUR, 24 * HOUR, 96 * HOUR
@@ -40,18 +40,32 @@ def q_sync4_batch(t):
                            ["view", "signup", "purchase"], TOL4, WIDTH)
 
 
-def synced(events, others, tol, name):
-    """The clock's row has no topic and no user, so it is in no set."""
+def of_topics(stream, others):
+    """Messages of the wanted topics; the clock's row has no topic and no user, so it is in no set."""
+    return messages(stream.where(F.col("event_type").isin("click", *others) | F.col("event_type").isNull()))
+
+
+def synced(events, others, tol, name, queue=64, held=None):
+    """Sets by the stateful processor; a message that a full queue pushed out would show up as a row without click."""
+    def work(stream):
+        return matching.sync_stream(of_topics(stream, others), ["user_id"], "topic", "us", "event_id", "click", others, tol, WIDTH, 24 * HOUR, queue)
+
+    sets = jobs.run_flushed(events.select("user_id", "event_type", "ts", "event_id"), name, "ts", work, conf=matching.STATEFUL, held=held)
+    return sets.drop("dropped")
+
+
+def joined(events, others, tol, name, held=None):
+    """Sets by the join of two streams, the choice made on the pairs it wrote."""
     def work(stream):
-        wanted = stream.where(F.col("event_type").isin("click", *others) | F.col("event_type").isNull())
-        return sync.sync_stream(messages(wanted), ["user_id"], "topic", "us", "event_id", "click", others, tol, WIDTH, 24 * HOUR)
+        return matching.interval_pairs(of_topics(stream, others), ["user_id"], "topic", "us", "event_id", "click", others, tol, 24 * HOUR)
 
-    return jobs.run_flushed(events.select("user_id", "event_type", "ts", "event_id"), name, "ts", work)
+    pairs = jobs.run_flushed(events.select("user_id", "event_type", "ts", "event_id"), name, "ts", work, held=held)
+    return matching.mutual_sets(pairs, ["user_id"], "us", "click", others)
 
 
 @query("q_stream_sync2", sql=sync_sql(("view",), TOL2))
 def q_stream_sync2(t):
-    """Two topics; sets are given out once their bucket is closed by the watermark, at the latest at the end of input."""
+    """Two topics; a set is given out once no message in time can change it, at the latest at the end of input."""
     return synced(jobs.open_stream(t.spark, t.path("events")), ["view"], TOL2, "sync2")
 
 
@@ -60,6 +74,17 @@ def q_stream_sync4(t):
     return synced(jobs.open_stream(t.spark, t.path("events")), ["view", "signup", "purchase"], TOL4, "sync4")
 
 
+@query("q_stream_join2", sql=sync_sql(("view",), TOL2))
+def q_stream_join2(t):
+    """The same sets by an interval join of the two topics as streams."""
+    return joined(jobs.open_stream(t.spark, t.path("events")), ["view"], TOL2, "join2")
+
+
+@query("q_stream_join4", sql=sync_sql(("view", "signup", "purchase"), TOL4))
+def q_stream_join4(t):
+    return joined(jobs.open_stream(t.spark, t.path("events")), ["view", "signup", "purchase"], TOL4, "join4")
+
+
 @query("q_stream_frames", views=segmenting.VIEWS, sql=segmenting.sql(True, "SELECT * FROM seg"))
 def q_stream_frames(t):
     """Every series that a batch adds to goes through the whole segmentation, with all that is known of it."""
@@ -67,10 +92,13 @@ def q_stream_frames(t):
 
 
 def frames(events, sf_dir):
+    """The scale is that of the whole table: it must not change with what has arrived so far."""
+    scale = segmenting.scale_of(Tables(events.sparkSession, sf_dir))
+
     def work(known):
         local = Tables(known.sparkSession, sf_dir)
         local._open["events"] = known
-        return segmenting.rounded(segmenting.segments(local, True))
+        return segmenting.rounded(segmenting.segments(local, True, scale=scale))
 
     return jobs.latest(jobs.run_keyed_batches(events, "frames", ["user_id"], work), ["series_id"])
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -30,41 +31,63 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def run_to_files(stream: DataFrame, name: str, out: str | None = None, state: str | None = None) -> DataFrame:
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Session settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def run_to_files(stream: DataFrame, name: str, out: str | None = None, state: str | None = None,
+                 conf: dict[str, str] | None = None, held: list[int] | None = None) -> DataFrame:
     """Writes all that is available to Parquet (exactly once, by its checkpoint) and reads it back.
 
-    With the folders of an earlier run it goes on where that one stopped.
+    With the folders of an earlier run it goes on where that one stopped.  ``conf`` are
+    settings for this stream; ``held`` gets the rows in state after every batch.
     """
     spark = stream.sparkSession
     out = out or fresh(spark, name)
-    q = (stream.writeStream.format("parquet").outputMode("append").option("path", out)
-         .option("checkpointLocation", state or fresh(spark, f"{name}-state")).trigger(availableNow=True).start())
-    q.awaitTermination()
+    with settings(spark, conf or {}):
+        q = (stream.writeStream.format("parquet").outputMode("append").option("path", out)
+             .option("checkpointLocation", state or fresh(spark, f"{name}-state")).trigger(availableNow=True).start())
+        q.awaitTermination()
+    if held is not None:
+        held += [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in q.recentProgress]
     return spark.read.schema(stream.schema).parquet(out)
 
 
 def run_flushed(stream: DataFrame, name: str, ts: str, work: Callable[[DataFrame], DataFrame],
-                out: str | None = None, state: str | None = None, clock: str | None = None, last: bool = True) -> DataFrame:
+                out: str | None = None, state: str | None = None, clock: str | None = None, last: bool = True,
+                conf: dict[str, str] | None = None, held: list[int] | None = None) -> DataFrame:
     """Runs ``work`` on the stream and, at the end of input, on one more row that only moves the clock.
 
     The row has nothing but a time ``ts`` far ahead.  It takes the watermark past every
     open window, so what the stream still held is given out; its own window stays open.
     ``work`` sets the watermark, after the clock has been joined in.  With ``last`` false
-    the stream is left open and a later call with the same folders takes it up again.
+    the stream is left open and a later call with the same folders takes it up again; after
+    the last row it cannot be, since all that came later would be late, so that is an error.
     """
     spark = stream.sparkSession
     out, state, clock = (p or fresh(spark, f"{name}-{k}") for p, k in ((out, "out"), (state, "state"), (clock, "clock")))
     try:
-        spark.read.schema(stream.schema).parquet(clock).limit(1).count()
+        ended = spark.read.schema(stream.schema).parquet(clock).where(F.col(ts) >= FAR_AHEAD).count()
+        if ended:
+            raise RuntimeError(f"{name}: this stream was closed by its last call; later input needs folders of its own")
     except AnalysisException:  # the first call
         spark.createDataFrame([], stream.schema).write.parquet(clock)
     timed = work(stream.unionByName(spark.readStream.schema(stream.schema).parquet(clock)))
-    result = run_to_files(timed, name, out, state)
+    result = run_to_files(timed, name, out, state, conf, held)
     if last:
         ahead = spark.range(1).select(*[
             (F.lit(FAR_AHEAD).cast(f.dataType) if f.name == ts else F.lit(None).cast(f.dataType)).alias(f.name) for f in stream.schema.fields])
         ahead.write.mode("append").parquet(clock)
-        result = run_to_files(timed, name, out, state)
+        result = run_to_files(timed, name, out, state, conf, held)
     return result
 
 

@@ -51,37 +51,3 @@ def sync_batch(msgs: DataFrame, keys: list[str], topic: str, us: str, ident: str
         n = F.col(f"_n_{o}")
         found = found.where((n["likes"] == F.col(ident)) & (F.abs(n["us"] - F.col(us)) <= tol_us))
     return found.select(*keys, F.col(us), F.col(ident).alias(anchor), *[F.col(f"_n_{o}.id").alias(o) for o in others])
-
-
-def sync_stream(msgs: DataFrame, keys: list[str], topic: str, us: str, ident: str, anchor: str,
-                others: list[str], tol_us: int, width_us: int, delay_us: int) -> DataFrame:
-    """The same for a stream: a bucket is judged once no message of it can come any more in time.
-
-    That is when messages ``delay_us`` behind the newest one are two tolerances past the
-    bucket's end.  A message at most four tolerances and a width before the end of its
-    last bucket opens that bucket, so the watermark on bucket ends is that much slower.
-    State is the messages of open buckets only, so it is bounded by rate and delay;
-    messages more than ``delay_us`` late may be dropped.
-    """
-    rows = with_buckets(msgs.select(*keys, topic, us, ident), us, tol_us, width_us)
-    closes = F.timestamp_micros((F.col("bucket") + 1) * width_us + 2 * tol_us)
-    slack = (delay_us + width_us + 4 * tol_us) // 1000 + 1
-    rows = rows.withColumn("bucket_ts", closes).withWatermark("bucket_ts", f"{slack} milliseconds")
-    msg = F.struct(F.col(us).alias("us"), F.col(ident).alias("id"), F.col(topic).alias("topic"), F.col("own").alias("own"))
-    open_ = rows.groupBy(*keys, "bucket_ts").agg(F.collect_list(msg).alias("m"))
-
-    def of_topic(name: str) -> Column:
-        return F.filter("m", lambda x: x["topic"] == name)
-
-    def nearest(of: Column, to: Column) -> Column:
-        return F.array_min(F.transform(of, lambda x: F.struct(
-            F.abs(x["us"] - to["us"]).alias("gap"), x["us"].alias("us"), x["id"].alias("id"))))
-
-    per = open_.withColumn("_anchors", of_topic(anchor))
-    per = per.withColumns({f"_t_{o}": of_topic(o) for o in others})
-    each = per.withColumn("a", F.explode(F.filter("_anchors", lambda x: x["own"])))
-    each = each.withColumns({f"_n_{o}": nearest(F.col(f"_t_{o}"), F.col("a")) for o in others})
-    for o in others:
-        back = nearest(F.col("_anchors"), F.col(f"_n_{o}"))
-        each = each.where((F.col(f"_n_{o}.gap") <= tol_us) & (back["id"] == F.col("a.id")))
-    return each.select(*keys, F.col("a.us").alias(us), F.col("a.id").alias(anchor), *[F.col(f"_n_{o}.id").alias(o) for o in others])

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from colonnade.plans import streams
 from colonnade.plans.registry import Tables, load_all
-from colonnade.streaming import jobs
+from colonnade.streaming import jobs, matching, sync
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,6 +40,97 @@ def test_synchronisation_of_two_topics(spark, parts):
     assert rows(got) == batch(spark, "q_sync2_batch")
 
 
+def one_busy_key(spark, tmp_path_factory):
+    """All messages are of one user, a tenth of an hour apart, in six files."""
+    folder = str(tmp_path_factory.mktemp("busy") / "events.parquet")
+    topics = F.array(*map(F.lit, ("click", "view", "signup", "purchase")))
+    ev = spark.range(6000).select(
+        F.lit(1).cast("bigint").alias("user_id"), topics[(F.xxhash64("id") % 4 + 4).cast("int") % 4].alias("event_type"),
+        F.timestamp_micros(F.col("id") * (streams.HOUR // 2) + F.pmod(F.xxhash64("id", F.lit(2)), F.lit(streams.HOUR // 2))).alias("ts"),
+        F.col("id").alias("event_id"), F.lit(0.0).alias("value"))
+    for k in range(6):
+        ev.where(F.floor(F.col("event_id") / 1000) == k).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+OTHERS = ["view", "signup", "purchase"]
+
+
+def sets_of(spark, folder, tol):
+    msgs = streams.messages(spark.read.parquet(folder))
+    return rows(sync.sync_batch(msgs, ["user_id"], "topic", "us", "event_id", "click", OTHERS, tol, streams.WIDTH))
+
+
+def test_one_key_with_all_messages(spark, tmp_path_factory):
+    """A bucket's state holds the messages of a delay and four tolerances only, and nothing once its time is over."""
+    folder, tol = one_busy_key(spark, tmp_path_factory), streams.HOUR
+    places = [str(tmp_path_factory.mktemp("busy") / k) for k in ("out", "state", "clock")]
+
+    def run(last):
+        def work(stream):
+            return matching.sync_stream(streams.of_topics(stream, OTHERS), ["user_id"], "topic", "us", "event_id", "click", OTHERS, tol, streams.WIDTH, 24 * streams.HOUR)
+
+        stream = jobs.open_stream(spark, folder, 1).select("user_id", "event_type", "ts", "event_id")
+        return jobs.run_flushed(stream, "busy", "ts", work, *places, last=last, conf=matching.STATEFUL)
+
+    def waiting():
+        with jobs.settings(spark, matching.STATEFUL):
+            state = spark.read.format("statestore").option("path", places[1]).option("stateVarName", "waiting").load()
+            return [r["count"] for r in state.groupBy("key").count().collect()]
+
+    run(last=False)
+    assert waiting() and max(waiting()) <= 2 * 28 + 8
+    got = run(last=True)
+    assert rows(got.drop("dropped")) == sets_of(spark, folder, tol) and len(sets_of(spark, folder, tol)) > 50
+    assert waiting() == []
+
+
+def test_interval_join_of_one_key(spark, tmp_path_factory):
+    """Besides the batch itself, state has the rows of a delay and the tolerance, two an hour, and the clock's on both sides."""
+    folder, held = one_busy_key(spark, tmp_path_factory), []
+    got = streams.joined(jobs.open_stream(spark, folder, 1), OTHERS, streams.HOUR, "busy", held)
+    assert rows(got) == sets_of(spark, folder, streams.HOUR)
+    assert max(held) <= 1000 + 2 * 2 * 26 and held[-1] <= 2 * 26 + 2
+
+
+def test_a_full_queue_reports_what_it_pushes_out(spark, tmp_path_factory):
+    folder = one_busy_key(spark, tmp_path_factory)
+    msgs = jobs.open_stream(spark, folder, 1)
+
+    def work(stream):
+        return matching.sync_stream(streams.of_topics(stream, ["view"]), ["user_id"], "topic", "us", "event_id", "click", ["view"],
+                                    streams.HOUR, streams.WIDTH, 24 * streams.HOUR, queue=5)
+
+    got = jobs.run_flushed(msgs.select("user_id", "event_type", "ts", "event_id"), "full", "ts", work, conf=matching.STATEFUL)
+    assert got.where("click IS NULL").agg(F.sum("dropped")).first()[0] > 0
+    sets = got.where("click IS NOT NULL").drop("dropped")
+    every = streams.synced(jobs.open_stream(spark, folder, 1), ["view"], streams.HOUR, "all")
+    assert 0 < sets.count() <= every.count()
+
+
+def test_interval_joins(spark, parts):
+    for name, others, tol in (("q_sync2_batch", ["view"], streams.TOL2), ("q_sync4_batch", ["view", "signup", "purchase"], streams.TOL4)):
+        assert rows(streams.joined(jobs.open_stream(spark, parts, 1), others, tol, "j")) == batch(spark, name)
+
+
+def test_a_closed_stream_takes_no_more_input(spark, tmp_path):
+    """Left open it goes on where it stopped; once closed, later rows are refused and not lost."""
+    ev, folder = spark.read.parquet(f"{SF}/events.parquet").orderBy("ts"), str(tmp_path / "in")
+    places = [str(tmp_path / k) for k in ("out", "state", "clock")]
+
+    def run(last):
+        stream = jobs.open_stream(spark, folder).select("ts", F.lit(1).alias("one"))
+        return jobs.run_flushed(stream, "open", "ts", lambda s: jobs.throughput(s.withWatermark("ts", "1 hour"), "ts", "1 hour", "one"), *places, last=last)
+
+    ev.limit(100).coalesce(1).write.parquet(folder)
+    run(last=False)
+    ev.offset(100).limit(100).coalesce(1).write.mode("append").parquet(folder)
+    assert run(last=True).agg(F.sum("n")).first()[0] == 200
+    ev.offset(200).limit(100).coalesce(1).write.mode("append").parquet(folder)
+    with pytest.raises(RuntimeError, match="closed"):
+        run(last=True)
+
+
 def test_series_spread_over_batches(spark, parts):
     got = streams.frames(jobs.open_stream(spark, parts, 1), SF)
     whole = streams.frames(jobs.open_stream(spark, f"{SF}/events.parquet"), SF)
