@@ -56,10 +56,10 @@ def q_nearest_core(t):
     grid = cl.Grid("class_id", XY, EPS)
     able = cl.enough_large(t.fx_points, "class_id", F.col("size") >= SIZE, MIN_SAMPLES)
     large = t.fx_points.where(F.col("size") >= SIZE).join(able, "class_id", "left_semi")
-    _, core, front = cl.core_structure(grid, large, "pt_id", MIN_SAMPLES, F.lit(True), F.lit(True))
+    _, core, tree = cl.core_structure(grid, large, "pt_id", MIN_SAMPLES, F.lit(True), F.lit(True))
     small = t.fx_points.where(F.col("size") < SIZE)
     targets = grid.with_cell(small.select("class_id", *XY).distinct())
-    near = cl.nearest_core(grid, targets, core, front)
+    near = cl.nearest_core(grid, targets, core, tree)
     return small.join(near, ["class_id", *XY]).select("pt_id", "core_id", "sq")
 
 
@@ -109,6 +109,86 @@ def q_dbscan_3d(t):
     return out.select("pt_id", "class_id", "cluster", "is_core")
 
 
+# --- the same on real coordinates ---
+#: Radius, and the unit that spreads values and users about as densely as the whole-number points.
+REAL_EPS, UNIT = 18.822, 6.274
+REAL_SQUARE = f"CAST('{REAL_EPS * REAL_EPS!r}' AS DOUBLE)"
+REAL_POINTS = f"""pts AS (SELECT event_id AS pt_id, CASE event_type WHEN 'click' THEN 11 WHEN 'error' THEN 12 WHEN 'purchase' THEN 13 WHEN 'signup' THEN 14 ELSE 15 END AS class_id,
+  value * {UNIT}::DOUBLE AS x, user_id * {UNIT}::DOUBLE + value * 0.01::DOUBLE AS y, size, CAST(size % 7 AS DOUBLE) * 2.5::DOUBLE AS z
+  FROM events JOIN fx_points ON pt_id = event_id)"""
+
+
+def real_points(t):
+    size = t.fx_points.select(F.col("pt_id").alias("event_id"), "class_id", "size")
+    ev = t.events.select("event_id", "user_id", "value").join(size, "event_id")
+    return ev.select(F.col("event_id").alias("pt_id"), "class_id", (F.col("value") * UNIT).alias("x"),
+                     (F.col("user_id") * F.lit(UNIT) + F.col("value") * 0.01).alias("y"), "size", ((F.col("size") % 7).cast("double") * 2.5).alias("z"))
+
+
+def real_near(a: str = "a", b: str = "b", dims: tuple[str, ...] = XY) -> str:
+    square = " + ".join(f"({a}.{d} - {b}.{d}) * ({a}.{d} - {b}.{d})" for d in dims)
+    return f"{a}.class_id = {b}.class_id AND {b}.y BETWEEN {a}.y - 19 AND {a}.y + 19 AND {square} <= {REAL_SQUARE}"
+
+
+def real_ctes(mask: bool = False, dims: tuple[str, ...] = XY, points: str = "pts") -> str:
+    """Cores, their components, and the label of every point, by definition."""
+    square = " + ".join(f"(a.{d} - b.{d}) * (a.{d} - b.{d})" for d in dims)
+    able = f"SELECT class_id FROM {points} WHERE size >= {SIZE} GROUP BY 1 HAVING COUNT(*) > {MIN_SAMPLES}"
+    large = f"large AS (SELECT * FROM {points}" + (")" if mask else f" WHERE size >= {SIZE} AND class_id IN ({able}))")
+    return f"""{large},
+core AS (SELECT a.pt_id, a.class_id, {', '.join(f'a.{d}' for d in dims)} FROM large a JOIN large b ON {real_near(dims=dims)} WHERE a.size >= {SIZE} GROUP BY ALL HAVING COUNT(*) >= {MIN_SAMPLES}),
+link AS (SELECT a.pt_id AS a, b.pt_id AS b FROM core a JOIN core b ON {real_near(dims=dims)}),
+reach AS (SELECT pt_id AS root, pt_id AS id FROM core UNION SELECT r.root, l.b FROM reach r JOIN link l ON l.a = r.id WHERE l.b > r.root OR l.b < r.root),
+num AS (SELECT c.id AS pt_id, DENSE_RANK() OVER (PARTITION BY class_id ORDER BY root) - 1 AS cluster FROM (SELECT id, MIN(root) AS root FROM reach GROUP BY 1) c JOIN core k ON k.pt_id = c.id),
+nr AS (SELECT pt_id, core_id, sq FROM (SELECT a.pt_id, b.pt_id AS core_id, {square} AS sq, ROW_NUMBER() OVER (PARTITION BY a.pt_id ORDER BY {square}, b.pt_id) AS k
+  FROM {points} a JOIN core b ON {real_near(dims=dims)}) z WHERE k = 1),
+lab AS (SELECT p.*, COALESCE(n.cluster, -1) AS cluster, c.pt_id IS NOT NULL AS is_core FROM {points} p
+  LEFT JOIN nr ON nr.pt_id = p.pt_id LEFT JOIN num n ON n.pt_id = nr.core_id LEFT JOIN core c ON c.pt_id = p.pt_id)"""
+
+
+@query("q_real_neighbors", views=("fx_points",), sql=f"""
+WITH {REAL_POINTS} SELECT a.pt_id, COUNT(*) AS degree FROM pts a JOIN pts b ON {real_near()} GROUP BY 1""")
+def q_real_neighbors(t):
+    """Neighbour counts on real coordinates."""
+    grid, pts = cl.Grid("class_id", XY, REAL_EPS), real_points(t)
+    sites = cl.make_sites(grid, pts, "pt_id", F.lit(True), F.lit(True))
+    return pts.join(cl.degrees(grid, sites), ["class_id", *XY]).select("pt_id", "degree")
+
+
+@query("q_real_nearest_core", views=("fx_points",), sql=f"""
+WITH RECURSIVE {REAL_POINTS}, {real_ctes()} SELECT nr.pt_id, core_id, ROUND(sq, 6) AS sq FROM nr JOIN pts p ON p.pt_id = nr.pt_id WHERE p.size < {SIZE}""")
+def q_real_nearest_core(t):
+    grid, pts = cl.Grid("class_id", XY, REAL_EPS), real_points(t)
+    able = cl.enough_large(pts, "class_id", F.col("size") >= SIZE, MIN_SAMPLES)
+    large = pts.where(F.col("size") >= SIZE).join(able, "class_id", "left_semi")
+    _, core, tree = cl.core_structure(grid, large, "pt_id", MIN_SAMPLES, F.lit(True), F.lit(True))
+    small = pts.where(F.col("size") < SIZE)
+    near = cl.nearest_core(grid, grid.with_cell(small.select("class_id", *XY).distinct()), core, tree)
+    return small.join(near, ["class_id", *XY]).select("pt_id", "core_id", F.round("sq", 6).alias("sq"))
+
+
+@query("q_real_dbscan", views=("fx_points",), sql=f"WITH RECURSIVE {REAL_POINTS}, {real_ctes()} {ROWS}")
+def q_real_dbscan(t):
+    """Clusters of real positions with the radius of the published runs."""
+    out = cl.dbscan_core_only(real_points(t), "pt_id", "class_id", XY, "size", REAL_EPS, MIN_SAMPLES, SIZE)
+    return out.select("pt_id", "class_id", "cluster", "is_core")
+
+
+@query("q_real_dbscan_masked", views=("fx_points",), sql=f"WITH RECURSIVE {REAL_POINTS}, {real_ctes(mask=True)} {ROWS}")
+def q_real_dbscan_masked(t):
+    out = cl.dbscan_masked(real_points(t), "pt_id", "class_id", XY, "size", REAL_EPS, MIN_SAMPLES, SIZE)
+    return out.select("pt_id", "class_id", "cluster", "is_core")
+
+
+@query("q_real_dbscan_3d", views=("fx_points",), sql=f"""
+WITH RECURSIVE {REAL_POINTS}, known AS (SELECT * FROM pts WHERE z <> 0), {real_ctes(dims=("x", "y", "z"), points="known")}
+{ROWS} UNION ALL SELECT pt_id, class_id, -1, FALSE FROM pts WHERE z = 0""")
+def q_real_dbscan_3d(t):
+    """A third feature that not every point has; points without it take no part."""
+    out = cl.dbscan_measured(real_points(t), "pt_id", "class_id", XY, "z", "size", REAL_EPS, MIN_SAMPLES, SIZE)
+    return out.select("pt_id", "class_id", "cluster", "is_core")
+
+
 @query("q_label_codec", views=("fx_masks",), sql="""
 SELECT frame_id, r, c, CAST(gt_id // 1000 AS INTEGER) AS class_part, CAST(gt_id % 1000 AS INTEGER) AS n_part,
   CASE WHEN gt_id > 1000 THEN CAST(gt_id AS INTEGER) ELSE -1 END AS again FROM fx_masks""")

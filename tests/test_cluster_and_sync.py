@@ -5,9 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from colonnade.operators import boxes
 from colonnade.operators import cluster as cl
 from colonnade.operators import evaluation as ev
 from colonnade.operators.components import connected_components
+from colonnade.session import cut_lineage
 from colonnade.streaming import sync
 
 
@@ -82,8 +84,60 @@ def test_degrees_by_lines_equal_pairs(spark, dims):
     assert got == {tuple(r)[:-1]: r["degree"] for r in cl.neighbour_weight(grid, sites, sites).collect()}
 
 
+def real_sample(seed, dims, n):
+    """Real positions; half of them in two crowded cells whose gap is close to the radius."""
+    rnd = random.Random(seed)
+    pts = []
+    for i in range(n):
+        p = {"id": i, "cls": rnd.choice((11, 12)), "size": rnd.randrange(100)}
+        p.update({d: rnd.uniform(0, 60) for d in dims})
+        if i % 2:
+            p.update({"cls": 11, dims[0]: 100 + 9.5 * (i // 2 % 2) + rnd.uniform(0, 1) ** 3, dims[1]: rnd.uniform(0, 3)})
+        pts.append(p)
+    return pts
+
+
+@pytest.mark.parametrize("dims, eps, leaf", [(("x", "y"), 8.9, 2), (("x", "y"), 9.2, 16), (("x", "y", "z"), 9.1, 4)])
+def test_real_coordinates_equal_brute_force(spark, monkeypatch, dims, eps, leaf):
+    monkeypatch.setattr(boxes.build, "__defaults__", (leaf, boxes.FAN))
+    pts = real_sample(7, dims, 240)
+    df = spark.createDataFrame([tuple(p.values()) for p in pts], "id long, cls int, size int, " + ", ".join(f"{d} double" for d in dims))
+    large = lambda p: p["size"] >= 40
+    got = cl.dbscan_core_only(df, "id", "cls", dims, "size", eps, 4, 40)
+    assert {r["id"]: (r["cluster"], r["is_core"]) for r in got.collect()} == brute(pts, eps, 4, large, large, dims)
+    grid = cl.Grid("cls", dims, eps)
+    sites = cl.make_sites(grid, df, "id", F.lit(True), F.lit(True))
+    degree = df.join(cl.degrees(grid, sites), ["cls", *dims])
+    near = lambda a, b: a["cls"] == b["cls"] and sum((a[d] - b[d]) ** 2 for d in dims) <= eps * eps
+    assert {r["id"]: r["degree"] for r in degree.collect()} == {p["id"]: sum(near(p, q) for q in pts) for p in pts}
+
+
+def test_points_without_the_third_feature_take_no_part(spark):
+    pts = [p | {"z": 0.0 if p["id"] % 5 == 0 else p["z"]} for p in real_sample(8, ("x", "y", "z"), 160)]
+    df = spark.createDataFrame([tuple(p.values()) for p in pts], "id long, cls int, size int, x double, y double, z double")
+    got = {r["id"]: (r["cluster"], r["is_core"]) for r in cl.dbscan_measured(df, "id", "cls", ("x", "y"), "z", "size", 9.0, 4, 40).collect()}
+    large = lambda p: p["size"] >= 40
+    known = brute([p for p in pts if p["z"]], 9.0, 4, large, large, ("x", "y", "z"))
+    assert got == {p["id"]: known.get(p["id"], (-1, False)) for p in pts}
+
+
+def test_two_crowded_cells_meet_by_boxes(spark):
+    """Of 40,000 x 40,000 pairs across the gap only boxes along it are looked at, whether or not the cells touch."""
+    side = cl.Grid("cls", ("x", "y"), 10.0).side
+    rows = spark.range(80_000).select(
+        (F.col("id") % 2).alias("v"), ((F.col("id") % 2) * (side + 4.0) + F.rand(3) * 3.0).alias("x"), (F.rand(4) * side * 0.9).alias("y"), F.lit(1).cast("long").alias("w"),
+        ((F.col("id") % 2) * side).alias("cx"), F.lit(0.0).alias("cy"))
+    rows = cut_lineage(rows)
+    tree = boxes.build(rows, "v", ("x", "y"), ["cx", "cy"], side)
+    assert len(tree.levels) == 5
+    pairs = spark.createDataFrame([(0, 1)], "a long, b long")
+    ends = rows.groupBy("v").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("v").collect()
+    gap = ends[1]["lo"] - ends[0]["hi"]
+    assert boxes.touching(tree, "v", pairs, (gap * 0.999) ** 2).count() == 0
+    assert boxes.touching(tree, "v", pairs, (gap * 1.05) ** 2).count() == 1
+
+
 def test_crowded_cells_give_the_same_clusters(spark):
-    """Own cells answer by lattice lines."""
     pts = sample(6, ("x", "y"))
     df = spark.createDataFrame([tuple(p.values()) for p in pts], "id long, cls int, size int, x long, y long")
     large = lambda p: p["size"] >= 40
