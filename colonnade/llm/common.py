@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -41,6 +42,25 @@ def key_of(column: str) -> Column:
     return F.coalesce(F.concat(F.lit("v"), F.col(column).cast("string")), F.lit("n"))
 
 
+def bit_field(keys: DataFrame, key: str, log_bits: int = 25) -> np.ndarray:
+    """Bits of the last ``log_bits`` digits of all keys (longs, well mixed): of fixed size, however many keys there are.
+
+    It tells a task which rows need not be shuffled; as it fills up fewer are left out, and results stay the same.
+    """
+    last = F.col(key).bitwiseAND(F.lit((1 << log_bits) - 1))
+    cells = keys.select(F.shiftrightunsigned(last, 6).cast("int").alias("cell"), F.expr(f"shiftleft(1L, cast({key} & 63 as int))").alias("bits"))
+    found = cells.groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
+    field = np.zeros(1 << (log_bits - 6), np.uint64)
+    field[found["cell"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return field
+
+
+def in_field(field: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys the field may hold."""
+    last = keys.view(np.uint64) & np.uint64(len(field) * 64 - 1)
+    return (field[(last >> np.uint64(6)).astype(np.int64)] >> (last & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """Inner join of rows with one row per group; groups that hold a large share of the rows are not shuffled.
 

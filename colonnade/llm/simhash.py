@@ -35,12 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colonnade.llm.common import join_groups, text_of
+from colonnade.llm.common import bit_field, in_field, join_groups, text_of
 from colonnade.operators.components import connected_components
 from colonnade.session import cut_lineage
 
 PIECE = 1 << 20
 GAP = re.compile(rb"[\x20\x09-\x0D]")
+#: Counts in a profile of shingles, a power of two.
+PROFILE = 256
 
 
 @dataclass(frozen=True)
@@ -191,16 +193,19 @@ def components(docs: DataFrame, ident: str, text: str, size: int = 4, limit: int
         "doc_id", F.lower(F.lpad(F.hex("cls"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_sets(docs: DataFrame, ident: str, text: str, size: int) -> DataFrame:
-    """``ident`` and ``s``, the hashes of the text's distinct shingles."""
-    schema = docs.select(ident).schema.add("s", T.ArrayType(T.LongType()))
+def shingle_sets(docs: DataFrame, keep: list[str], text: str, size: int, wanted: tuple[str, np.ndarray] | None = None) -> DataFrame:
+    """``keep`` and ``s``, the hashes of the text's distinct shingles; with ``wanted`` only of rows whose key the field may hold."""
+    schema = docs.select(*keep).schema.add("s", T.ArrayType(T.LongType()))
 
     def run(batches):
         for batch in batches:
-            sets = [np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes((t.as_py() or "").encode(), size)])).view("<i8") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=[ident, "s"])
+            if wanted:
+                name, field = wanted
+                batch = batch.filter(pa.array(in_field(field, batch.column(name).to_numpy())))
+            sets = [np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes((t.as_py() or "").encode(), size)])).view("<i8") for t in batch.column(len(keep))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(sets, pa.list_(pa.int64()))], names=[*keep, "s"])
 
-    return docs.select(ident, text).mapInArrow(run, schema)
+    return docs.select(*keep, text).mapInArrow(run, schema)
 
 
 def common_shingles(docs: DataFrame, text: str, size: int, share: int = 16, least: int = 3, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +215,7 @@ def common_shingles(docs: DataFrame, text: str, size: int, share: int = 16, leas
     passages that many texts share from bringing all of them together.
     """
     some = docs.where(F.pmod(F.xxhash64(*docs.columns), F.lit(share)) == 0)
-    found = shingle_sets(some.select(F.lit(0).alias("one"), text), "one", text, size).select(F.explode("s").alias("s"))
+    found = shingle_sets(some.select(F.lit(0).alias("one"), text), ["one"], text, size).select(F.explode("s").alias("s"))
     counts = cut_lineage(found.groupBy("s").count().where(F.col("count") >= least))
     fewest, held = None, 0
     for row in counts.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.col("count").desc()).collect():  # one row per count
@@ -244,22 +249,62 @@ def prefix(shingles: np.ndarray, similarity: float, common: tuple[np.ndarray, np
 
 
 def prefixes(docs: DataFrame, text: str, size: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Adds ``n``, how many distinct shingles a text has, and ``p``, the first of them; leaves out the text."""
+    """Adds ``n``, how many distinct shingles a text has, ``p``, the first of them, and ``h``, its profile; leaves out the text.
+
+    The profile counts, in a byte each, the shingles with the same last ``log2(PROFILE)`` bits.
+    """
     rest = [c for c in docs.columns if c != text]
-    schema = docs.select(*rest).schema.add("n", T.IntegerType()).add("p", T.ArrayType(T.LongType()))
+    schema = docs.select(*rest).schema.add("n", T.IntegerType()).add("p", T.ArrayType(T.LongType())).add("h", T.BinaryType())
 
     def run(batches):
         for batch in batches:
-            n, first = [], []
+            n, first, profile = [], [], []
             for t in batch.column(batch.num_columns - 1):
                 s = np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes((t.as_py() or "").encode(), size)]))
                 n.append(len(s)), first.append(prefix(s, similarity, common).view("<i8"))
+                counts = np.bincount((s & np.uint64(PROFILE - 1)).astype(np.int64), minlength=PROFILE)
+                profile.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=[*rest, "n", "p"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(profile, pa.binary())],
+                                             names=[*rest, "n", "p", "h"])
 
     return docs.select(*rest, text).mapInArrow(run, schema)
 
 
+def alike(pairs: DataFrame, similarity: float) -> DataFrame:
+    """``a`` and ``b`` of the pairs (``a_n``, ``a_h``, ``b_n``, ``b_h``) whose profiles allow them to be near.
+
+    Texts have no more shingles in common than the smaller counts of their profiles add
+    up to, so no near pair goes.  Where both counts are full nothing is known.
+    """
+    def run(batches):
+        for batch in batches:
+            column = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+            a, b = (np.frombuffer(b"".join(column[c].to_pylist()), np.uint8).reshape(-1, PROFILE) for c in ("a_h", "b_h"))
+            least = np.minimum(a, b)
+            most = least.sum(axis=1, dtype=np.int64)
+            n = column["a_n"].to_numpy().astype(np.int64) + column["b_n"].to_numpy()
+            keep = ((least == 255).any(axis=1)) | (most * (1 + similarity) >= similarity * n - 1e-6)
+            yield pa.RecordBatch.from_arrays([column[c].filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
+
+    return pairs.select("a", "b", "a_n", "a_h", "b_n", "b_h").mapInArrow(run, "a long, b long")
+
+
+def entries_of(classes: DataFrame, field: np.ndarray) -> DataFrame:
+    """``key``, ``cls`` and ``pos`` of the prefix shingles that the field may hold; those that it surely does not are not shuffled."""
+    def run(batches):
+        for batch in batches:
+            p = batch.column(1)
+            held = np.diff(p.offsets.to_numpy())
+            keys = p.flatten().to_numpy()
+            cls = np.repeat(batch.column(0).to_numpy(), held)
+            pos = np.arange(len(keys)) - np.repeat(np.cumsum(held) - held, held)
+            keep = in_field(field, keys)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(cls[keep]), pa.array(pos[keep].astype(np.int32))], names=["key", "cls", "pos"])
+
+    return classes.select("cls", "p").mapInArrow(run, "key long, cls long, pos int")
+
+
 def may_be_near(similarity: float, n: Column, pos: Column, other_n: Column, other_pos: Column) -> Column:
     """Whether texts whose first common shingle stands at these places can have enough of them in common."""
     return F.least(n - pos, other_n - other_pos) * (1 + similarity) >= similarity * (n + other_n) - 1e-6
@@ -273,9 +318,9 @@ def near_links(classes: DataFrame, similarity: float, verified) -> DataFrame:
     components.  Then all texts under a shingle are offered, but between different
     components only, so that a group of copies does not lead to all its pairs.
     """
-    entries = classes.select("cls", F.posexplode("p").alias("pos", "key"))  # narrow: all of them are shuffled, few are shared
+    buckets = cut_lineage(classes.select(F.explode("p").alias("key")).groupBy("key").agg(F.count("*").alias("held")).where("held > 1"))
+    entries = entries_of(classes, bit_field(buckets, "key"))
     total = classes.agg(F.sum(F.size("p"))).first()[0] or 0
-    buckets = cut_lineage(entries.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"))
     shared = join_groups(entries, buckets, "key", "held", total).select("key", "cls", "pos")
     shared = cut_lineage(shared.join(classes.select("cls", "place", "n"), "cls"))
     total = shared.count()
@@ -302,34 +347,45 @@ def near_unique(docs: DataFrame, ident: str, text: str, size: int = 5, similarit
 
     Texts are near when ``similarity`` or more of their joint distinct ``size``-word
     shingles are common to both; groups are the components of that.  Candidates come
-    from the first shingles of every text in one order, which misses no near pair, and
-    every candidate pair is verified on the whole sets.
+    from the first shingles of every text in one order, which misses no near pair;
+    profiles of the sets rule most of them out, and the rest is verified on the whole sets.
+    Texts are not shuffled: where sets are needed, the texts are scanned, and only the
+    sets of texts that a pair asks for go to a join.
     Texts without words are near each other.  Of rows that agree in id and text one stays.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(row.alias("row"), F.col(ident).alias("k_id"), F.xxhash64(text_of(text)).alias("k_text"), text_of(text).alias("t"))
     texts = keyed.select("k_id", "k_text", "t")
-    marked = prefixes(texts, "t", size, similarity, common_shingles(texts, "t", size))
+    same = F.col("k_id").eqNullSafe(F.col("r_id")) & (F.col("k_text") == F.col("r_text"))
+    repeated = cut_lineage(texts.groupBy("k_id", "k_text").agg(F.count("*").alias("copies")).where("copies > 1").select(
+        F.col("k_id").alias("r_id"), F.col("k_text").alias("r_text")))
+    once = texts.join(repeated, same, "left_anti").unionByName(
+        texts.join(repeated, same, "left_semi").groupBy("k_id", "k_text").agg(F.first("t").alias("t")))
     place = F.struct(F.col("k_id").isNull().alias("none"), "k_id", "cls")
-    classes = cut_lineage(marked.groupBy("k_id", "k_text").agg(F.first(F.struct("n", "p")).alias("f"), F.count("*").alias("copies"))
-                          .withColumn("cls", F.monotonically_increasing_id()).withColumn("place", place)
-                          .select("k_id", "k_text", "copies", "cls", "place", "f.n", "f.p"))
+    classes = cut_lineage(prefixes(once, "t", size, similarity, common_shingles(texts, "t", size))
+                          .withColumn("cls", F.monotonically_increasing_id()).withColumn("place", place))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """The near ones of the pairs ``a``, ``b`` of classes."""
+        side = lambda k: classes.select(F.col("cls").alias(k), F.col("n").alias(f"{k}_n"), F.col("h").alias(f"{k}_h"))
+        pairs = cut_lineage(alike(pairs.join(side("a"), "a").join(side("b"), "b"), similarity))
         wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-        names = classes.join(wanted, "cls").select("cls", F.col("k_id").alias("n_id"), F.col("k_text").alias("n_text"))
-        asked = texts.join(names, (F.col("k_text") == F.col("n_text")) & F.col("k_id").eqNullSafe(F.col("n_id")))
-        sets = cut_lineage(shingle_sets(asked.select("cls", "t"), "cls", "t", size)).dropDuplicates(["cls"])
+        names = cut_lineage(classes.join(wanted, "cls").select("cls", F.col("k_id").alias("r_id"), F.col("k_text").alias("r_text")))
+        found = shingle_sets(texts, ["k_id", "k_text"], "t", size, ("k_text", bit_field(names, "r_text")))
+        sets = cut_lineage(found.join(names, same).select("cls", "s"))
+        if not repeated.isEmpty():
+            sets = sets.dropDuplicates(["cls"])
         both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("a_s")), "a").join(
             sets.select(F.col("cls").alias("b"), F.col("s").alias("b_s")), "b")
         common = F.size(F.array_intersect("a_s", "b_s"))
         return both.where(common >= similarity * (F.size("a_s") + F.size("b_s") - common)).select("a", "b")
 
     edges = near_links(classes.select("cls", "place", "n", "p"), similarity, verified)
-    rooted = cut_lineage(roots_of(classes.select("cls", "k_id", "k_text", "copies"), edges))
+    rooted = cut_lineage(roots_of(classes.select("cls", "k_id", "k_text"), edges))
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("k_id").isNull().alias("no_id"), "k_id", "cls")).alias("best"))
-    staying = rooted.join(best, "root").where(F.col("cls") == F.col("best.cls")).select(
-        F.col("k_id").alias("s_id"), F.col("k_text").alias("s_text"), "copies")
-    kept = keyed.select("row", "k_id", "k_text").join(staying, (F.col("k_text") == F.col("s_text")) & F.col("k_id").eqNullSafe(F.col("s_id")))
-    repeated = kept.where("copies > 1").groupBy("k_text", "k_id").agg(F.first("row").alias("row"))
-    return kept.where("copies = 1").select("row.*").unionByName(repeated.select("row.*"))
+    leaving = cut_lineage(rooted.join(best, "root").where(F.col("cls") != F.col("best.cls")).select(
+        F.col("k_id").alias("r_id"), F.col("k_text").alias("r_text")))
+    kept = keyed.select("row", "k_id", "k_text").join(leaving, same, "left_anti")
+    single = kept.join(repeated, same, "left_anti")
+    several = kept.join(repeated, same, "left_semi").groupBy("k_text", "k_id").agg(F.first("row").alias("row"))
+    return single.select("row.*").unionByName(several.select("row.*"))
