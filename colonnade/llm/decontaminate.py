@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,7 +91,7 @@ def hits(text: bytes, part: dict, size: int) -> tuple[np.ndarray, set]:
         coded = carry + [get(w, unknown) for w in piece.split()]
         base = len(flags) - len(carry)
         flags.extend(bytes(len(coded) - len(carry)))
-        for end, (n, names) in automaton.iter("".join(coded)):
+        for end, (n, names) in automaton.iter("".join(coded)) if len(automaton) else ():
             last, inside = divmod(end + 1, width)
             if not inside:  # else it ends within the code of a word
                 flags[base + last - n:base + last] = b"\1" * n
@@ -113,7 +113,7 @@ def runs_of(text: bytes, hit: np.ndarray) -> list[dict]:
     return [{"w": int(a), "words": int(b - a), "at": int(points[start[a]]), "n": int(points[end[b - 1]] - points[start[a]])} for a, b in zip(first, after)]
 
 
-def joined(runs: list[dict]) -> list[dict]:
+def joined(runs: list[Row]) -> list[dict]:
     """The union of runs that several automata found."""
     out: list[dict] = []
     for r in sorted(runs, key=lambda r: (r["w"], r["words"])):
@@ -122,7 +122,7 @@ def joined(runs: list[dict]) -> list[dict]:
             if r["w"] + r["words"] > last["w"] + last["words"]:
                 last["words"], last["n"] = r["w"] + r["words"] - last["w"], r["at"] + r["n"] - last["at"]
         else:
-            out.append(dict(r))
+            out.append(r.asDict())
     return out
 
 
