@@ -4,8 +4,9 @@ A conversation is cut into windows of whole turns.  Prefix sums of turn tokens c
 the cuts: a turn belongs to the stride its first token falls in, and a turn longer than
 a stride stands alone, so the new turns of a window stay within two strides.  Every
 window after the first repeats the system turn (a leading turn of role ``system``) and
-the last turns before it, as far as ``history`` tokens reach.  Only assistant turns that
-are new in a window are under its loss mask, so each is a target exactly once.
+the last turns of the conversation before it, as far as ``history`` tokens and what the
+system turn and the new turns leave of the budget reach.  Only assistant turns that are
+new in a window are under its loss mask, so each is a target exactly once.
 
 Format of a turn: ``<turn>role\ntext</turn>\n``, or ``<past>...`` when it is repeated.
 Inside roles and texts a backslash becomes ``\b`` and ``<`` becomes ``\l``, in roles a
@@ -14,7 +15,8 @@ line feed also ``\n``; so no control string can occur in them and the way back i
 * Null texts and roles count as empty.  A null conversation id is a conversation of its own.
 * Turns stand by number, null numbers last; equal numbers by role, then text.  Repeated
   rows are turns of their own.
-* A turn longer than the budget keeps its whole text, in a window that is over budget.
+* A turn that is too long for the budget keeps its whole text, in a window that is over
+  budget and repeats no other past turn; so does a system turn, in every window.
 * An empty table gives no windows.  Extra columns are ignored.
 """
 
@@ -65,8 +67,8 @@ def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     lead = F.min_by(F.struct("role", F.when(F.col("role") == "system", F.col("tokens")).alias("tokens")), "g_index")
     convs = placed.groupBy("c_key").agg(
         F.count("*").alias("c_rows"), F.min("g_before").alias("c_base"), F.min("g_index").alias("c_first"),
-        F.max(F.col("g_before") + F.col("tokens")).alias("c_end"), lead.alias("c_lead"))
-    convs = convs.select("c_key", "c_rows", "c_base", "c_first", (F.col("c_end") - F.col("c_base")).alias("c_total"),
+        lead.alias("c_lead"))
+    convs = convs.select("c_key", "c_rows", "c_base", "c_first", F.coalesce("c_lead.tokens", F.lit(0)).alias("c_system_tokens"),
                          F.greatest(F.lit(LEAST_STRIDE), F.floor((budget - history - F.coalesce(F.col("c_lead.tokens"), F.lit(0))) / 2)).alias("stride"))
     at = join_groups(placed, cut_lineage(convs), "c_key", "c_rows", total).withColumn("before", F.col("g_before") - F.col("c_base"))
     at = at.withColumn("w_no", F.floor(F.col("before") / F.col("stride"))).withColumn("w_large", F.col("tokens") > F.col("stride"))
@@ -75,8 +77,13 @@ def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     at = at.withColumn("w_start", F.min("before").over(w)).withColumn("w_end", F.max(F.col("before") + F.col("tokens")).over(w))
     fields = ["conv_id", "c_key", "g_index", "tokens", "role", "text"]
     new = at.select(*fields, F.col("w_start").alias("start"), F.lit(True).alias("new"))
-    past = at.where(~F.col("c_system") & (F.col("w_end") < F.col("c_total")) & (F.col("before") >= F.col("w_end") - history)
-                    ).select(*fields, F.col("w_end").alias("start"), F.lit(False).alias("new"))
+    # a turn can be past to windows that start at most ``history`` tokens after it: they meet in stretches of that many tokens
+    room = F.greatest(F.lit(0), F.least(F.lit(history), budget - F.col("c_system_tokens") - (F.col("w_end") - F.col("w_start"))))
+    later = at.where("w_start > 0").groupBy("c_key", F.col("w_start").alias("start")).agg(F.first(room).alias("room")).where("room > 0")
+    reach = F.floor(F.col("before") / max(1, history))
+    earlier = at.where(~F.col("c_system") & (F.col("tokens") <= history)).select(*fields, "before", F.explode(F.array(reach, reach + 1)).alias("stretch"))
+    past = earlier.join(later.withColumn("stretch", F.floor(F.col("start") / max(1, history))), ["c_key", "stretch"]).where(
+        (F.col("before") < F.col("start")) & (F.col("before") >= F.col("start") - F.col("room"))).select(*fields, "start", F.lit(False).alias("new"))
     line = F.when(F.col("new"), format_turn(NEW, F.col("role"), F.col("text"))).otherwise(format_turn(PAST, F.col("role"), F.col("text")))
     parts = new.unionByName(past).withColumn("line", line)
     skip = F.length(escape_role(F.col("role"))) + len(NEW) + 1

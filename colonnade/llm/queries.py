@@ -70,12 +70,14 @@ WITH {TURN},
 t AS (SELECT *, 4 + len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS tokens,
   14 + length(replace(replace(replace(role, '\', '\b'), '<', '\l'), chr(10), '\n')) + 1 + length(replace(replace(text, '\', '\b'), '<', '\l')) AS chars,
   row_number() OVER w AS i FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text)),
-p AS (SELECT *, sum(tokens) OVER w - tokens AS before, sum(tokens) OVER (PARTITION BY conv_id) AS total,
+p AS (SELECT *, sum(tokens) OVER w - tokens AS before,
   i = 1 AND role = 'system' AS sys FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
-s AS (SELECT *, greatest(32, (512 - 128 - coalesce(max(CASE WHEN sys THEN tokens END) OVER (PARTITION BY conv_id), 0)) // 2) AS stride FROM p),
+y AS (SELECT *, coalesce(max(CASE WHEN sys THEN tokens END) OVER (PARTITION BY conv_id), 0) AS lead FROM p),
+s AS (SELECT *, greatest(32, (512 - 128 - lead) // 2) AS stride FROM y),
 w AS (SELECT *, min(before) OVER k AS w_start, max(before + tokens) OVER k AS w_end FROM s
   WINDOW k AS (PARTITION BY conv_id, before // stride, tokens > stride)),
-f AS (SELECT conv_id, chars FROM w UNION ALL SELECT conv_id, chars FROM w WHERE NOT sys AND w_end < total AND before >= w_end - 128
+f AS (SELECT conv_id, chars FROM w UNION ALL SELECT a.conv_id, b.chars FROM (SELECT DISTINCT conv_id, w_start, greatest(0, least(128, 512 - lead - (w_end - w_start))) AS room FROM w) a
+    JOIN w b ON a.conv_id IS NOT DISTINCT FROM b.conv_id AND NOT b.sys AND b.before < a.w_start AND b.before >= a.w_start - a.room
   UNION ALL SELECT a.conv_id, b.chars FROM (SELECT DISTINCT conv_id, w_start FROM w WHERE w_start > 0) a JOIN w b ON a.conv_id = b.conv_id AND b.sys)
 SELECT g.*, n.formatted_chars FROM (
   SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
