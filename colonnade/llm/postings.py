@@ -10,11 +10,17 @@ centroid is at most ``ratio`` times as far as the nearest are searched.  ``ratio
 smallest at which a search of the sample finds ``aim`` of its true neighbours.
 
 Every vector is indexed.  Lists are packed into bins of about ``BIN_ROWS`` rows; a list that
-is larger, say of one vector held by a third of all rows, is dealt out over several bins
-by id.  A bin and a block of queries meet in one task, which keeps the best of each query.
+is larger is dealt out over several bins by id and vector.  A bin goes to its task once:
+the task holds the bin and lets the queries pass that ask for it, so what is shuffled is
+linear in the vectors and in the lists that queries ask for.  Lists are ``most_lists`` at
+most, since centroids travel with the tasks; beyond that they grow with the table, and the
+cost of one query with them.
 
-* Vectors that are null, zero, of a length other than the longest, or hold null or
-  non-finite components take no part, and neither do rows without id.
+A query goes on until it has met as many different ids as it wants.  Where copies of a few
+ids fill its lists, it is asked again with eight times as many rows, until it has enough.
+
+* Vectors that are null, zero, or hold null or non-finite components take no part, and
+  neither do rows without id.  A vector is searched among those of its own length.
 * Repeated ids count once, with their largest inner product.  Ties go to the smaller id.
 * With fewer candidates than asked for, a query gets them all; an empty table gives no rows.
 """
@@ -35,7 +41,7 @@ from pyspark.sql import types as T
 import colonnade.llm.common  # noqa: F401  code travels by value
 from colonnade.session import cut_lineage
 
-BIN_ROWS, LEAST_BINS, QUERY_ROWS = 32_768, 12, 8_192
+BIN_ROWS, LEAST_BINS = 32_768, 12
 
 
 @dataclass(frozen=True)
@@ -151,14 +157,14 @@ class Router:
         return [n[ok] for n, ok in zip(near, d <= s.copy_ratio * d[:, :1] + 1e-12)]
 
     def lists(self, q: np.ndarray, sizes: np.ndarray, wanted: int) -> list[np.ndarray]:
-        """By distance ratio, and on until the lists hold several times what is wanted."""
+        """By distance ratio, and on until the lists hold ``wanted`` ids."""
         lifted = lift_query(q, self.length)
         met, found = self.graph.search(lifted, self.ratio, 8), []
         for i, row in enumerate(met):
             take = np.flatnonzero(row <= self.ratio * row.min() + 1e-12)
-            if sizes[take].sum() < 8 * wanted:  # too little within the ratio: by exact order, as far as needed
+            if sizes[take].sum() < wanted:  # too little within the ratio: by exact order, as far as needed
                 order = np.argsort(distances(lifted[i:i + 1], self.graph.points)[0], kind="stable")
-                take = order[np.cumsum(sizes[order]) - sizes[order] < 8 * wanted]
+                take = order[np.cumsum(sizes[order]) - sizes[order] < wanted]
             found.append(take)
         return found
 
@@ -218,7 +224,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 def search(vectors: DataFrame, ident: str, vector: str, is_query: Column, k: int = 20, settings: Settings = Settings()) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` for the rows where ``is_query`` (over ``vec_id``) holds, against all rows of the same length."""
-    everything = cut_lineage(usable(vectors, ident, vector))
+    everything = cut_lineage(usable(vectors, ident, vector).dropDuplicates(["vec_id", "v"]))
     lengths = sorted(r[0] for r in everything.where(is_query).select(F.size("v")).distinct().collect())
     if not lengths:
         return everything.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
@@ -231,9 +237,9 @@ def search(vectors: DataFrame, ident: str, vector: str, is_query: Column, k: int
 def meetings(everything: DataFrame, d: int, is_query: Column, k: int, settings: Settings) -> DataFrame:
     """``query_id``, ``vec_id``, ``score``: the best of every bin among vectors of the one length ``d``."""
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    rows, length = everything.agg(F.count("*"), F.sqrt(F.max(squares))).first()
+    rows, ids, length = everything.agg(F.count("*"), F.count_distinct("vec_id"), F.sqrt(F.max(squares))).first()
     length = length * (1 + 1e-12)
-    drawn = everything.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(settings.sample, 8_000_000 // d + 64))
+    drawn = everything.orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("v")).limit(min(settings.sample, 8_000_000 // d + 64))
     router = fit(np.stack(drawn.toPandas()["v"].to_numpy()).astype(float), length, rows, settings)
 
     def assign(batches):
@@ -247,58 +253,85 @@ def meetings(everything: DataFrame, d: int, is_query: Column, k: int, settings:
 
     element = everything.schema["v"].dataType
     kept = cut_lineage(everything.mapInArrow(assign, T.StructType().add("list", T.IntegerType()).add("vec_id", T.LongType()).add("v", element)))
-    sizes = np.zeros(len(router.graph.points), np.int64)
-    for row in kept.groupBy("list").count().collect():  # at most settings.most_lists rows
-        sizes[row["list"]] = row["count"]
-    first_bin, bins_of = pack(sizes)
+    held, different = np.zeros((2, len(router.graph.points)), np.int64)
+    for row in kept.groupBy("list").agg(F.count("*").alias("rows"), F.count_distinct("vec_id").alias("ids")).collect():  # at most settings.most_lists rows
+        held[row["list"]], different[row["list"]] = row["rows"], row["ids"]
+    first_bin, bins_of = pack(held)
     n_bins = int((first_bin + bins_of).max())
-
-    def route(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                lists = router.lists(matrix(part.column("v")), sizes, k)
-                out: list[tuple[int, int, list[int]]] = []
-                for i, chosen in enumerate(lists):
-                    by_bin: dict[int, list[int]] = {}
-                    for c in chosen.tolist():
-                        for b in range(first_bin[c], first_bin[c] + bins_of[c]):
-                            by_bin.setdefault(int(b), []).append(c)
-                    out += [(i, b, c) for b, c in by_bin.items()]
-                took = pa.array([o[0] for o in out], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([o[1] for o in out], pa.int32()), part.column("vec_id").take(took), part.column("v").take(took),
-                                                  pa.array([o[2] for o in out], pa.list_(pa.int32()))], names=["bin", "query_id", "q", "lists"])
-
-    asked = everything.where(is_query)
-    routed = asked.mapInArrow(route, T.StructType().add("bin", T.IntegerType()).add("query_id", T.LongType()).add("q", element).add("lists", T.ArrayType(T.IntegerType())))
-    blocks = max(1, -(-asked.count() // QUERY_ROWS))  # queries of a bin meet it in blocks
-    routed = routed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     places = F.array(*[F.lit(int(b)) for b in first_bin]), F.array(*[F.lit(int(b)) for b in bins_of])
-    put = places[0][F.col("list")] + F.pmod(F.xxhash64("vec_id"), places[1][F.col("list")]).cast("int")
-    binned = kept.withColumn("bin", put).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def meet(key, queries: pa.Table, held: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if queries.num_rows and held.num_rows:
-            q, q_ids = matrix(queries.column("q").combine_chunks()), queries.column("query_id").to_numpy()
-            v, v_ids, lists = matrix(held.column("v").combine_chunks()), held.column("vec_id").to_numpy(), held.column("list").to_numpy()
-            wanted = queries.column("lists").combine_chunks()
-            owner = np.repeat(np.arange(len(q)), np.diff(wanted.offsets.to_numpy()))
-            asked_list = wanted.flatten().to_numpy()
-            for c in np.unique(asked_list):
-                who, at = owner[asked_list == c], np.flatnonzero(lists == c)
-                if len(at):
-                    i, ids, score = best_of(q[who], q_ids[who], v[at], v_ids[at], k)
-                    found.append((q_ids[who][i.astype(np.int64)], ids, score))
-        if not found:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        best = pd.DataFrame({"query_id": np.concatenate([f[0] for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
-        best = best.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).drop_duplicates(["query_id", "vec_id"])
-        return pa.Table.from_pandas(best.groupby("query_id", sort=False).head(k), preserve_index=False).select(["query_id", "vec_id", "score"]).cast(
-            pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
-
-    return routed.repartition(n_bins * blocks, "bin", "block").groupBy("bin", "block").cogroup(
-        binned.repartition(n_bins * blocks, "bin", "block").groupBy("bin", "block")).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
+    put = places[0][F.col("list")] + F.pmod(F.xxhash64("vec_id", "v"), places[1][F.col("list")]).cast("int")
+    meeting = T.StructType().add("bin", T.IntegerType()).add("side", T.IntegerType()).add("id", T.LongType()).add("v", element).add("lists", T.ArrayType(T.IntegerType()))
+    binned = kept.select(put.alias("bin"), F.lit(0).alias("side"), F.col("vec_id").alias("id"), "v", F.array("list").alias("lists"))
+
+    def routed(asked: DataFrame, wanted: int) -> DataFrame:
+        """Queries once per bin that holds lists of theirs."""
+        def route(batches):
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 1024):
+                    part = batch.slice(lo, 1024)
+                    out: list[tuple[int, int, list[int]]] = []
+                    for i, chosen in enumerate(router.lists(matrix(part.column("v")), different, wanted)):
+                        by_bin: dict[int, list[int]] = {}
+                        for c in chosen.tolist():
+                            for b in range(first_bin[c], first_bin[c] + bins_of[c]):
+                                by_bin.setdefault(int(b), []).append(c)
+                        out += [(i, b, c) for b, c in by_bin.items()]
+                    took = pa.array([o[0] for o in out], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([o[1] for o in out], pa.int32()), pa.array([1] * len(out), pa.int32()), part.column("vec_id").take(took),
+                                                      part.column("v").take(took), pa.array([o[2] for o in out], pa.list_(pa.int32()))], names=meeting.names)
+
+        return asked.select("vec_id", "v").mapInArrow(route, meeting)
+
+    def meet(batches):
+        """Rows come sorted by bin, its vectors before the queries: a bin is held, queries pass."""
+        now, vectors, table = None, [], None
+        for batch in batches:
+            bins, sides = batch.column("bin").to_numpy(), batch.column("side").to_numpy()
+            cuts = np.flatnonzero((np.diff(bins) != 0) | (np.diff(sides) != 0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(bins)]):
+                part = batch.slice(lo, hi - lo)
+                if bins[lo] != now:
+                    now, vectors, table = bins[lo], [], None
+                if not sides[lo]:
+                    vectors.append((matrix(part.column("v")), part.column("id").to_numpy(), part.column("lists").flatten().to_numpy()))
+                    continue
+                if table is None and vectors:
+                    table = tuple(np.concatenate(x) for x in zip(*vectors))
+                if table is not None:
+                    for some in range(0, part.num_rows, 2048):
+                        yield best_in_bin(part.slice(some, 2048), *table, k)
+
+    def found(asked: DataFrame, wanted: int) -> DataFrame:
+        both = binned.unionByName(routed(asked, wanted))
+        return both.repartition(n_bins, "bin").sortWithinPartitions("bin", "side").mapInArrow(meet, "query_id bigint, vec_id bigint, score double")
+
+    queries, wanted = everything.where(is_query), 8 * k
+    result = cut_lineage(found(queries, wanted))
+    while wanted < different.sum():  # the last round asks for all there is
+        few = result.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") >= min(k, ids - 1)).select(F.col("query_id").alias("vec_id"))
+        short = cut_lineage(queries.join(few, "vec_id", "left_anti"))
+        if short.isEmpty():
+            break
+        wanted *= 8
+        result = result.unionByName(cut_lineage(found(short, wanted)))
+    return result
+
+
+def best_in_bin(queries: pa.RecordBatch, v: np.ndarray, v_ids: np.ndarray, lists: np.ndarray, k: int) -> pa.RecordBatch:
+    """The ``k`` best of each query among the vectors of the lists that it asks for."""
+    q, q_ids, wanted = matrix(queries.column("v")), queries.column("id").to_numpy(), queries.column("lists")
+    owner = np.repeat(np.arange(len(q)), np.diff(wanted.offsets.to_numpy()))
+    asked, found = wanted.flatten().to_numpy(), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for c in np.unique(asked):
+        who, at = owner[asked == c], np.flatnonzero(lists == c)
+        if len(at):
+            i, ids, score = best_of(q[who], q_ids[who], v[at], v_ids[at], k)
+            found.append((q_ids[who][i.astype(np.int64)], ids, score))
+    best = pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(x) for x in zip(*found)))))
+    best = best.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).drop_duplicates(["query_id", "vec_id"])
+    best = best.groupby("query_id", sort=False).head(k)
+    return pa.RecordBatch.from_arrays([pa.array(best["query_id"].to_numpy(), pa.int64()), pa.array(best["vec_id"].to_numpy(), pa.int64()), pa.array(best["score"].to_numpy(), pa.float64())],
+                                      names=["query_id", "vec_id", "score"])
 
 
 def pack(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
