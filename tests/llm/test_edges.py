@@ -1,6 +1,9 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
+import hashlib
+import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -104,6 +107,31 @@ def test_chat(spark):
     assert chat.windows(turns.where("false")).count() == 0
 
 
+def test_past_turns_reach_as_far_as_the_history(spark):
+    """Over the whole conversation, not only the window before; never beyond the budget."""
+    words = lambda n: " ".join(["w"] * (n - chat.MARKS))
+    short = [(1, i, "user", words(10)) for i in range(21)] + [(1, 21, "assistant", words(254)), (1, 22, "user", words(10))]
+    led = [(2, 0, "system", words(400))] + [(2, i, "user", words(10)) for i in range(1, 80)]
+    mixed = [(3, i, "user", words(random.Random(i).choice([5, 9, 30, 60, 200]))) for i in range(120)]
+    turns = spark.createDataFrame(short + led + mixed, "conv_id bigint, turn bigint, role string, text string")
+    rows = chat.windows(turns).collect()
+    past = {(r.conv_id, r.start): r.text.count(chat.PAST) for r in rows}
+    assert past[1, 210] == 12  # 120 of 128 tokens
+    assert all(r.tokens <= 512 for r in rows)
+    for conv, said, lead in ((1, short, 0), (2, led, 400), (3, mixed, 0)):
+        ends, at = [], 0
+        for _, _, _, text in said:
+            ends.append((at, len(text.split()) + chat.MARKS))
+            at += ends[-1][1]
+        for r in (r for r in rows if r.conv_id == conv and r.start):
+            new = r.text.count(chat.NEW)
+            first = next(k for k, (b, _) in enumerate(ends) if b == r.start)
+            room = min(128, 512 - lead - sum(n for _, n in ends[first:first + new]))
+            wanted = [k for k in range(1 if lead else 0, first) if ends[k][0] >= r.start - room]
+            assert past[conv, r.start] == len(wanted) + bool(lead)
+            assert r.tokens == lead + sum(ends[k][1] for k in wanted) + sum(n for _, n in ends[first:first + new])
+
+
 def brute_lines(texts, min_words):
     lines = [[(n, x) for n, x in enumerate((t or "").split("\n")) if x.split()] for t in texts]
     gone = [set() for _ in texts]
@@ -282,6 +310,92 @@ def test_neighbours_among_their_own_length(spark):
     assert got[got["query_id"] == 50]["vec_id"].tolist() == [51] and got[got["query_id"] < 30]["vec_id"].max() < 30
 
 
+def test_an_id_of_many_vectors_takes_one_place(spark):
+    """An id in thousands of rows, nearer than all else, in whatever lists: the query still gets its twenty."""
+    rng = np.random.default_rng(4)
+    near = np.eye(8)[0] + rng.normal(size=(3000, 8)) * 0.02
+    rows = [(0, np.eye(8)[0].tolist()), *[(1, v.tolist()) for v in near], *[(1, [1.0] * 8)] * 3000]
+    rows += [(10 + i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 8)) * 0.3)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    settings = postings.Settings(sample=2000, most_lists=64, list_rows=50)
+    got = postings.search(df, "vec_id", "embedding", F.col("vec_id") == 0, 20, settings).toPandas().sort_values("rank")
+    want = postings.exact(df.dropDuplicates(), "vec_id", "embedding", F.col("vec_id") == 0, 20)
+    assert len(got) == 20 and got["vec_id"].nunique() == 20 and got["vec_id"].iloc[0] == 1
+    assert len(set(got["vec_id"]) & set(want["vec_id"])) >= 12
+
+
+def test_bins_are_sent_once(spark):
+    """The vectors of the index stand in the plan's input once, however many queries there are; bins are split by id and vector."""
+    first, bins = postings.pack(np.array([10, 70_000, 5, 0]))
+    assert bins.tolist() == [1, 3, 1, 1] and len({(first[1] + k) for k in range(3)} & set(first[[0, 2, 3]])) == 0
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(3000, 16)))], "vec_id bigint, embedding array<double>")
+    got = postings.search(df, "vec_id", "embedding", F.lit(True), 10).toPandas()
+    want = postings.exact(df, "vec_id", "embedding", F.col("vec_id") % 30 == 0, 10)
+    assert (got.groupby("query_id").size() == 10).all() and got["query_id"].nunique() == 3000
+    assert len(want.merge(got, on=["query_id", "vec_id"])) >= 0.9 * len(want)
+
+
+def scalar_places(text):
+    h = [zlib.crc32(w) for w in text.lower().encode().translate(toxicity.BLANKS).split()]
+    spread = lambda x: (x * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - toxicity.BITS)
+    runs = [a * 31 + b + 1 for a, b in zip(h, h[1:])] + [a * 31 + c + (1 << 34) for a, c in zip(h, h[2:])]
+    return sorted({spread(x) for x in h + runs})
+
+
+def test_toxicity_equals_a_scalar_learner(spark):
+    """Per-coordinate rates and L1, one number at a time."""
+    rng, s = random.Random(8), toxicity.Settings(steps=600, l1=0.5)
+    said = [(i, " ".join(rng.choice(["calm", "kind", "vile", "Words", "here,", "end.", f"w{rng.randrange(30)}"]) for _ in range(rng.randrange(1, 40))) + f" id{i}") for i in range(120)]
+    labelled = [(i, int("vile" in t and rng.random() < 0.9)) for i, t in said]
+    df, labels = spark.createDataFrame(said, "doc_id bigint, text string"), spark.createDataFrame(labelled, "doc_id bigint, toxic int")
+    model = toxicity.fit(df, labels, "doc_id", "text", "toxic", F.lit(True), s)
+    got = {r.doc_id: r.s for r in df.select("doc_id", toxicity.score("text", model).alias("s")).collect()}
+    y, z, n, bias = dict(labelled), {}, {}, "bias"
+
+    def weight(p):
+        rate = (s.beta + n.get(p, 0.0) ** 0.5) / s.alpha
+        if p == bias:
+            return -z.get(p, 0.0) / rate
+        v = z.get(p, 0.0)
+        return 0.0 if abs(v) <= s.l1 else -(v - (s.l1 if v > 0 else -s.l1)) / (rate + s.l2)
+
+    order = sorted(said, key=lambda x: hashlib.md5(f"{s.seed}:{x[0]}".encode()).hexdigest())
+    for _ in range(min(s.most_passes, -(-s.steps // len(order)))):
+        for i, text in order:
+            w = {p: weight(p) for p in [*scalar_places(text), bias]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y[i]
+            for p, v in w.items():
+                before = n.get(p, 0.0)
+                z[p] = z.get(p, 0.0) + g - ((before + g * g) ** 0.5 - before ** 0.5) / s.alpha * v
+                n[p] = before + g * g
+    want = {i: 1 / (1 + math.exp(-sum(weight(p) for p in [*scalar_places(t), bias]))) for i, t in said}
+    assert got == pytest.approx(want, abs=1e-9) and max(got.values()) > 0.8 > 0.2 > min(got.values())
+    assert 0 < len(model.places) < len(z)  # L1 leaves most places at zero
+
+
+def test_quality_equals_a_scalar_tree_walk(spark):
+    rng = random.Random(9)
+    said = [(i, " ".join(rng.choice(["Fine", "words", "#$%", "BUY", "now!!!", "and", "more."]) for _ in range(rng.randrange(1, 80)))) for i in range(150)]
+    labelled = [(i, int(t.count("!") < 8)) for i, t in said]
+    df, labels = spark.createDataFrame(said, "doc_id bigint, text string"), spark.createDataFrame(labelled, "doc_id bigint, quality int")
+    model = quality.fit(df, labels, "doc_id", "text", "quality", F.lit(True))
+
+    def walk(x, feature, threshold, leaf):
+        node = 0
+        while node < len(feature):
+            node = 2 * node + (2 if x[feature[node]] > threshold[node] else 1)
+        return leaf[node - len(feature)]
+
+    want = {}
+    for i, t in said:
+        x = quality.statistics(t.encode())
+        want[i] = 1 / (1 + math.exp(-(model.base + sum(walk(x, *tree) for tree in zip(model.feature, model.threshold, model.leaf)))))
+    got = {r.doc_id: r.s for r in df.select("doc_id", quality.score("text", model).alias("s")).collect()}
+    assert got == pytest.approx(want, abs=1e-12)
+    assert np.mean([(got[i] > 0.5) == y for i, y in labelled]) > 0.9
+
+
 def test_model_keeps_to_whole_texts(spark):
     """A word at the very end of a long text counts."""
     df = spark.createDataFrame([(i, f"w{i} " + ("calm words here " * 30) + ("vile" if i % 2 else "kind")) for i in range(200)], "doc_id bigint, text string")

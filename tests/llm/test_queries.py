@@ -98,6 +98,9 @@ def test_held_out_accuracy(spark, name, label, parts, held):
     labelled = p.merge(read_table(spark, sf, "labels").toPandas(), on="doc_id")
     labelled = labelled[labelled["held_out"]]
     assert (labelled["predicted"] == labelled[label]).mean() > 0.9
+    ones, zeros = labelled[labelled[label] == 1]["score"].to_numpy(), labelled[labelled[label] == 0]["score"].to_numpy()
+    assert ((ones[:, None] > zeros).mean() + (ones[:, None] == zeros).mean() / 2) > 0.95  # area under the curve
+    assert (labelled[labelled[label] == 1]["predicted"] == 1).mean() > 0.5  # few labels at this size
 
 
 def test_neighbours(spark):
