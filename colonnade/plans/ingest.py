@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colonnade.functions.constants import FIRST_INSTANCE_LABEL_ID, LABEL_IDS
 from colonnade.functions.lookup import lookup
 from colonnade.plans.registry import query
 from colonnade.session import shared_dir
-from colonnade.sources import catalog, gates, segment_text
+from colonnade.sources import catalog, gates, logs, segment_text
 
 KINDS = ("image", "disparity", "camera", "semantic")
 R6 = 6
@@ -228,6 +229,22 @@ def q_log_parse(t):
     return gates.tail_match(log, ["run_id"], "line_no", "line", "Score", "([0-9][.][0-9]{3})", 5)
 
 
+@query("q_log_files", sql="""
+WITH lines AS (SELECT o_orderpriority AS run, ROW_NUMBER() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS line_no,
+  CASE o_orderstatus WHEN 'F' THEN concat('Score Average : ', printf('%.3f', (o_orderkey % 1000) / 1000.0))
+    WHEN 'O' THEN concat('Time per batch ', CAST(o_orderkey AS VARCHAR), '.5 s') ELSE 'progress' END AS line FROM orders),
+n AS (SELECT run, COUNT(*) AS n_lines FROM lines GROUP BY 1)
+SELECT n.run, n_lines, line_no, line FROM n JOIN lines l ON l.run = n.run WHERE line_no > n_lines - 20""")
+def q_log_files(t):
+    """Run logs written as text files and read in splits: the last lines of each, numbered as in the whole file."""
+    status = F.col("o_orderstatus")
+    score = F.format_string("Score Average : %.3f", (F.col("o_orderkey") % 1000) / 1000.0)
+    text = (F.when(status == "F", score).when(status == "O", F.format_string("Time per batch %d.5 s", "o_orderkey")).otherwise("progress"))
+    folder = fresh_folder(t.spark, "logs")
+    logs.log_files(t.orders.select(F.col("o_orderpriority").alias("run"), "o_orderkey", text.alias("line")), "run", "o_orderkey", "line", folder)
+    return logs.last_lines(t.spark, folder, 20).select("run", "n_lines", "line_no", "line")
+
+
 @query("q_results_json", views=("fx_runs",), sql="""
 SELECT run_id, COUNT(*) AS frames, CAST(SUM(ms) AS BIGINT) AS total_ms FROM fx_runs GROUP BY 1""")
 def q_results_json(t):
@@ -259,3 +276,21 @@ def q_quarantine(t):
     rejected = t.fx_pixels.join(bad, "frame_id").groupBy("frame_id", "verdict").agg(F.count("*").alias("n_cells"))
     accepted = good.groupBy("frame_id").agg(F.count("*").alias("n_cells")).withColumn("verdict", F.lit("ok"))
     return accepted.unionByName(rejected)
+
+
+@query("q_quarantine_counts", views=("fx_pixels",), sql="""
+WITH f AS (SELECT frame_id, MAX(r) + 1 AS h, MAX(c) + 1 AS w, COUNT(CASE WHEN d > 25 THEN 1 END) AS n_high FROM fx_pixels GROUP BY 1),
+s AS (SELECT frame_id, CASE WHEN h <> 64 OR w <> 64 THEN 'size' WHEN n_high < 290 THEN 'no_road' ELSE 'ok' END AS verdict FROM f),
+n AS (SELECT verdict, COUNT(*) AS n_cells FROM fx_pixels p JOIN s ON p.frame_id = s.frame_id GROUP BY 1)
+SELECT v.verdict, COALESCE(n.n_cells, 0) AS n_cells, CASE WHEN v.verdict = 'ok' THEN COALESCE(n.n_cells, 0) ELSE 0 END AS n_written
+FROM (VALUES ('ok'), ('size'), ('no_road'), ('other')) v(verdict) LEFT JOIN n ON n.verdict = v.verdict""")
+def q_quarantine_counts(t):
+    """Good frames are written and bad ones counted in one run: the verdict of a frame stands beside its cells, a frame is at most a grid."""
+    w = W.partitionBy("frame_id")
+    size = (F.max("r").over(w) + 1 != 64) | (F.max("c").over(w) + 1 != 64)
+    high = F.count(F.when(F.col("d") > 25, 1)).over(w)
+    path = fresh_folder(t.spark, "accepted")
+    counts = gates.write_accepted(t.fx_pixels, F.when(size, "size").when(high < 290, "no_road").otherwise("ok"), ["size", "no_road"], path)
+    written = t.spark.read.parquet(path).agg(F.count("*").alias("n"))
+    entries = F.explode(F.array(*[F.struct(F.lit(v).alias("verdict"), F.lit(n).cast("bigint").alias("n_cells")) for v, n in counts.items()]))
+    return written.select(entries.alias("e"), "n").select("e.*", F.when(F.col("e.verdict") == "ok", F.col("n")).otherwise(0).alias("n_written"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +53,20 @@ def split_by_verdict(rows: DataFrame, verdicts: DataFrame, keys: list[str]) -> t
     return rows.join(bad, keys, "left_anti"), bad
 
 
+def write_accepted(rows: DataFrame, verdict: Column, reasons: list[str], path: str) -> dict[str, int]:
+    """Writes the rows whose verdict is ``ok`` and returns how many rows had which verdict, counted in the same run.
+
+    A verdict that is not among ``reasons`` counts as ``other``; nothing is read twice.
+    """
+    seen = Observation()
+    known = ["ok", *reasons]
+    judged = rows.withColumn("_verdict", verdict)
+    counts = [F.count(F.when(F.col("_verdict") == r, 1)).alias(r) for r in known]
+    other = F.count(F.when(F.col("_verdict").isNull() | ~F.col("_verdict").isin(known), 1)).alias("other")
+    judged.observe(seen, *counts, other).where(F.col("_verdict") == "ok").drop("_verdict").write.parquet(path)
+    return seen.get
+
+
 def tail_match(log: DataFrame, keys: list[str], number: str, line: str, prefix: str, pattern: str,
                last: int, scale: float = 1.0) -> DataFrame:
     """The number that ``pattern`` finds in the first ``prefix`` line of the last ``last`` lines.
