@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from colonnade.operators.joins import micros
 from colonnade.plans import geometry, segmenting
 from colonnade.plans.registry import Tables, query
-from colonnade.streaming import jobs, matching, sync
+from colonnade.streaming import asof, jobs, matching, sync
 
 HOUR = 3_600_000_000
 TOL2, TOL4, WIDTH = 6 * HOUR, 24 * HOUR, 96 * HOUR
@@ -116,6 +116,26 @@ def q_stream_config(t):
     return jobs.run_batches(jobs.open_stream(t.spark, t.path("events")), "config", work)
 
 
+def configured(events, name):
+    """Errors change the configuration; every other event gets the one in force at its time, however late that arrived."""
+    def work(stream):
+        kind = F.col("event_type")
+        rows = stream.select(micros(F.col("ts")).alias("us"), kind, F.when(kind != "error", F.col("event_id")).alias("event_id"), F.col("event_id").alias("config_id"),
+                             F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"))
+        return asof.asof_stream(rows, "us", kind == "error", ["event_id"], ["config_id", "k"], 24 * HOUR)
+
+    return jobs.run_flushed(events.select("event_type", "ts", "event_id", "props"), name, "ts", work, conf=matching.STATEFUL)
+
+
+@query("q_stream_asof", sql="""
+WITH e AS (SELECT event_id, epoch_us(ts) AS us, user_id FROM events WHERE event_type <> 'error'),
+c AS (SELECT epoch_us(ts) AS us, event_id AS config_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events WHERE event_type = 'error')
+SELECT e.event_id, e.us, c.config_id, c.k FROM e ASOF LEFT JOIN c ON e.us >= c.us""")
+def q_stream_asof(t):
+    """Live reconfiguration by event time: an event waits until its configuration is final."""
+    return configured(jobs.open_stream(t.spark, t.path("events")), "asof")
+
+
 @query("q_stream_late", sql="""
 WITH e AS (SELECT ts, event_type, CAST(ts AS DATE) AS day FROM events),
 q AS (SELECT epoch_us(MIN(ts)) + (epoch_us(MAX(ts)) - epoch_us(MIN(ts))) // 4 AS us FROM e)

@@ -131,6 +131,22 @@ def test_a_closed_stream_takes_no_more_input(spark, tmp_path):
         run(last=True)
 
 
+def test_configuration_by_event_time(spark, parts):
+    assert rows(streams.configured(jobs.open_stream(spark, parts, 1), "c")) == batch(spark, "q_asof_config")
+
+
+def test_a_configuration_that_arrives_late_still_holds(spark, tmp_path):
+    """It comes in a later batch than the events after it, but within the delay."""
+    def arrive(*seen):
+        df = spark.createDataFrame([(k, f"2024-01-01 {h:02d}:00:00", i, f'{{"k": {i}}}') for k, h, i in seen], "event_type string, ts string, event_id long, props string")
+        df.withColumn("ts", F.to_timestamp("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    arrive(("error", 1, 1), ("view", 0, 10), ("view", 5, 11))
+    arrive(("error", 4, 2), ("error", 4, 3), ("view", 9, 12))
+    got = streams.configured(jobs.open_stream(spark, str(tmp_path / "in"), 1), "late")
+    assert {r.event_id: (r.config_id, r.k) for r in got.collect()} == {10: (None, None), 11: (3, 3), 12: (3, 3)}
+
+
 def test_series_spread_over_batches(spark, parts):
     got = streams.frames(jobs.open_stream(spark, parts, 1), SF)
     whole = streams.frames(jobs.open_stream(spark, f"{SF}/events.parquet"), SF)
