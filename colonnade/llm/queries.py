@@ -33,7 +33,14 @@ def fresh_index(spark: SparkSession, id_type: str = "bigint") -> exact_dedup.Dig
     return exact_dedup.DigestIndex.open(spark, name, f"{shared_dir(spark)}/{name}", id_type)
 
 
-@query("op1_sharding")
+@query("op1_sharding", sql=r"""
+WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda a, i: xor(a >> 1, 3988292384 * (a & 1)))) AS crc),
+d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) + 16 AS size FROM documents),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM d),
+q AS (SELECT *, CAST((2 * before + size) * 40 // (2 * total) AS INTEGER) AS shard FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(b), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+    lambda a, x: xor(a >> 8, crc[(xor(a, x) & 255) + 1])), 4294967295) AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM q, tab""")
 def op1(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", F.crc32(text_of("text")).alias("text_crc32"), sharding.byte_size("text").alias("bytes"))
