@@ -33,12 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colonnade.llm.common import text_of
-from colonnade.session import cut_lineage
+from colonnade.llm.common import cut_text, text_of
 
 SPACE = "▁"
 #: Characters encoded in one call, so that the ids of a batch stay small.
 CALL = 1 << 20
+#: Characters of a chunk; a longer text goes through the scan.
+CHUNK = 1 << 14
 
 
 def merged(text: str, rank: dict[str, float]) -> list[str]:
@@ -168,7 +169,7 @@ def with_id(id_type: T.DataType, others: str) -> T.StructType:
     return T.StructType([T.StructField("doc_id", id_type), *T.StructType.fromDDL(others)])
 
 
-def encode(docs: DataFrame, ident: str, text: str, model: bytes, chunk: int = 1 << 16, proof: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ident: str, text: str, model: bytes, chunk: int = CHUNK, proof: bool = False) -> DataFrame:
     """``doc_id`` and ``ids`` for every row; with ``proof`` also ``decoded_sha256``, the digest of what the ids decode to."""
     rows = docs.select(F.col(ident).alias("doc_id"), text_of(text).alias("t"))
     id_type = rows.schema["doc_id"].dataType
@@ -191,7 +192,7 @@ def encode(docs: DataFrame, ident: str, text: str, model: bytes, chunk: int = 1
                     lo, n, ids, digests = i + 1, 0, [], []
 
     done = small.mapInArrow(plain, with_id(id_type, "ids array<int>, decoded_sha256 string"))
-    cuts = cut_lineage(giant.mapInArrow(lambda batches: cut_up(batches, model, chunk), with_id(
+    cuts = cut_text(giant.mapInArrow(lambda batches: cut_up(batches, model, chunk), with_id(
         id_type, "row_no long, chunk int, part string, first int, last int, closes boolean")))
 
     def matrices(batches):
