@@ -9,9 +9,12 @@ from contextlib import contextmanager
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colonnade.session import shared_dir
 
+#: Slots of keys in the store of a keyed stream: a batch of few keys reads few of them.
+SLOTS = 64
 #: A time after all messages.
 FAR_AHEAD = "9000-01-01 00:00:00"
 
@@ -94,16 +97,22 @@ def run_flushed(stream: DataFrame, name: str, ts: str, work: Callable[[DataFrame
 def run_keyed_batches(stream: DataFrame, name: str, keys: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Results per key over all that has arrived: a batch redoes the keys it touches.
 
-    Arrivals are kept in a store, one folder per batch id.  The rows of a redone key
-    replace its older ones: of each key the rows of the latest batch count.
+    Arrivals are kept in a store, one folder per batch id and slot of keys, and a batch reads
+    only the slots that it touches.  The rows of a redone key replace its older ones: of each
+    key the rows of the latest batch count.
     """
     spark = stream.sparkSession
     store, out = fresh(spark, f"{name}-store"), fresh(spark, name)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-        known = session.read.schema(stream.schema.add("batch", "long")).parquet(store).where(F.col("batch") <= batch_id)
+        slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int")
+        batch.withColumn("slot", slot).write.mode("overwrite").partitionBy("slot").parquet(f"{store}/batch={batch_id}")
+        if batch.isEmpty():
+            return
+        slots = [r[0] for r in batch.select(slot).distinct().collect()]  # SLOTS rows at most
+        every = session.read.schema(stream.schema.add("batch", T.LongType()).add("slot", T.IntegerType())).parquet(store)
+        known = every.where((F.col("batch") <= batch_id) & F.col("slot").isin(slots)).drop("slot")
         touched = known.where(F.col("batch") == batch_id).select(*keys).distinct()
         work(known.drop("batch").join(touched, keys, "left_semi")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
