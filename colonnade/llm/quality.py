@@ -8,7 +8,9 @@ a batch descend together by array look-ups.
 
 * Null and empty texts have zero statistics and get the score the trees give those.
 * Without labelled rows every score is 0.  Repeated rows get equal scores.
-* Very long texts are read in pieces cut at white space; counts add up over the pieces.
+* Very long texts are read in pieces of a megabyte or so, cut at white space; counts add up
+  over the pieces.  Only a pair of words over a cut is not seen, and a line over a cut
+  counts as two.
 * Columns of any name pass through, as the score is an expression over the text column.
 """
 
