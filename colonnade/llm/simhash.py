@@ -193,12 +193,19 @@ def components(docs: DataFrame, ident: str, text: str, size: int = 4, limit: int
         "doc_id", F.lower(F.lpad(F.hex("cls"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def parts(batches, rows: int = 512):
+    """Batches of few rows, so that a worker holds the sets of a few texts at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def shingle_sets(docs: DataFrame, keep: list[str], text: str, size: int, wanted: tuple[str, np.ndarray] | None = None) -> DataFrame:
     """``keep`` and ``s``, the hashes of the text's distinct shingles; with ``wanted`` only of rows whose key the field may hold."""
     schema = docs.select(*keep).schema.add("s", T.ArrayType(T.LongType()))
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             if wanted:
                 name, field = wanted
                 batch = batch.filter(pa.array(in_field(field, batch.column(name).to_numpy())))
@@ -257,7 +264,7 @@ def prefixes(docs: DataFrame, text: str, size: int, similarity: float, common: t
     schema = docs.select(*rest).schema.add("n", T.IntegerType()).add("p", T.ArrayType(T.LongType())).add("h", T.BinaryType())
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             n, first, profile = [], [], []
             for t in batch.column(batch.num_columns - 1):
                 s = np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes((t.as_py() or "").encode(), size)]))
