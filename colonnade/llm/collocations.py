@@ -15,8 +15,8 @@ together, more is shuffled, and the result stays the same.
 Fingerprints only say which phrases are worth spelling out.  A last pass finds their
 occurrences, and a block keeps for every fingerprint a pointer to its first one; all
 others are held against the bytes there, and those that differ are told apart.  Each
-phrase of a block is cut out of the text once, and counts are summed by phrase: they do
-not depend on any fingerprint.
+phrase of a block is cut out of the text once; counts and least pointers (ids of texts)
+are summed by phrase, many phrases to a row, so they do not depend on any fingerprint.
 
 * A null text is empty, a null language is ``und``.  Repeated rows count again.
 * Languages are kept apart throughout; their names are part of the fingerprint.
@@ -29,6 +29,7 @@ not depend on any fingerprint.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from colonnade.llm.common import text_of
+from colonnade.llm.common import bit_field, in_field
 from colonnade.session import cut_lineage
 
 GAP = re.compile(rb"[\x20\x09-\x0D]")
@@ -49,14 +50,38 @@ PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else 10 if c in b".,;:!?
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
 LONGEST = 5
+#: Bytes whose sums are held at once.
+STEP = 1 << 16
+#: Phrases that a task sums up before it hands them on, and about how many different ones share a row of the shuffle.
+HELD, IN_SLICE = 1 << 18, 512
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
+    out = np.full(n, base % (1 << 64), np.uint64)
     out[:1] = 1
     return np.multiply.accumulate(out)
 
 
+def powers_at(base: int, at: np.ndarray) -> np.ndarray:
+    """Powers of ``base`` by two short tables instead of one as long as the block."""
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    return powers(base, STEP)[at % STEP] * powers(pow(base, STEP, 1 << 64), int(at.max()) // STEP + 1)[at // STEP]
+
+
+def sums_at(raw: np.ndarray, *places: np.ndarray) -> list[np.ndarray]:
+    """Prefix polynomials of the bytes, at sorted places only: sum of (byte + 1) FACTOR^j over all j before the place."""
+    small, carry, out = powers(FACTOR, STEP), np.uint64(0), [np.zeros(len(p), np.uint64) for p in places]
+    for q in range(len(raw) // STEP + 1):
+        part = raw[q * STEP:(q + 1) * STEP].astype(np.uint64) + np.uint64(1)
+        run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part * small[:len(part)], dtype=np.uint64))) * np.uint64(pow(FACTOR, q * STEP, 1 << 64)) + carry
+        for p, o in zip(places, out):
+            lo, hi = np.searchsorted(p, (q * STEP, (q + 1) * STEP))
+            o[lo:hi] = run[p[lo:hi] - q * STEP]
+        carry = run[-1]
+    return out
+
+
 def scrambled(x: np.ndarray) -> np.ndarray:
     """One to one, so it adds no collisions; spreads the fingerprints over all bits."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -75,14 +100,15 @@ class Block:
     def __init__(self, texts: list[tuple[bytes, int]], langs: np.ndarray, salts: np.ndarray, bits: int = 64):
         raw = np.frombuffer(b"\n".join(t.translate(PLAIN) for t, _ in texts), np.uint8)
         word = (raw != 32) & (raw != 10)
-        edge = np.diff(np.concatenate(([0], word.view(np.int8), [0])))
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        piece = np.cumsum(raw == 10)[start] if len(start) else start
+        change = np.flatnonzero(word[1:] != word[:-1]) + 1
+        edges = np.concatenate(([0] if len(word) and word[0] else [], change, [len(word)] if len(word) and word[-1] else [])).astype(np.int64)
+        start, end = edges[::2], edges[1::2]
+        piece = np.searchsorted(np.flatnonzero(raw == 10), start)
         # a single byte between words: the one before each word, a line feed where a piece begins
         keep = word.copy()
         between = start[1:] - 1
         keep[between] = True
-        self.bytes = np.where(word, raw, 32)[keep].astype(np.uint8)
+        self.bytes = np.where(word, raw, np.uint8(32))[keep]
         length = end - start
         self.start = np.concatenate(([0], np.cumsum(length + 1)))[:-1].astype(np.int64)
         self.end, self.piece = self.start + length, piece
@@ -94,10 +120,8 @@ class Block:
         context = np.array([c for _, c in texts], np.int64)
         self.counted = np.arange(len(start)) - first_word[self.text] >= context[self.text]
         self.salt, self.bits = salts[self.lang], bits
-        n = len(self.bytes) + 1
-        sums = np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * powers(FACTOR, n)[:-1], dtype=np.uint64)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), sums))
-        self.back = powers(INVERSE, n)[self.start]
+        self.before, self.after = sums_at(self.bytes, self.start, self.end)
+        self.back = powers_at(INVERSE, self.start)
 
     def __len__(self) -> int:
         return len(self.start)
@@ -105,7 +129,7 @@ class Block:
     def prints(self, n: int) -> np.ndarray:
         """Fingerprints of the runs of ``n`` words from each word on, whether or not they lie in a piece."""
         m = max(0, len(self) - n + 1)
-        poly = (self.sums[self.end[n - 1:]] - self.sums[self.start[:m]]) * self.back[:m]
+        poly = (self.after[n - 1:] - self.before[:m]) * self.back[:m]
         out = scrambled(poly + self.salt[:m] + np.uint64(n * 0xD6E8FEB86659FD93 % (1 << 64)))
         return out & np.uint64((1 << self.bits) - 1) if self.bits < 64 else out
 
@@ -114,7 +138,7 @@ class Block:
         m = max(0, len(self) - n + 1)
         ok = (self.piece[:m] == self.piece[n - 1:]) & self.counted[n - 1:]
         if passed is not None:
-            shorter = has(passed, self.prints(n - 1))
+            shorter = in_field(passed, self.prints(n - 1))
             ok &= shorter[:m] & shorter[1:m + 1]
         return np.flatnonzero(ok)
 
@@ -123,7 +147,7 @@ class Block:
         size = self.end[at + n - 1] - self.start[at]
         equal = (size == self.end[first + n - 1] - self.start[first]) & (self.lang[at] == self.lang[first])
         look = np.flatnonzero(equal & (at != first))
-        for some in np.array_split(look, max(1, int(size[look].sum()) >> 21)):
+        for some in np.array_split(look, max(1, int(size[look].sum()) >> 20)):
             k, total = size[some], int(size[some].sum())
             step = np.arange(total) - np.repeat(np.cumsum(k) - k, k)
             differ = self.bytes[np.repeat(self.start[at[some]], k) + step] != self.bytes[np.repeat(self.start[first[some]], k) + step]
@@ -134,11 +158,6 @@ class Block:
         return self.bytes[self.start[at]:self.end[at + n - 1]].tobytes().decode()
 
 
-def has(field: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    bit = prints & np.uint64(len(field) * 64 - 1)
-    return (field[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
 def counted_prints(block: Block, n: int, passed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(block.prints(n)[block.places(n, passed)], return_counts=True)
 
@@ -147,7 +166,7 @@ def spelled(block: Block, n: int, passed: np.ndarray) -> list[tuple[int, str, in
     """Language number, phrase, count and text of the first occurrence, of every phrase of ``n`` words that has passed."""
     at = block.places(n, None)
     prints = block.prints(n)[at]
-    some = has(passed, prints)
+    some = in_field(passed, prints)
     at, prints = at[some], prints[some]
     out = []
     while len(at):
@@ -207,16 +226,6 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int, bits: int) -> Iterator[
         yield made()
 
 
-def bit_field(prints: DataFrame, log_bits: int) -> np.ndarray:
-    """The field with the bits of ``key`` set; its size is fixed, however many keys there are."""
-    bit = F.col("key").bitwiseAND(F.lit((1 << log_bits) - 1))
-    cells = prints.select(F.shiftrightunsigned(bit, 6).cast("int").alias("cell"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bits"))
-    found = cells.groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
-    field = np.zeros(1 << (log_bits - 6), np.uint64)
-    field[found["cell"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return field
-
-
 def frequent_phrases(docs: DataFrame, ident: str, text: str, lang: str, least: int = 100, size: int = 1 << 22,
                      log_bits: int = 25, bits: int = 64) -> DataFrame:
     """``lang``, ``words``, ``phrase``, ``found`` and ``seen_in`` (least id of a text with it) of all phrases of up to five
@@ -236,23 +245,73 @@ def frequent_phrases(docs: DataFrame, ident: str, text: str, lang: str, least: i
                     yield pa.RecordBatch.from_arrays([pa.array(keys[k:k + (1 << 16)].view(np.int64)), pa.array(counts[k:k + (1 << 16)].astype(np.int64))], names=["key", "n"])
 
         counts = rows.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        fields.append(bit_field(counts, log_bits))
-    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("words", T.IntegerType()), T.StructField("phrase", T.StringType()),
-                           T.StructField("n", T.LongType()), T.StructField("ident", rows.schema["ident"].dataType)])
-    ident_type = to_arrow_type(schema["ident"].dataType)
-    types = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+        fields.append(bit_field(counts, "key", log_bits))
+    slices = max(64, sum(int(np.bitwise_count(f).sum()) for f in fields) // IN_SLICE)
+    kind, arrow_kind = rows.schema["ident"].dataType, to_arrow_type(rows.schema["ident"].dataType)
+    packed = T.StructType([T.StructField("slice", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("phrases", T.StringType()),
+                           T.StructField("n", T.ArrayType(T.LongType())), T.StructField("ident", T.ArrayType(kind))])
+    result = T.StructType([T.StructField("lang", T.StringType()), T.StructField("words", T.IntegerType()), T.StructField("phrase", T.StringType()),
+                           T.StructField("found", T.LongType()), T.StructField("seen_in", kind)])
 
     def spell(batches):
+        seen: dict[tuple[str, str], tuple] = {}
         for block, names, idents in blocks(batches, size, bits):
-            found = [(names[k], 0, "", int(c), None) for k, c in enumerate(np.bincount(block.lang[block.counted], minlength=len(names)))]
+            for k, c in enumerate(np.bincount(block.lang[block.counted], minlength=len(names))):
+                add(seen, (names[k], ""), int(c), None)
             for n in range(1, LONGEST + 1):
-                found += [(names[lang], n, phrase, c, idents[t]) for lang, phrase, c, t in spelled(block, n, fields[n - 1])]
-            for k in range(0, len(found), 1 << 14):
-                columns = list(zip(*found[k:k + (1 << 14)]))
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, f.type) for c, f in zip(columns, types)], pa.array(columns[4], ident_type)], names=schema.names)
-
-    return cut_lineage(rows.mapInArrow(spell, schema).groupBy("lang", "words", "phrase").agg(
-        F.sum("n").alias("found"), F.min("ident").alias("seen_in")).where((F.col("words") == 0) | (F.col("found") >= least)))
+                for lang, phrase, c, t in spelled(block, n, fields[n - 1]):
+                    add(seen, (names[lang], phrase), c, idents[t])
+                if len(seen) >= HELD:
+                    yield from in_slices(seen, slices, arrow_kind)
+                    seen = {}
+        yield from in_slices(seen, slices, arrow_kind)
+
+    def merge(batches):
+        """Sums up slice by slice; rows come sorted by slice, a few of them are opened at a time."""
+        now, seen = None, {}
+
+        def out():
+            full = [(lang, phrase.count(" ") + 1 if phrase else 0, phrase, n, ident) for (lang, phrase), (n, ident) in seen.items() if n >= least or not phrase]
+            types = [pa.string(), pa.int32(), pa.string(), pa.int64(), arrow_kind]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in full], t) for k, t in enumerate(types)], names=result.names)
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 8):
+                for row in batch.slice(lo, 8).to_pylist():
+                    if row["slice"] != now:
+                        if seen:
+                            yield out()
+                        now, seen = row["slice"], {}
+                    for phrase, n, ident in zip(row["phrases"].split("\n"), row["n"], row["ident"]):
+                        add(seen, (row["lang"], phrase), n, ident)
+        if seen:
+            yield out()
+
+    return cut_lineage(rows.mapInArrow(spell, packed).repartition("slice").sortWithinPartitions("slice").mapInArrow(merge, result))
+
+
+def add(seen: dict[tuple[str, str], tuple], key: tuple[str, str], n: int, ident) -> None:
+    """Sums ``n`` and keeps the least id; null is no id."""
+    held, least = seen.get(key, (0, None))
+    seen[key] = (held + n, ident if least is None else least if ident is None else min(ident, least))
+
+
+def in_slices(seen: dict[tuple[str, str], tuple], slices: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """What a task has summed up, the phrases of a slice and language in one row: fewer and longer rows to shuffle.
+
+    A phrase holds no line feed, so phrases stand in one string, a line each.
+    """
+    dealt: dict[tuple[int, str], list] = {}
+    for lang, phrase in seen:
+        dealt.setdefault((zlib.crc32(phrase.encode()) % slices, lang), []).append(phrase)
+    keys = list(dealt)
+    for k in range(0, len(keys), 64):
+        some = keys[k:k + 64]
+        held = [[seen[lang, phrase] for phrase in dealt[x, lang]] for x, lang in some]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x for x, _ in some], pa.int64()), pa.array([lang for _, lang in some], pa.string()), pa.array(["\n".join(dealt[key]) for key in some], pa.string()),
+             pa.array([[n for n, _ in h] for h in held], pa.list_(pa.int64())), pa.array([[i for _, i in h] for h in held], pa.list_(kind))],
+            names=["slice", "lang", "phrases", "n", "ident"])
 
 
 def cuts(phrase: str) -> Column:
