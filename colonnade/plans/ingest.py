@@ -141,8 +141,8 @@ def q_camera_files(t):
     focal = F.when(F.col("frame_id") % 3 == 1, F.struct((F.col("frame_id") * 2.0).alias("fx")))
     folder = fresh_folder(t.spark, "cameras")
     given = frames.where("frame_id % 3 <> 0").withColumn("folder", F.col("frame_id"))
-    given.select("folder", F.struct((F.col("frame_id") / 8).alias("baseline")).alias("extrinsic"), focal.alias("intrinsic")).repartition(
-        "folder").write.partitionBy("folder").option("maxRecordsPerFile", 1).json(folder)
+    found = given.select("folder", F.struct((F.col("frame_id") / 8).alias("baseline")).alias("extrinsic"), focal.alias("intrinsic"))
+    segment_text.by_file(found, "folder").write.partitionBy("folder").option("maxRecordsPerFile", 1).json(folder)
     cameras = gates.read_cameras(t.spark, f"{folder}/*/*.json").withColumn("frame_id", F.regexp_extract("path", "folder=([0-9]+)", 1).cast("int"))
     got = frames.join(cameras, "frame_id", "left")
     return got.select("frame_id", F.coalesce("extrinsic.baseline", F.lit(0.22087)).alias("baseline"), F.coalesce("intrinsic.fx", F.lit(1495.46)).alias("fx"))

@@ -12,9 +12,18 @@ from pyspark.sql import functions as F
 from colonnade.functions.constants import FIRST_INSTANCE_CLASS
 
 
+def by_file(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by the file they go to, over as many tasks as a shuffle has.
+
+    A file takes its time however short it is; partitions put together by their bytes
+    would leave all files to a few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def write_files(lines: DataFrame, key: str, order: str, line: str, folder: str) -> None:
     """One text file per value of ``key``, its lines in ``order``; a file's lines must fit a string."""
-    files = lines.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line).alias("t")))).alias("p"))
+    files = by_file(lines, key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line).alias("t")))).alias("p"))
     text = F.array_join(F.transform("p", lambda s: s["t"]), "\n")
     files.select(key, text.alias("value")).write.partitionBy(key).text(folder)
 
