@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colonnade.session import cut_lineage
+
 UNIT = 1_000_000  # cosines and sines are whole millionths, so a vote never depends on rounding
+TASK_POINTS = 1 << 12  # points whose votes one task sums up: 180 for each of them
 
 
 def angle_table() -> Column:
@@ -18,10 +21,13 @@ def angle_table() -> Column:
 def line_votes(points: DataFrame, frame: list[str], x: str, y: str, min_votes: int) -> DataFrame:
     """Votes per (theta, rho) with rho in steps of one and theta in degrees.
 
-    A frame's points are cells of a bounded histogram; votes are summed map-side.
+    A frame's points are cells of a bounded histogram and all its votes come from them, so
+    frames are dealt out by how many points there are, and a task sums up whole frames.
     Weak bins go before the peak test: they can never beat a bin above the limit.
     """
-    fan = points.select(*frame, x, y, F.explode(angle_table()).alias("a"))
+    held = cut_lineage(points.select(*frame, x, y))
+    tasks = held.count() // TASK_POINTS + 1
+    fan = held.repartition(tasks, *frame).select(*frame, x, y, F.explode(angle_table()).alias("a"))
     rho = F.floor((F.col(x) * F.col("a.cos") + F.col(y) * F.col("a.sin") + UNIT // 2) / UNIT)
     votes = (fan.select(*frame, F.col("a.theta").alias("theta"), rho.cast("int").alias("rho"))
              .groupBy(*frame, "theta", "rho").agg(F.count("*").alias("votes")))
