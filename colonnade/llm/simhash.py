@@ -255,13 +255,16 @@ def prefix(shingles: np.ndarray, similarity: float, common: tuple[np.ndarray, np
     return shingles[:n - int(np.ceil(similarity * n - 1e-9)) + 1]
 
 
-def prefixes(docs: DataFrame, text: str, size: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def prefixes(docs: DataFrame, text: str, size: int, similarity: float, common: tuple[np.ndarray, np.ndarray], print_size: int = 0) -> DataFrame:
     """Adds ``n``, how many distinct shingles a text has, ``p``, the first of them, and ``h``, its profile; leaves out the text.
 
     The profile counts, in a byte each, the shingles with the same last ``log2(PROFILE)`` bits.
+    With ``print_size`` also ``f``, the fingerprint over shingles of that size, from the same reading of the text.
     """
     rest = [c for c in docs.columns if c != text]
     schema = docs.select(*rest).schema.add("n", T.IntegerType()).add("p", T.ArrayType(T.LongType())).add("h", T.BinaryType())
+    if print_size:
+        schema = schema.add("f", T.ArrayType(T.LongType()))
 
     def run(batches):
         for batch in parts(batches):
@@ -272,8 +275,11 @@ def prefixes(docs: DataFrame, text: str, size: int, similarity: float, common: t
                 counts = np.bincount((s & np.uint64(PROFILE - 1)).astype(np.int64), minlength=PROFILE)
                 profile.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(profile, pa.binary())],
-                                             names=[*rest, "n", "p", "h"])
+            added = {"n": pa.array(n, pa.int32()), "p": pa.array(first, pa.list_(pa.int64())), "h": pa.array(profile, pa.binary())}
+            if print_size:
+                texts = batch.column(batch.num_columns - 1)
+                added["f"] = pa.array([fingerprint((t.as_py() or "").encode(), print_size, 1) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*columns, *added.values()], names=[*rest, *added])
 
     return docs.select(*rest, text).mapInArrow(run, schema)
 
@@ -349,11 +355,25 @@ def near_links(classes: DataFrame, similarity: float, verified) -> DataFrame:
     return first.unionByName(more)
 
 
-def near_unique(docs: DataFrame, ident: str, text: str, size: int = 5, similarity: float = 0.8) -> DataFrame:
+def print_links(classes: DataFrame, limit: int) -> DataFrame:
+    """Links ``a``, ``b`` that join the ``classes`` (``cls``, ``f``) of one SimHash component: a star around the least of each."""
+    prints = cut_lineage(classes.select(F.col("f")[0].alias("print"), "cls"))
+    groups = cut_lineage(prints.groupBy(F.col("print").alias("cls")).agg(F.min("cls").alias("least"), F.count("*").alias("held")))
+    linked = cut_lineage(link_classes(groups.select("cls", F.array("cls").alias("f")), limit=limit))
+    heads = cut_lineage(groups.join(linked, "cls").groupBy("root").agg(F.min("least").alias("head")))
+    named = groups.join(linked, "cls").join(heads, "root").select(F.col("cls").alias("print"), "head", "held")
+    star = join_groups(prints, cut_lineage(named), "print", "held", prints.count())
+    return star.where(F.col("cls") != F.col("head")).select(F.col("head").alias("a"), F.col("cls").alias("b"))
+
+
+def near_unique(docs: DataFrame, ident: str, text: str, size: int = 5, similarity: float = 0.8, print_size: int = 0, limit: int = 4) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the smallest id stays.
 
-    Texts are near when ``similarity`` or more of their joint distinct ``size``-word
-    shingles are common to both; groups are the components of that.  Candidates come
+    With ``print_size`` texts are linked by SimHash: fingerprints over shingles of that many
+    words that differ in ``limit`` or fewer bits, found by multi-index hashing as in
+    ``components``.  Few bits miss many texts with an edit, so these are linked as well:
+    texts are near when ``similarity`` or more of their joint distinct ``size``-word
+    shingles are common to both; groups are the components of all links.  Candidates come
     from the first shingles of every text in one order, which misses no near pair;
     profiles of the sets rule most of them out, and the rest is verified on the whole sets.
     Texts are not shuffled: where sets are needed, the texts are scanned, and only the
@@ -369,7 +389,7 @@ def near_unique(docs: DataFrame, ident: str, text: str, size: int = 5, similarit
     once = texts.join(repeated, same, "left_anti").unionByName(
         texts.join(repeated, same, "left_semi").groupBy("k_id", "k_text").agg(F.first("t").alias("t")))
     place = F.struct(F.col("k_id").isNull().alias("none"), "k_id", "cls")
-    classes = cut_lineage(prefixes(once, "t", size, similarity, common_shingles(texts, "t", size))
+    classes = cut_lineage(prefixes(once, "t", size, similarity, common_shingles(texts, "t", size), print_size)
                           .withColumn("cls", F.monotonically_increasing_id()).withColumn("place", place))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -388,6 +408,8 @@ def near_unique(docs: DataFrame, ident: str, text: str, size: int = 5, similarit
         return both.where(common >= similarity * (F.size("a_s") + F.size("b_s") - common)).select("a", "b")
 
     edges = near_links(classes.select("cls", "place", "n", "p"), similarity, verified)
+    if print_size:
+        edges = edges.unionByName(print_links(classes.select("cls", "f"), limit))
     rooted = cut_lineage(roots_of(classes.select("cls", "k_id", "k_text"), edges))
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("k_id").isNull().alias("no_id"), "k_id", "cls")).alias("best"))
     leaving = cut_lineage(rooted.join(best, "root").where(F.col("cls") != F.col("best.cls")).select(

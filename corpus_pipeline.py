@@ -38,8 +38,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of texts that share 0.8 or more of their five-word shingles."""
-    return simhash.near_unique(docs, "doc_id", "text", size=5, similarity=0.8)
+    """One of each group of texts that SimHash links as in ``op8_simhash``, or that share 0.8 or more of their five-word shingles."""
+    return simhash.near_unique(docs, "doc_id", "text", size=5, similarity=0.8, print_size=4, limit=4)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
