@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colonnade.functions.constants import FIRST_INSTANCE_LABEL_ID, LABEL_IDS
 from colonnade.functions.lookup import lookup
 from colonnade.plans.registry import query
-from colonnade.session import shared_dir
+from colonnade.session import cut_lineage, shared_dir, spread
 from colonnade.sources import catalog, gates, logs, segment_text
 
 KINDS = ("image", "disparity", "camera", "semantic")
@@ -267,13 +267,14 @@ WITH f AS (SELECT frame_id, MAX(r) + 1 AS h, MAX(c) + 1 AS w, COUNT(*) AS n, COU
 s AS (SELECT frame_id, CASE WHEN h <> 64 OR w <> 64 THEN 'size' WHEN n_high < 290 THEN 'no_road' ELSE 'ok' END AS verdict FROM f)
 SELECT p.frame_id, s.verdict, COUNT(*) AS n_cells FROM fx_pixels p JOIN s ON p.frame_id = s.frame_id GROUP BY 1, 2""")
 def q_quarantine(t):
-    f = t.fx_pixels.groupBy("frame_id").agg(
+    cells = spread(cut_lineage(t.fx_pixels), "frame_id")
+    f = cells.groupBy("frame_id").agg(
         (F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"),
         F.count(F.when(F.col("d") > 25, 1)).alias("n_high"))
     verdicts = f.select("frame_id", F.when((F.col("h") != 64) | (F.col("w") != 64), "size")
                         .when(F.col("n_high") < 290, "no_road").otherwise("ok").alias("verdict"))
-    good, bad = gates.split_by_verdict(t.fx_pixels, verdicts, ["frame_id"])
-    rejected = t.fx_pixels.join(bad, "frame_id").groupBy("frame_id", "verdict").agg(F.count("*").alias("n_cells"))
+    good, bad = gates.split_by_verdict(cells, verdicts, ["frame_id"])
+    rejected = cells.join(bad, "frame_id").groupBy("frame_id", "verdict").agg(F.count("*").alias("n_cells"))
     accepted = good.groupBy("frame_id").agg(F.count("*").alias("n_cells")).withColumn("verdict", F.lit("ok"))
     return accepted.unionByName(rejected)
 

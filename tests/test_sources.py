@@ -46,3 +46,17 @@ def test_files_are_written_by_many_tasks(spark, tmp_path):
     got = segment_text.read_files(spark, str(tmp_path / "files"))
     assert {(r.k, r.line_no, r.line) for r in got.collect()} == {(i % 100, i // 100, f"l{i}") for i in range(400)}
     assert len({r.path.rsplit("/", 1)[1].split("-")[1] for r in got.select("path").distinct().collect()}) > 4
+
+
+def test_cells_are_dealt_to_tasks_by_rows(spark, monkeypatch):
+    """However few bytes the cells have, a task joins a bounded number of them to their verdicts."""
+    from colonnade import session
+    from colonnade.plans.registry import Tables, load_all
+
+    monkeypatch.setattr(session, "TASK_ROWS", 200)
+    t = Tables(spark, "/root/testdata/sf0.001")
+    df = load_all()["q_quarantine"].run(t)
+    plan = df._jdf.queryExecution().toString()
+    tasks = -(-t.fx_pixels.count() // 200)
+    assert tasks > 8 and plan.split("Physical Plan")[1].count(f", {tasks}), REPARTITION_BY_NUM") >= 2
+    assert df.agg({"n_cells": "sum"}).first()[0] == t.fx_pixels.count()
