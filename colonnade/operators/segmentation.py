@@ -33,7 +33,7 @@ from colonnade.functions.constants import GROUND, MAX_COST, OBJECT, SKY
 from colonnade.operators.models import IMPOSSIBLE, MICRO, Model, micro
 from colonnade.operators.packed import prefix_array, range_sum
 from colonnade.operators.segments import object_table
-from colonnade.session import cut_lineage
+from colonnade.session import cut_lineage, dealt
 
 #: A step of the way back: type, first and last row and cost of a segment, from the top down.
 PATH = T.ArrayType(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("v_b", T.IntegerType()),
@@ -192,7 +192,7 @@ def unary_nodes(sums: DataFrame, keys: list[str], task: Task) -> DataFrame:
     under = least.select(*keys, (F.col("t") + 1).alias("start"), *[F.coalesce(F.shiftright(f"k{k}", bits), F.lit(IMPOSSIBLE)).alias(f"on{k}") for k in (GROUND, OBJECT, SKY)])
     below = F.when((F.col("kind") == OBJECT) & (F.col(f"on{SKY}") < F.least(f"on{GROUND}", f"on{OBJECT}")), SKY).when(
         F.col(f"on{GROUND}") < F.col(f"on{OBJECT}"), GROUND).otherwise(OBJECT)
-    return nodes.join(under, [*keys, "start"], "left").select(*keys, "t", "kind", "cost", "start", below.alias("below"))
+    return nodes.join(dealt(under), [*keys, "start"], "left").select(*keys, "t", "kind", "cost", "start", below.alias("below"))
 
 
 # --- the way back, by pointer jumping ---
@@ -212,15 +212,15 @@ def jump_path(nodes: DataFrame, keys: list[str], last: int) -> DataFrame:
     path = cut_lineage(ends.select(*keys, (last * 3 + first).alias("node"), F.lit(0).alias("seg_idx")))
     step = 1
     while True:
-        found = cut_lineage(path.join(jumps.where("next IS NOT NULL"), [*keys, "node"]).select(
+        found = cut_lineage(path.join(dealt(jumps.where("next IS NOT NULL")), [*keys, "node"]).select(
             *keys, F.col("next").alias("node"), (F.col("seg_idx") + step).alias("seg_idx")))
         if found.isEmpty():
             break
         path = path.unionByName(found)
         further = jumps.select(*keys, F.col("node").alias("next"), F.col("next").alias("_next"))
-        jumps = cut_lineage(jumps.where("next IS NOT NULL").join(further, [*keys, "next"]).select(*keys, "node", F.col("_next").alias("next")))
+        jumps = cut_lineage(jumps.where("next IS NOT NULL").join(dealt(further), [*keys, "next"]).select(*keys, "node", F.col("_next").alias("next")))
         step *= 2
-    return path.join(nodes.withColumn("node", node), [*keys, "node"]).select(
+    return path.join(dealt(nodes.withColumn("node", node)), [*keys, "node"]).select(
         *keys, "seg_idx", F.col("kind").cast("int").alias("kind"), F.col("start").cast("int").alias("v_b"), F.col("t").cast("int").alias("v_t"), F.col("cost").alias("paid"))
 
 
@@ -478,4 +478,4 @@ def segment_columns(packed: DataFrame, keys: list[str], task: Task, jumps: bool
         return described(each, keys, task)
     sums = cut_lineage(sums)
     nodes = cut_lineage(fold_nodes(sums, keys, task) if task.pairwise else unary_nodes(sums, keys, task))
-    return described(sums.join(jump_path(nodes, keys, task.model.rows - 1), keys), keys, task)
+    return described(sums.join(dealt(jump_path(nodes, keys, task.model.rows - 1)), keys), keys, task)

@@ -15,6 +15,7 @@ from colonnade.operators.models import IMPOSSIBLE, MICRO, Model
 from colonnade.operators.segmentation import Roles, Task, Weights, jump_path, segment_columns
 from colonnade.plans import segmenting
 from colonnade.plans.registry import Tables, load_all
+from colonnade.session import cut_lineage
 
 N, D, FACTOR = 24, 32, 4
 MODEL = Model(rows=N, max_dis=D, focal=60.0, baseline=0.5)
@@ -152,3 +153,11 @@ def test_values_far_above_the_rest_keep_their_levels(spark, tmp_path):
         df, cur = q.run(t), con.execute(q.sql)
         got, want = canon(df.columns, df.collect()), canon([d[0] for d in cur.description], cur.fetchall())
         assert got == want
+
+
+def test_pointers_are_not_broadcast(spark):
+    """Their files are small, the tables of a task that holds them all are not."""
+    kinds = spark.range(300).select(F.lit("s").alias("key"), F.floor(F.col("id") / 3).alias("t"), (F.col("id") % 3).cast("int").alias("kind"))
+    nodes = kinds.select("key", "t", "kind", F.lit(5).cast("bigint").alias("cost"), F.col("t").alias("start"), F.lit(1).alias("below"))
+    path = jump_path(cut_lineage(nodes), ["key"], 99)
+    assert path.count() == 100 and "BroadcastHashJoin" not in path._jdf.queryExecution().toString()
