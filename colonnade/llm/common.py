@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 import colonnade
-from colonnade.session import cut_lineage, shared_dir
+from colonnade.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(colonnade)  # executors need no copy of this package
 
@@ -24,9 +23,7 @@ HOT_SHARE = 64
 
 def cut_text(df: DataFrame) -> DataFrame:
     """Like ``cut_lineage``, packed tighter: for rows that hold whole texts."""
-    path = f"{shared_dir(df.sparkSession)}/text-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return cut_lineage(df, compression="zstd")
 
 
 def read_table(spark, sf_dir: str, name: str) -> DataFrame:

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colonnade.session import shared_dir
+from colonnade.session import settings, shared_dir
 
 #: Slots of keys in the store of a keyed stream: a batch of few keys reads few of them.
 SLOTS = 64
@@ -34,19 +33,6 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@contextmanager
-def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
-    """Session settings for a while."""
-    before = {k: spark.conf.get(k, None) for k in conf}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def run_to_files(stream: DataFrame, name: str, out: str | None = None, state: str | None = None,
                  conf: dict[str, str] | None = None, held: list[int] | None = None) -> DataFrame:
     """Writes all that is available to Parquet (exactly once, by its checkpoint) and reads it back.

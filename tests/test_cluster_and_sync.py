@@ -1,6 +1,10 @@
 """Clustering and synchronisation against brute force, with hot places and keys."""
 
+import os
 import random
+import tempfile
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +14,7 @@ from colonnade.operators import cluster as cl
 from colonnade.operators import components
 from colonnade.operators import evaluation as ev
 from colonnade.operators.components import connected_components
-from colonnade.session import cut_lineage
+from colonnade.session import cut_lineage, settings, shared_dir
 from colonnade.streaming import sync
 
 
@@ -250,3 +254,24 @@ def test_either_set_of_cells_may_be_shifted(spark, few):
     got = {(r.x, r.y): r.sq for r in cl.nearest_core(grid, grid.with_cell(a.select("cls", "x", "y").distinct()), core, tree).collect()}
     far = {(p.x, p.y): min((p.x - q.x) ** 2 + (p.y - q.y) ** 2 for q in b.collect()) for p in a.collect()}
     assert got == {k: v for k, v in far.items() if v <= 25}
+
+
+def test_few_edges_leave_few_files(spark):
+    """Only the first and the last table of the components have a file per partition, and what a cut shuffled is gone after it."""
+    place, n = Path(shared_dir(spark)), 300
+    local = Path(spark.conf.get("spark.local.dir", os.environ.get("SPARK_LOCAL_DIRS", tempfile.gettempdir())))
+    found = lambda: (set(place.glob("cut-*/part-*")), set(local.glob("blockmgr-*/*/shuffle_*")))
+    path = spark.range(n).select(F.xxhash64(F.col("id")).alias("a"), F.xxhash64(F.col("id") + 1).alias("b"))
+    ends = spark.range(n + 1).select(F.xxhash64(F.col("id")).alias("v"))
+    with settings(spark, {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        tables, _ = found()
+        got = connected_components(ends, path)
+        assert len(found()[0] - tables) <= 2 * 40 + 50
+        assert got.select("root").distinct().count() == 1 and got.count() == n + 1
+        _, shuffles = found()
+        cut_lineage(path.groupBy("a").count())
+        for _ in range(50):  # they go in the background
+            if not found()[1] - shuffles:
+                return
+            time.sleep(0.2)
+    raise AssertionError("shuffle files are left")
