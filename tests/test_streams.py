@@ -85,6 +85,26 @@ def test_one_key_with_all_messages(spark, tmp_path_factory):
     assert waiting() == []
 
 
+def test_many_keys_share_states(spark, tmp_path):
+    """Calls on states go by slots of keys, not by keys; no set is lost and none mixes keys."""
+    folder, places = str(tmp_path / "in"), [str(tmp_path / k) for k in ("out", "state", "clock")]
+    spark.range(3000).select((F.col("id") % 1000).alias("user_id"), F.when(F.col("id") < 1000, "click").otherwise("view").alias("event_type"),
+                             F.timestamp_micros((F.col("id") + 1_000_000) * 1_000_000).alias("ts"), F.col("id").alias("event_id")).coalesce(1).write.parquet(folder)
+
+    def run(last):
+        def work(stream):
+            return matching.sync_stream(streams.of_topics(stream, ["view"]), ["user_id"], "topic", "us", "event_id", "click", ["view"],
+                                        streams.HOUR, streams.WIDTH, 24 * streams.HOUR)
+
+        return jobs.run_flushed(jobs.open_stream(spark, folder), "many", "ts", work, *places, last=last, conf=matching.STATEFUL)
+
+    run(last=False)
+    with jobs.settings(spark, matching.STATEFUL):
+        assert spark.read.format("statestore").option("path", places[1]).option("stateVarName", "clock").load().count() <= 2 * 256
+    got = run(last=True)
+    assert {(r.user_id, r.click, r.view) for r in got.collect()} == {(k, k, k + 1000) for k in range(1000)} and got.count() == 1000
+
+
 def test_interval_join_of_one_key(spark, tmp_path_factory):
     """Besides the batch itself, state has the rows of a delay and the tolerance, two an hour, and the clock's on both sides."""
     folder, held = one_busy_key(spark, tmp_path_factory), []
