@@ -118,13 +118,16 @@ def q_stream_config(t):
 
 def configured(events, name):
     """Errors change the configuration; every other event gets the one in force at its time, however late that arrived."""
+    event, config = ["event_id"], ["config_id", "k"]
+
     def work(stream):
         kind = F.col("event_type")
         rows = stream.select(micros(F.col("ts")).alias("us"), kind, F.when(kind != "error", F.col("event_id")).alias("event_id"), F.col("event_id").alias("config_id"),
                              F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"))
-        return asof.asof_stream(rows, "us", kind == "error", ["event_id"], ["config_id", "k"], 24 * HOUR)
+        return asof.asof_stream(rows, "us", kind == "error", event, config, 24 * HOUR)
 
-    return jobs.run_flushed(events.select("event_type", "ts", "event_id", "props"), name, "ts", work, conf=matching.STATEFUL)
+    found = jobs.run_flushed(events.select("event_type", "ts", "event_id", "props"), name, "ts", work, conf=matching.STATEFUL)
+    return asof.with_earlier(found, "us", event, config)
 
 
 @query("q_stream_asof", sql="""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from colonnade.plans import streams
 from colonnade.plans.registry import Tables, load_all
-from colonnade.streaming import jobs, matching, sync
+from colonnade.streaming import asof, jobs, matching, sync
 
 SF = "/root/testdata/sf0.001"
 
@@ -167,6 +167,27 @@ def test_a_configuration_that_arrives_late_still_holds(spark, tmp_path):
     assert {r.event_id: (r.config_id, r.k) for r in got.collect()} == {10: (None, None), 11: (3, 3), 12: (3, 3)}
 
 
+def test_a_state_holds_the_configurations_of_its_span_only(spark, tmp_path):
+    """Ten a span for three days go to one state each; an event long after all of them still finds the last one."""
+    folder, places = str(tmp_path / "in"), [str(tmp_path / k) for k in ("out", "state", "clock")]
+    start = 1_000_000 * streams.HOUR // 3600
+    config = spark.range(720).select((F.col("id") * (streams.HOUR // 10) + start).alias("us"), F.lit(True).alias("kind"), F.col("id").alias("c"))
+    event = spark.range(100).select((F.col("id") * streams.HOUR + start).alias("us"), F.lit(False).alias("kind"), F.col("id").alias("c"))
+    config.unionByName(event).select(F.timestamp_micros("us").alias("ts"), "us", "kind", F.col("c").alias("e"), "c").coalesce(1).write.parquet(folder)
+
+    def run(last):
+        return jobs.run_flushed(jobs.open_stream(spark, folder), "span", "ts", lambda rows: asof.asof_stream(rows.withColumn("us", F.unix_micros("ts")), "us", F.col("kind"), ["e"], ["c"], 72 * streams.HOUR),
+                                *places, last=last, conf=matching.STATEFUL)
+
+    run(last=False)
+    with jobs.settings(spark, matching.STATEFUL):
+        state = spark.read.format("statestore").option("path", places[1]).option("stateVarName", "history").load()
+        held = [r["count"] for r in state.groupBy("key").count().collect()]
+    assert held and max(held) <= 10
+    got = asof.with_earlier(run(last=True), "us", ["e"], ["c"])
+    assert {r.e: r.c for r in got.collect()} == {h: min(10 * h, 719) for h in range(100)} and got.count() == 100
+
+
 def test_series_spread_over_batches(spark, parts):
     got = streams.frames(jobs.open_stream(spark, parts, 1), SF)
     whole = streams.frames(jobs.open_stream(spark, f"{SF}/events.parquet"), SF)
